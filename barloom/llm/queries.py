@@ -9,6 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 from barloom.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from barloom.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.ngram_join import ngram_groups
 
