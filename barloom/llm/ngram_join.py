@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, slices, utf8
+from barloom.llm.common import cut, fresh, slices, utf8
 from barloom.llm.components import components
 from barloom.llm.prefix_tree import linked, prefix_size
 from barloom.llm.textscan import shingle_sets
@@ -182,3 +182,14 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
     found = components(links.where("v is not null").select("u", "v"))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("hi", "lo", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return described.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def drop_near(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of linked texts, that of the smallest doc_id, and all columns as they are.
+
+    Texts without words stay, and so do rows without an id. Rows that repeat an id go or stay together; exact dedup comes before.
+    """
+    key = fresh(docs, "gone_id")
+    groups = ngram_groups(docs, width, percent)
+    gone = groups.where((F.col("n_shingles") > 0) & (F.col("component_id") < F.col("doc_id"))).select(F.col("doc_id").alias(key)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[key], "left_anti")

@@ -25,6 +25,44 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from barloom.llm.common import held_out
+    from barloom.llm.quality import learn, score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.packing import documents_as_items, pack
+
+    return pack(documents_as_items(table(spark, sf_dir, "documents")))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from barloom.llm.pii import KINDS, find_pii
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+
+    def digest(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, KINDS),
+        F.sha2(digest(F.filter("spans", lambda s: s["base"])), 256).alias("base_sha256"),
+        digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.ngram_join import ngram_groups
 
