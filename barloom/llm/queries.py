@@ -36,12 +36,29 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from barloom.llm.common import held_out
+    from barloom.llm.toxicity import learn, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scored = score_toxicity(docs, *learn(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "flagged")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from barloom.llm.packing import documents_as_items, pack
 
     return pack(documents_as_items(table(spark, sf_dir, "documents")))
 
 
+def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from barloom.llm.phrases import with_edits
+
+    return with_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 

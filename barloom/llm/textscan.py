@@ -53,6 +53,17 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return mix((sums[last] - sums[first]) * down[first]), first, last, np.searchsorted(first, ends)
 
 
+def heads(raw: np.ndarray, first: np.ndarray, last: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """Hashes of the first so many bytes of each word, or of the whole word if it is shorter."""
+    n = len(raw)
+    if not len(first):
+        return [np.empty(0, np.uint64) for _ in sizes]
+    up, down = _power(n)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
+    return [mix((sums[np.minimum(first + k, last)] - sums[first]) * down[first] + np.uint64(k)) for k in sizes]
+
+
 def shingle_sets(raw: np.ndarray, ends: np.ndarray, width: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its shingles of so many words; with fewer words, of the whole sequence; without words, none."""
     w, _, _, at = words(raw, ends)
