@@ -25,6 +25,25 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from barloom.llm.common import scratch_path
+    from barloom.llm.warc import captures, read_archives, resolve_revisits, write_archives
+
+    path = scratch_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    found = resolve_revisits(captures(read_archives(spark, path, payloads=False)))
+    page = lambda metadata: F.try_element_at(metadata["fields"], F.lit("page-id")).try_cast("long")
+    return found.select(
+        page(F.col("metadata")).alias("page_id"),
+        F.coalesce("response.payload_bytes", "original.payload_bytes").alias("payload_bytes"),
+        F.coalesce("response.payload_digest", "original.payload_digest").alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        page(F.col("original.metadata")).alias("refers_to"),
+    )
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -98,6 +117,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_warc": r"""
+            WITH p AS (
+                SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+            SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes,
+                array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                    CAST(1 + ((CAST('0x' || substr(sha1(body), CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+                CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+                CASE WHEN page_id <> first THEN first END AS refers_to
+            FROM p""",
         "op10_exact_dedup": r"""
             WITH d AS (
                 SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents)
