@@ -78,6 +78,17 @@ def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_edits(table(spark, sf_dir, "documents"))
 
 
+def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from barloom.llm.common import scratch_path
+    from barloom.llm.token_store import read_checksums, write_store
+
+    path = scratch_path(spark, "tokens")
+    write_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), path, end_id=2)
+    return read_checksums(spark, path)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
