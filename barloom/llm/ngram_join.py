@@ -3,19 +3,24 @@
 How the work is dealt out:
 
 1. One pass gives each text the sorted hashes of its shingles. Shingles that come up often are put last in the global
-   order, the rest go by hash. Of each set only the first few members (the prefix that every similar set must meet),
-   its size and a 128-bit name go on. Equal sets are one set from here on.
-2. Prefix members are grouped (with partial aggregation) to the smallest set name that holds each, its head. Two
-   similar sets share a prefix member, so they share a head, and it is enough to compare sets under the same head.
-3. Sets that share their heads with another set are worked out again from their texts and compared in blocks of bounded
-   size, each by a prefix tree (prefix_tree.py). Sets that are linked with the head are not compared with each other;
-   what stays open goes on to the other blocks of the same head.
+   order, the rest go by hash. Of each set only the first few members, its size and a 128-bit name go on: the prefix
+   that every similar set must meet, longer by three hundredths of the set.
+2. Two similar sets share not one member of such longer prefixes but three hundredths of the smaller set, and one more.
+   Prefix members are counted (combined before the shuffle); sets that share too few of theirs with any other row are
+   done. The others' prefix members are grouped, by classes of set sizes, to the smallest set name that holds each, its
+   head. Similar sets share a prefix member, so they share a head, and it is enough to compare sets under one head.
+   Sketches of a bit a member then part those sets that differ in too many members to be similar.
+3. Texts whose sets share a head with another set are brought together and compared in blocks of bounded size, each by
+   a prefix tree (prefix_tree.py). Sets that are linked with the head are not compared with each other; what stays open
+   goes on to the other blocks of the same head.
 4. The links' connected components name the groups.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +30,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, fresh, slices, utf8
 from barloom.llm.components import components
-from barloom.llm.prefix_tree import linked, prefix_size
+from barloom.llm.prefix_tree import linked, may_link, prefix_size, sketch, spare
 from barloom.llm.textscan import shingle_sets
 
 #: Bytes of text whose hashes are worked out at once.
@@ -35,8 +40,10 @@ PART_BYTES = 1 << 20
 COMMON_KEPT = 200_000
 #: A shingle counts as common from so many texts in one part on.
 COMMON_FROM = 4
-#: Sets that are compared in one block.
-BLOCK_SETS = 512
+#: Sets of one head whose sketches are compared; more go on without.
+SIFTED_SETS = 4096
+#: Members, over all its sets, of a block that one task holds at once.
+BLOCK_MEMBERS = 1_500_000
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -81,7 +88,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(sizes), pa.array(_signed(np.concatenate(parts)) if parts else np.empty(0, np.int64)))
 
 
-def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_sets: int = BLOCK_SETS) -> DataFrame:
+def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", block_members: int = BLOCK_MEMBERS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs: groups of texts linked by Jaccard similarity of their shingles.
 
     A text's words are lower-cased (A-Z) runs without ASCII white space; its set holds the distinct shingles of `width`
@@ -101,32 +108,69 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
             for part in slices(batch, "text", PART_BYTES):
                 sets = shingle_sets(*utf8(part.column(1)), width)
                 names = np.array([np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets], np.int64).reshape(-1, 2)
-                prefix = [_ordered(s, common.value)[: prefix_size(len(s), percent)] for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), _lists(prefix)], ["doc_id", "n_shingles", "hi", "lo", "prefix"])
+                prefix = [_ordered(s, common.value)[: prefix_size(len(s), percent) + spare(len(s))] for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.array([len(s) for s in sets], np.int64)), pa.array(names[:, 0]), pa.array(names[:, 1]), _lists(prefix), pa.array([sketch(s) for s in sets], pa.binary())], ["doc_id", "n_shingles", "hi", "lo", "prefix", "sketch"])
 
-    described = cut(rows.mapInArrow(describe, "doc_id long, n_shingles long, hi long, lo long, prefix array<long>"))
+    described = cut(rows.mapInArrow(describe, "doc_id long, n_shingles long, hi long, lo long, prefix array<long>, sketch binary"))
     full = described.where("n_shingles > 0")
     # The set's name stands for it until its text is wanted again; `lo` alone may name two sets, which then merely share a block.
     classes = full.groupBy("hi", "lo", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    postings = full.select("lo", F.explode("prefix").alias("shingle"))
-    heads = postings.groupBy("shingle").agg(F.min("lo").alias("head"), F.max("lo").alias("last")).where("head < last").select("shingle", "head")
-    members = cut(postings.join(heads, "shingle").select("head", "lo").distinct())
-    sizes = members.groupBy("head").agg(F.count("*").alias("m")).where("m > 1")
-    blocks = sizes.select("head", F.ceil(F.col("m") / block_sets).alias("blocks"))
-    wanted = members.join(blocks, "head").join(classes.where("rep is not null").select("lo", "rep"), "lo").select("rep", "head", (F.col("head") == F.col("lo")).alias("is_head"), "blocks")
-    tasks = wanted.groupBy("rep").agg(F.collect_list(F.struct("head", "is_head", "blocks")).alias("tasks"))
-    texts = rows.join(tasks, rows["doc_id"] == tasks["rep"]).select("rep", "text", "tasks").dropDuplicates(["rep"])
+    exploded = full.select("lo", F.explode("prefix").alias("shingle"))
+    repeated = exploded.groupBy("shingle").agg(F.count("*").alias("k")).where("k > 1").select("shingle")
+    shared = cut(exploded.join(repeated, "shingle", "left_semi"))
+    least = F.floor(3 * F.ceil(F.col("n_shingles") * percent / 100) / 100) + 1  # spare() of the smallest partner
+    enough = shared.groupBy("lo").agg(F.count("*").alias("met")).join(classes, "lo").where(F.col("met") >= least).select("lo", "n_shingles").distinct()
+    # Similar sets are of one class of sizes or of two that follow each other; the smaller set is also in the class above.
+    own = F.floor(F.log(F.col("n_shingles")) / math.log(1.001 * 100 / percent))
+    postings = shared.join(enough, "lo").withColumn("own", own).select("lo", "shingle", "own", F.explode(F.array("own", F.col("own") + 1)).alias("size"))
+    # Pairs below a class are compared there, so a group needs a set of its class.
+    heads = postings.groupBy("shingle", "size").agg(F.min("lo").alias("first"), F.max("lo").alias("last"), F.max("own").alias("top")).where("first < last and top = size").select("shingle", "size", "first")
+    members = cut(postings.join(heads, ["shingle", "size"]).select(F.xxhash64("first", "size").alias("head"), "lo").distinct())
+    named_sets = classes.where("rep is not null").join(full.select(F.col("doc_id").alias("rep"), "sketch", F.col("lo").alias("its")), "rep").where("lo = its").select("lo", "rep", "n_shingles", "sketch").dropDuplicates(["lo", "rep"])
+    sketched = members.join(named_sets, "lo").select("head", "rep", "n_shingles", "sketch").repartition("head").sortWithinPartitions("head", "rep")
+
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Parts of each head's sets that sketches allow links in; groups too large to hold go on whole."""
+        rows: list[tuple[int, int, int, bytes]] = []
+        large = None
+
+        def out(found: list[tuple[int, int, int, int, bool]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ([], [], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["under", "part", "rep", "n_shingles", "is_head"])
+
+        def done() -> pa.RecordBatch:
+            part = may_link([r[3] for r in rows], [r[2] for r in rows], percent)
+            several = {p for p, k in Counter(part).items() if k > 1}
+            return out([(r[0], rows[p][1], r[1], r[2], i == p) for i, (r, p) in enumerate(zip(rows, part)) if p in several])
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column(0), _lists(shingle_sets(*utf8(part.column(1)), width)), part.column(2)], ["rep", "members", "tasks"])
+            passed = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] == large:
+                    passed.append((row[0], 0, row[1], row[2], False))
+                    continue
+                if rows and rows[0][0] != row[0]:
+                    yield done()
+                    rows = []
+                rows.append(row)
+                if len(rows) > SIFTED_SETS:
+                    large = row[0]
+                    passed += [(r[0], 0, r[1], r[2], i == 0) for i, r in enumerate(rows)]
+                    rows = []
+            yield out(passed)
+        if rows:
+            yield done()
 
-    sets = cut(texts.mapInArrow(sets_of, "rep long, members array<long>, tasks array<struct<head:long,is_head:boolean,blocks:long>>"))
-    flat = sets.select("rep", "members", F.explode("tasks").alias("t")).select("rep", "members", "t.head", "t.is_head", "t.blocks")
-    home = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    first = flat.where("not is_head").withColumn("block", home).unionByName(flat.where("is_head").withColumn("block", everywhere))
+    sized = cut(sketched.mapInArrow(sift, "under long, part long, rep long, n_shingles long, is_head boolean").withColumn("head", F.xxhash64("under", "part")))
+    blocks = sized.groupBy("head").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total")).where("m > 1").select("head", F.ceil(F.col("total") / block_members).alias("blocks"))
+    wanted = sized.join(blocks, "head").select("rep", "head", "is_head", "blocks")
+    tasks = wanted.groupBy("rep").agg(F.collect_list(F.struct("head", "is_head", "blocks")).alias("tasks"))
+    texts = rows.join(tasks, rows["doc_id"] == tasks["rep"]).select("rep", "text", "tasks").dropDuplicates(["rep"])
+
+    # Texts travel, not sets: a text is a third of the bytes of its hashes, and hashing it again costs little.
+    flat = texts.select("rep", "text", F.explode("tasks").alias("t")).select("rep", "text", "t.head", "t.is_head", "t.blocks")
+    home = F.array(F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    first = flat.withColumn("block", F.explode(F.when(F.col("is_head"), everywhere).otherwise(home)))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by head and block, the head first; one block is held at a time."""
@@ -152,15 +196,15 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
             )
 
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index("members"))
-            at, flat_members = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).view(np.uint64)
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("head", "block", "blocks", "rep", "probe")]
-            for k, (head, block, blocks_, rep, probe) in enumerate(zip(*columns)):
-                if key is None or key[:2] != (head, block):
-                    if len(held) > 1:
-                        yield done()
-                    key, held = (head, block, blocks_), []
-                held.append((rep, flat_members[at[k] : at[k + 1]].copy(), probe))
+            for part in slices(batch, "text", PART_BYTES):
+                sets = shingle_sets(*utf8(part.column(part.schema.get_field_index("text"))), width)
+                columns = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("head", "block", "blocks", "rep", "probe")]
+                for members, head, block, blocks_, rep, probe in zip(sets, *columns):
+                    if key is None or key[:2] != (head, block):
+                        if len(held) > 1:
+                            yield done()
+                        key, held = (head, block, blocks_), []
+                    held.append((rep, members, probe))
         if len(held) > 1:
             yield done()
 
@@ -168,17 +212,16 @@ def ngram_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str
 
     def run(work: DataFrame) -> DataFrame:
         dealt = work.repartition("head", "block").sortWithinPartitions("head", "block", F.desc("is_head"), "rep")
-        return cut(dealt.select("head", "block", "blocks", "rep", "probe", "members").mapInArrow(compare, out))
+        return cut(dealt.select("head", "block", "blocks", "rep", "probe", "text").mapInArrow(compare, out))
 
     links = run(first.withColumn("probe", F.lit(True)))
     open_sets = links.where("open_under is not null").select(F.col("u").alias("rep"), F.col("open_under").alias("head")).distinct()
     if open_sets.limit(1).count():
+        # An open set is compared in every block, a head is there to link with, all others wait at home.
         several = flat.where("blocks > 1").join(open_sets.select("head").distinct(), "head", "left_semi")
-        probes = several.join(open_sets, ["head", "rep"], "left_semi").where("not is_head").withColumn("block", everywhere).withColumn("probe", F.lit(True))
-        # A set that is open is already in every block as a probe.
-        rest = several.join(open_sets, ["head", "rep"], "left_anti")
-        rest = rest.where("not is_head").withColumn("block", home).unionByName(rest.where("is_head").withColumn("block", everywhere)).withColumn("probe", F.lit(False))
-        links = links.unionByName(run(probes.unionByName(rest)))
+        several = several.join(open_sets.withColumn("probe", F.lit(True)), ["head", "rep"], "left").withColumn("probe", F.coalesce("probe", F.lit(False)) & ~F.col("is_head"))
+        second = several.withColumn("block", F.explode(F.when(F.col("is_head") | F.col("probe"), everywhere).otherwise(home)))
+        links = links.unionByName(run(second))
     found = components(links.where("v is not null").select("u", "v"))
     named = classes.join(found, classes["rep"] == found["node"], "left").select("hi", "lo", "n_shingles", F.coalesce("component", "rep").alias("component"))
     return described.select("doc_id", "n_shingles", "hi", "lo").join(named, ["hi", "lo", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

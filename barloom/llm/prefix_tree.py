@@ -17,6 +17,41 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def spare(n: int) -> int:
+    """Members beyond the first that similar sets must share in prefixes that are longer by so many."""
+    return 3 * n // 100
+
+
+def sketch(members: np.ndarray) -> bytes:
+    """Parities of a set's hashes by their low bits, about a bit a member: two sets' sketches differ in no more bits than the sets in members."""
+    width = max(64, 1 << max(len(members) - 1, 0).bit_length())
+    counts = np.bincount((members & np.uint64(width - 1)).astype(np.int64), minlength=width)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(raw: bytes, width: int) -> np.ndarray:
+    """A sketch at a smaller width: parities whose places are equal there fall together."""
+    out = np.frombuffer(raw, np.uint64)
+    while len(out) * 64 > width:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def may_link(sketches: list[bytes], sizes: list[int], percent: int) -> list[int]:
+    """Per set the number of its part: sets whose sketches allow a link are in one part."""
+    width = 8 * min(map(len, sketches))
+    rows, n = np.stack([_folded(s, width) for s in sketches]), np.array(sizes, np.int64)
+    groups = Groups(len(sizes))
+    for i in range(len(sizes) - 1):
+        apart = np.bitwise_count(rows[i + 1 :] ^ rows[i]).sum(1, dtype=np.int64)
+        both = n[i + 1 :] + n[i]
+        need = -(-percent * both // (100 + percent))
+        near = np.flatnonzero((apart <= both - 2 * need) & (np.minimum(n[i + 1 :], n[i]) >= need))
+        for j in near.tolist():
+            groups.join(i, i + 1 + j)
+    return [groups.root(i) for i in range(len(sizes))]
+
+
 class PrefixTree:
     """Sets that begin alike share nodes; a node holds a run of members, the sets that end there, and the bounds of all set sizes below it."""
 

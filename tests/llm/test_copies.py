@@ -12,7 +12,7 @@ from barloom.llm import ngram_join
 from barloom.llm.components import components
 from barloom.llm.exact_dedup import drop_copies, exact_groups
 from barloom.llm.ngram_join import ngram_groups
-from barloom.llm.prefix_tree import PrefixTree, linked, overlap_needed
+from barloom.llm.prefix_tree import PrefixTree, linked, may_link, overlap_needed, sketch
 from tests.llm.cases import empty, frame, rows
 
 
@@ -38,15 +38,15 @@ def brute(data, width, percent):
     return {(i, len(s), root(i)) for i, s in sets}
 
 
-@pytest.mark.parametrize("width,percent,block", [(4, 85, 512), (5, 80, 512), (2, 60, 3), (1, 50, 2)])
+@pytest.mark.parametrize("width,percent,block", [(4, 85, 10**6), (5, 80, 10**6), (2, 60, 90), (1, 50, 60)])
 def test_ngram_groups(spark, width, percent, block):
-    got = {tuple(r) for r in ngram_groups(frame(spark), width, percent, block_sets=block).collect()}
+    got = {tuple(r) for r in ngram_groups(frame(spark), width, percent, block_members=block).collect()}
     assert got == brute(rows(), width, percent)
 
 
 def test_ngram_groups_with_common_order(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "COMMON_FROM", 2)
-    got = {tuple(r) for r in ngram_groups(frame(spark), 2, 70, block_sets=4).collect()}
+    got = {tuple(r) for r in ngram_groups(frame(spark), 2, 70, block_members=100).collect()}
     assert got == brute(rows(), 2, 70)
 
 
@@ -72,6 +72,24 @@ def test_linked_needs_no_more_pairs_than_sets():
     assert len(linked(same, [True] * 40, 80, lambda x: np.zeros(len(x), np.int64))) == 39
 
 
+def test_sketches_never_part_similar_sets():
+    r = random.Random(9)
+    for _ in range(300):
+        base = [r.getrandbits(64) for _ in range(r.randint(1, 400))]
+        sets = [np.array(sorted({r.getrandbits(64) if r.random() < c else x for x in base[: r.randint(1, len(base))] + base}), np.uint64) for c in (0, 0.05, 0.1, 0.3, 0.9)]
+        part = may_link([sketch(s) for s in sets], [len(s) for s in sets], 80)
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
+                    assert part[i] == part[j]
+
+
+def test_large_groups_are_not_sifted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIFTED_SETS", 2)
+    got = {tuple(r) for r in ngram_groups(frame(spark), 2, 60, block_members=90).collect()}
+    assert got == brute(rows(), 2, 60)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3)]
