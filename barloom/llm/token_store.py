@@ -30,7 +30,7 @@ from barloom.llm.textscan import mix
 #: Ids a rolling hash looks at, and chunk sizes: least, usual and most.
 WINDOW, LEAST, USUAL, MOST = 8, 128, 1024, 8192
 #: Pieces of text a Python worker remembers before it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 PART_BYTES = 1 << 21
 
 _rng = np.random.default_rng(17)
@@ -72,7 +72,7 @@ class Encoder:
         """Pieces of letters only are one word each: many go at once, and the ids that end a word tell them apart."""
         plain, rest = [], []
         for p in pieces:
-            (plain if self.ends_word is not None and p.isalpha() and max(p) <= "\xff" else rest).append(p)
+            (plain if self.ends_word is not None and p.isalpha() and (p.isascii() or max(p) <= "\xff") else rest).append(p)
         known = self.known
         for first in range(0, len(plain), 512):
             some = plain[first : first + 512]
@@ -99,14 +99,16 @@ class Encoder:
             self.known = {}
         known = self.known
         known[""] = b""
-        new: set[str] = set()
-        for parts in cut_:
-            new.update([p for p in parts if p not in known])
+        got = [list(map(known.get, parts)) for parts in cut_]
+        open_ = [k for k, ids in enumerate(got) if None in ids]
+        new = {p for k in open_ for p, ids in zip(cut_[k], got[k]) if ids is None}
         # A full stop or comma after a letter is a token of its own.
         ends = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ".," and p[-2].lower().isalpha()}
         self._ask(list(({p for p in new if p not in ends} | {b for b in ends.values() if b not in known} | {p[-1] for p in ends}) - known.keys()))
         known.update((p, known[b] + known[p[-1]]) for p, b in ends.items())
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut_]
+        for k in open_:
+            got[k] = [known[p] if ids is None else ids for p, ids in zip(cut_[k], got[k])]
+        return [b"".join(ids) for ids in got]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -121,6 +123,8 @@ def encoder(path: str) -> Encoder:
 def cuts(ids: np.ndarray) -> list[int]:
     """Where chunks of a stream of ids begin, and its end."""
     n = len(ids)
+    if n <= LEAST:
+        return [0, n]
     rolled = np.zeros(n, np.uint64)
     terms = _ID[ids & 0xFFFF] + (ids >> 16).astype(np.uint64)
     for j in range(min(WINDOW, n)):
