@@ -10,7 +10,7 @@ from barloom.functions.normalize import keep_first
 from barloom.operators.bars import boundary_mismatches, reindex, rollup_if_finer, snap, snap_daily
 from barloom.operators.validate import issues, quarantine
 from barloom.schema import FIELDS, micros
-from barloom.sources.store import provenance, update
+from barloom.sources.store import provenance, scratch, update
 
 
 def wanted_rows(landed: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -40,7 +40,10 @@ def load(landed: DataFrame, gaps: DataFrame, path: str, asset: str, resolution:
     """Fill gaps from landed rows and store the bars; returns provenance rows. Running it again changes nothing."""
     windows = gaps.select("symbol", F.col("gap_start").alias("start_ts"), F.col("gap_end").alias("end_ts"))
     grid = grid_for(windows, resolution, sessions)
-    bars, _ = on_grid(wanted_rows(landed, gaps), grid, resolution)
+    made, _ = on_grid(wanted_rows(landed, gaps), grid, resolution)
+    spark, staged = landed.sparkSession, scratch(landed.sparkSession, "load")
+    made.select("symbol", "ts", *FIELDS).write.parquet(staged)  # worked out once; checks, upsert and provenance read it
+    bars = spark.read.parquet(staged)
     if boundary_mismatches(bars, grid.join(bars.select("symbol").distinct(), "symbol", "left_semi")).limit(1).count():
         raise ValueError("bars don't cover their grid")
     done = windows.join(bars.select("symbol").distinct(), "symbol", "left_semi")
