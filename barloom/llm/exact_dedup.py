@@ -13,6 +13,23 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), SPACE_CHARS, "")
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, n, body, hash) per row: code points of the original text, the normalised text and its 128-bit hash."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    keyed = rows.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), normalised(F.col("text")).alias("body"))
+    return keyed.withColumn("hash", F.md5("body"))
+
+
+def _groups(keyed: DataFrame) -> DataFrame:
+    """(hash, digest, bytes, keep, n, group_size) per group of equal texts: id and code points of the row that stays."""
+    # Smallest id of each length first: plain minima and counts are kept in place by the hash aggregate, records are not.
+    equal = keyed.groupBy("hash", "body", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    equal = equal.select("hash", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("bytes"), "n", "doc_id", "rows")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), (-F.col("n")).alias("n"), "doc_id"))
+    groups = equal.groupBy("hash", "digest").agg(best.alias("best"), F.sum("rows").alias("group_size"), F.max("bytes").alias("bytes"))
+    return groups.select("hash", "digest", "bytes", F.col("best.doc_id").alias("keep"), (-F.col("best.n")).alias("n"), "group_size")
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) per row of docs.
 
@@ -26,15 +43,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hashes only. The way back from groups to rows is a sort-merge join on hash, digest and length, whose hot keys the
     adaptive skew join splits.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keyed = rows.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), normalised(F.col("text")).alias("body"))
-    keyed = keyed.withColumn("hash", F.md5("body"))
-    # Smallest id of each length first: plain minima and counts are kept in place by the hash aggregate, records are not.
-    equal = keyed.groupBy("hash", "body", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    equal = equal.select("hash", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("bytes"), "n", "doc_id", "rows")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), (-F.col("n")).alias("n"), "doc_id"))
-    groups = equal.groupBy("hash", "digest").agg(best.alias("best"), F.sum("rows").alias("group_size"), F.max("bytes").alias("bytes"))
-    groups = groups.where("group_size > 1").select("hash", "digest", "bytes", F.col("best.doc_id").alias("keep"), "group_size")
+    keyed = _keyed(docs, id_col, text_col)
+    groups = _groups(keyed).where("group_size > 1").drop("n")
     each = keyed.select("doc_id", "hash", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("bytes"))
     out = each.join(groups, ["hash", "digest", "bytes"], "left")
     alone = F.col("group_size").isNull()
@@ -50,10 +60,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they are.
 
-    The row that stays is that of exact_groups; of rows that repeat its id, any one of those with its text.
+    The row that stays is that of exact_groups; of rows that repeat its id with as long a text of the group, any one.
+    Groups and rows meet by content (hash and digest) as well as id and length, so ids may be null or stand on several texts.
     """
-    key, size = fresh(docs, "kept_id"), fresh(docs, "kept_size")
-    flags = exact_groups(docs).where("kept").select(F.col("doc_id").alias(key), F.col("group_size").alias(size)).dropDuplicates([key])
-    kept = docs.join(flags, docs["doc_id"].eqNullSafe(flags[key]))
-    single = kept.where(F.col(size) == 1)
-    return single.unionByName(kept.where(F.col(size) > 1).dropDuplicates([key])).drop(key, size)
+    names = {c: fresh(docs, f"kept_{c}") for c in ("hash", "digest", "n", "id", "unnamed", "size")}
+    content = [names["hash"], names["digest"]]
+    keys = [*content, names["n"], names["id"], names["unnamed"]]
+
+    def named(hashed: Column, digest: Column, n: Column, doc_id: Column) -> list[Column]:
+        return [c.alias(k) for c, k in zip((hashed, digest, n, F.coalesce(doc_id, F.lit(0)), doc_id.isNull()), keys)]
+
+    groups = _groups(_keyed(docs, "doc_id", "text")).select(*named(*map(F.col, ("hash", "digest", "n", "keep"))), F.col("group_size").alias(names["size"]))
+    text = F.col("text").cast("string")
+    body = normalised(text)
+    rows = docs.select("*", *named(F.md5(body), F.sha2(body, 256), F.char_length(F.coalesce(text, F.lit(""))).cast("long"), F.col("doc_id").cast("long")))
+    kept = rows.join(groups, keys)
+    size = F.col(names["size"])
+    return kept.where(size == 1).unionByName(kept.where(size > 1).dropDuplicates(content)).drop(*keys, names["size"])

@@ -126,3 +126,10 @@ def test_drop_copies(spark):
     assert kept.columns == frame(spark).columns
     texts = [re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "") for r in kept.collect()]
     assert len(texts) == len(set(texts)) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in data})
+
+
+def test_drop_copies_of_null_and_shared_ids(spark):
+    data = [(None, "a", "en", "s", 1), (None, "a", "en", "s", 1), (None, "b", "en", "s", 1), (7, "c c", "en", "s", 3), (7, "cc", "en", "s", 2), (7, "d", "en", "s", 1), (8, "d", "en", "s", 1), (7, None, "en", "s", 0), (9, "", "en", "s", 0), (None, "e", "en", "s", 1), (6, "e", "en", "s", 1)]
+    for _ in range(3):
+        kept = sorted(((r["doc_id"], r["text"]) for r in drop_copies(frame(spark, data)).collect()), key=str)
+        assert kept == sorted([(None, "a"), (None, "b"), (7, "c c"), (7, "d"), (7, None), (6, "e")], key=str)
