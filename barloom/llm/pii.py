@@ -102,9 +102,11 @@ _IN_WORDS = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+((?:\s+|_){_AT}(?:\s
 _WORDS_PART = re.compile(rf"(?i)(?:\s+|_)(?:({_AT})|{_DOT})(?:\s+|_)|\s*(@)\s*")
 _SPACED_NUMBERS = re.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}(?![\w.])")
 _SPACED_DOT = re.compile(rf"(?i)\s+{_DOT}\s+")
-_OTHER_SCRIPT = re.compile("[^\x00-ɏ‐-‧‰-⁞]|\xad")
+#: What _plain_letters looks at: all but Latin letters and those punctuation marks that no normal form makes ASCII signs of.
+_OTHER_SCRIPT = re.compile("[^\x00-ɏ‐-‣‧‰-⁞]|\xad")
 _INVISIBLE = frozenset("\xad​‌‍⁠﻿")
-_HINTS = ("dot", "punkt", "punto", "arroba", "arobase", "point", "[at", "(at", "{at", "<at", "[ at", "( at", "[.", "(.", "{.", "[@", "(@", "(a)", "[a]", " @", "@ ", " at ", "_at_")
+#: Each match of _BRACKETED, _IN_WORDS and _SPACED_NUMBERS holds a match of this or an "@".
+_MAY_HIDE = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT}|\.|a)\s*[\])}}>]|[\s_](?:{_AT}|{_DOT})[\s_]")
 
 
 class _View:
@@ -182,7 +184,7 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     low = view.text.lower()
     if sum(low.count(w) for w in _SPELLED) >= 4:
         view.rewrite(_digits(view.text))
-    if any(h in low for h in _HINTS):
+    if "@" in low or _MAY_HIDE.search(view.text):
         view.rewrite(_signs(view.text))
         view.rewrite(_in_words(view.text))
     if view.start is None:

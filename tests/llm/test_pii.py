@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from barloom.llm import pii
 from barloom.llm.pii import disguised_spans, find_pii, plain_spans, redact_pii, redacted
 from tests.llm.cases import DOCS, empty, frame, rows
 
@@ -91,3 +92,28 @@ def test_frames(spark):
 
 def test_redacted_where_spans_meet():
     assert redacted("+1 509 555 6973 x@1.2.3.4 end") == "<PHONE> <EMAIL> end"
+
+
+@pytest.mark.parametrize(
+    "hit",
+    ["max klammeraffe web.de", "max[klammeraffe]web.de", "max(arroba)web.de", "max{a}web.de", "max<a>web.de", "max( a )web.de", "max{@}web.de", "max<@>web.de", "max@web<.>de", "max@web[ . ]de", "max@web{ punkt }de", "max.m\nat\nweb.de", "max.m\tat\tweb.de", "max_at_web_dot_de", "max\n@web.de", "max@web․de", "max[\tAT\n]web.de", "10\ndot\n0\ndot\n0\ndot\n7"],
+)
+def test_each_disguise_alone(hit):
+    text = f"X: {hit}"
+    assert [text[a:b] for _, a, b in disguised_spans(text, plain_spans(text))] == [hit]
+
+
+def test_gate_holds_nothing_back(monkeypatch):
+    r = random.Random(8)
+    parts = ["at", "AT", "dot", "punto", "klammeraffe", "arroba", "a", ".", "@", "[", "]", "(", ")", "{", "}", "<", ">", " ", " ", "\n", "\t", "_", "max", "web", "de", "10", "7", "x.y", "․"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(3, 14))) for _ in range(30_000)]
+    gated = [disguised_spans(t, plain_spans(t)) for t in texts]
+    monkeypatch.setattr(pii, "_MAY_HIDE", re.compile(""))
+    assert gated == [disguised_spans(t, plain_spans(t)) for t in texts] and sum(map(bool, gated)) > 100
+
+
+def test_letters_left_out_make_no_signs():
+    for c in map(chr, range(0x2000, 0x2070)):
+        if not pii._OTHER_SCRIPT.match(c):
+            plain = pii.unicodedata.normalize("NFKC", c)
+            assert c not in pii._LOOK_ALIKES and c not in pii._INVISIBLE and not re.search(r"[A-Za-z0-9._%+@()\[\]{}<>-]", plain)
