@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,17 +90,41 @@ def continuous_contracts(contracts: DataFrame, rule: str = "v", ranks: int = 2)
 def decayed_spread(quotes: DataFrame, ticks: DataFrame, half_life: str = "5min") -> DataFrame:
     """(symbol, ts, spread, mean): spread in ticks and its mean with weights that halve with time, for irregular times.
 
-    The mean runs over a symbol's quotes in order, one symbol at a time.
+    The mean runs over a symbol's quotes in order of ts, then spread, from the first one on; a null spread repeats the
+    mean before it. Quotes are dealt out by symbol and bucket of twelve half-lives. One row of sums per bucket goes
+    through a symbol in order and brings each bucket what came before it, so the whole history counts.
     """
-    spreads = quotes.join(F.broadcast(ticks), "symbol").select("symbol", "ts", ((F.col("ask") - F.col("bid")) / F.col("tick_size")).alias("spread"))
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ts", "spread"])
-        times = rows["ts"].to_numpy("datetime64[ns]").astype(np.int64)
-        rows["mean"] = rows["spread"].ewm(halflife=half_life, times=pd.to_datetime(times)).mean().to_numpy()
-        return rows[["symbol", "ts", "spread", "mean"]]
-
-    return spreads.groupBy("symbol").applyInPandas(run, "symbol string, ts timestamp, spread double, mean double")
+    half = pd.Timedelta(half_life).value / 1000
+    size = max(1, round(12 * half))
+    spread = ((F.col("ask") - F.col("bid")) / F.col("tick_size")).cast("double")
+    spreads = quotes.join(ticks, "symbol").select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.when(~F.isnan(spread), spread).alias("spread"))
+    at = F.unix_micros("ts")
+    keyed = spreads.withColumn("bucket", at - F.pmod(at, F.lit(size)))
+    # Weights as seen from the end of the bucket: between 1 / 4096 and 1.
+    keyed = keyed.withColumn("w", F.when(F.col("spread").isNotNull(), F.pow(F.lit(2.0), (at - F.col("bucket") - size) / half)))
+    sums = keyed.where("bucket is not null").groupBy("symbol", "bucket").agg(F.coalesce(F.sum(F.col("spread") * F.col("w")), F.lit(0.0)).alias("num"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("den"))
+
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums of all buckets before, as seen from the end of this one, and the mean there; rows come by symbol and time."""
+        symbol, bucket, num, den, mean = None, 0, 0.0, 0.0, None
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                if r.symbol != symbol:
+                    symbol, bucket, num, den, mean = r.symbol, r.bucket, 0.0, 0.0, None
+                fade = 2.0 ** ((bucket - r.bucket) / half)
+                bucket, num, den = r.bucket, num * fade, den * fade
+                out.append((symbol, bucket, num, den, mean))
+                if r.den:
+                    num, den = num + r.num, den + r.den
+                    mean = num / den
+            yield pd.DataFrame(out, columns=["symbol", "bucket", "old_num", "old_den", "old_mean"])
+
+    before = sums.repartition("symbol").sortWithinPartitions("symbol", "bucket").mapInPandas(carry, "symbol string, bucket long, old_num double, old_den double, old_mean double")
+    w = Window.partitionBy("symbol", "bucket").orderBy("ts", F.asc_nulls_last("spread")).rowsBetween(Window.unboundedPreceding, 0)
+    running = keyed.withColumns({"num": F.sum(F.col("spread") * F.col("w")).over(w), "den": F.sum("w").over(w)}).join(before, ["symbol", "bucket"], "left")
+    mean = F.when(F.col("den").isNull(), F.col("old_mean")).otherwise((F.col("num") + F.col("old_num")) / (F.col("den") + F.col("old_den")))
+    return running.select("symbol", "ts", "spread", mean.alias("mean"))
 
 
 def enrich(instruments: DataFrame, master: DataFrame, key: str = "symbol") -> DataFrame:

@@ -1,7 +1,9 @@
 """Bar operators on small literal bars."""
 
+import random
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -289,6 +291,25 @@ def test_analytics(spark):
     assert abs(mean[1][1] - (6 + 0.5 * 2) / 1.5) < 1e-9
 
 
+def test_decayed_spread_by_buckets(spark):
+    r = random.Random(2)
+    data = []
+    for symbol in "AB":
+        at = T0 - timedelta(days=20_000)
+        for k in range(400):
+            at += timedelta(seconds=r.choice([0, 1, 50, 900, 7000])) + (timedelta(days=30) if k % 90 == 89 else timedelta(0))
+            data.append((symbol, at, 1.0, None if r.random() < 0.1 or k % 90 < 3 else 1 + r.random()))
+    quotes = spark.createDataFrame(data, "symbol string, ts timestamp, bid double, ask double").repartition(5)
+    out = analytics.decayed_spread(quotes, spark.createDataFrame([("A", 0.5), ("B", 0.25)], "symbol string, tick_size double"))
+    got = out.toPandas().sort_values(["symbol", "ts", "spread"]).reset_index(drop=True)
+    assert len(got) == len(data)
+    for _, one in got.groupby("symbol"):
+        times = pd.to_datetime(one["ts"]).astype("datetime64[ns]")
+        pd.testing.assert_series_equal(one["mean"], one["spread"].ewm(halflife="5min", times=times).mean(), check_names=False, rtol=1e-9)
+    plan = out._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "broadcast" not in plan.split("== Analyzed")[0]
+
+
 # --- store
 
 
