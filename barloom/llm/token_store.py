@@ -10,6 +10,7 @@ sizes, root) and manifest/ (part, first and last doc_id, documents, tokens, root
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
@@ -238,32 +239,55 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
 
     # A partition of `ordered` is one part, in order; its rows go to files of that part.
     ordered.mapInArrow(number, "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<long>, root binary, part int").write.parquet(f"{path}/recipes")
-    written = spark.read.parquet(f"{path}/recipes")
-    tops = written.select("part", "start", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start")
+    _recomputed(spark, path).write.parquet(f"{path}/manifest")
+    drop_path(spark, staged)
+
+
+MANIFEST = "part int, start long, first_doc long, last_doc long, documents long, tokens long, root binary"
+
+
+def _manifest(held: list) -> pa.RecordBatch:
+    kinds = (pa.int32(), *[pa.int64()] * 5, pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held[:6], merkle(held[6])], kinds)], [f.split()[0] for f in MANIFEST.split(", ")])
+
+
+def _recomputed(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest as the recipes give it: a row per part with its first start, documents, tokens and the root of their roots."""
+    written = spark.read.schema("doc_id long, start long, n_tokens long, root binary, part int").parquet(f"{path}/recipes")
+    # Documents without tokens start where the next one does, and come before it.
+    tops = written.select("part", "start", "doc_id", "n_tokens", "root").repartition("part").sortWithinPartitions("part", "start", "n_tokens", "doc_id")
 
     def roots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list | None = None
         for batch in batches:
-            for part, _, doc, n, root in zip(*(c.to_pylist() for c in batch.columns)):
+            for part, start, doc, n, root in zip(*(c.to_pylist() for c in batch.columns)):
                 if held is None or held[0] != part:
                     if held is not None:
                         yield _manifest(held)
-                    held = [part, doc, doc, 0, 0, []]
-                held[2], held[3], held[4] = doc, held[3] + 1, held[4] + n
-                held[5].append(root)
+                    held = [part, start, doc, doc, 0, 0, []]
+                if start != held[1] + held[5]:
+                    raise ValueError("a document doesn't start where the one before it ends")
+                held[3], held[4], held[5] = doc, held[4] + 1, held[5] + n
+                held[6].append(root)
         if held is not None:
             yield _manifest(held)
 
-    tops.mapInArrow(roots_of, MANIFEST).write.parquet(f"{path}/manifest")
-    drop_path(spark, staged)
-
-
-MANIFEST = "part int, first_doc long, last_doc long, documents long, tokens long, root binary"
+    return tops.mapInArrow(roots_of, MANIFEST)
 
 
-def _manifest(held: list) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held[:5], merkle(held[5])], kinds)], [f.split()[0] for f in MANIFEST.split(", ")])
+def _check_manifest(spark: SparkSession, path: str) -> None:
+    """Hold the recipes against the manifest, so that missing, cut or added ones are an error."""
+    names = [f.split()[0] for f in MANIFEST.split(", ")]
+    listed = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").groupBy(*names).agg(F.count("*").alias("rows"))
+    found = _recomputed(spark, path).groupBy(*names).agg(F.count("*").alias("rows"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*names, "rows"]]
+    differ = listed.alias("a").join(found.alias("b"), F.col("a.part") == F.col("b.part"), "full").where(~functools.reduce(lambda x, y: x & y, same))
+    if differ.limit(1).count():
+        raise ValueError("the recipes don't fit the manifest")
+    # Parts follow each other; a manifest that lost the same part as the recipes shows here.
+    bounds = listed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.max(F.col("start") + F.col("tokens")), F.lit(0)).alias("end")).first()
+    if bounds["tokens"] != bounds["end"]:
+        raise ValueError("the manifest lacks a part")
 
 
 def _files(spark: SparkSession, path: str):
@@ -292,7 +316,8 @@ def _chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from the files; a chunk or recipe that doesn't fit its digest or root is an error."""
+    """(doc_id, start, n_tokens, ids) from the files; a chunk, recipe or part that doesn't fit its digest, root or manifest is an error."""
+    _check_manifest(spark, path)
     recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests array<binary>, root binary").parquet(f"{path}/recipes")
     uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("number", "digest"))
     found = uses.join(_chunks(spark, path).select("digest", "blob"), "digest", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("number", "digest", "blob"))).alias("c"))
@@ -350,11 +375,12 @@ def crc_joined(first: int, second: int, size: int) -> int:
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) from the files, every chunk and root checked.
+    """(doc_id, start, n_tokens, ids_crc32) from the files, every chunk and root and the manifest checked.
 
     A chunk is read once, wherever it is used: its bytes are verified and summed up where they lie, and only the sums
     meet the recipes, where CRCs of chunks in order make that of the document.
     """
+    _check_manifest(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -101,3 +101,20 @@ def test_edges(spark, tmp_path):
     ts.write_store(frame(spark, odd), PATH, f"{tmp_path}/o")
     got = ts.read_store(spark, f"{tmp_path}/o").collect()
     assert sorted(str(r["doc_id"]) for r in got) == ["5", "5", "None", "None"] and sorted(r["start"] for r in got)[0] == 0
+
+
+def test_lost_recipes_are_found(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    ts.write_store(frame(spark, rows(20)), PATH, path)
+    recipes, manifest = (spark.createDataFrame(d.collect(), d.schema) for d in (spark.read.parquet(f"{path}/{n}") for n in ("recipes", "manifest")))
+    last = recipes.agg({"start": "max"}).first()[0]
+    for changed in (recipes.where(f"start < {last}"), recipes.where("start > 0"), recipes.where("start = 0"), recipes.limit(0), recipes.selectExpr("doc_id", "start + 1 AS start", "n_tokens", "digests", "sizes", "root", "part")):
+        changed.write.mode("overwrite").parquet(f"{path}/recipes")
+        for read in (ts.read_store, ts.read_checksums):
+            with pytest.raises(Exception, match="fit the manifest|where the one before it ends"):
+                read(spark, path).collect()
+    recipes.write.mode("overwrite").parquet(f"{path}/recipes")
+    assert ts.read_checksums(spark, path).count() == ts.read_store(spark, path).count() == recipes.count()
+    manifest.limit(0).write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(Exception, match="fit the manifest"):
+        ts.read_checksums(spark, path).collect()
