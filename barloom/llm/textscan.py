@@ -15,7 +15,8 @@ _INVERSE = np.uint64(pow(int(_PRIME), -1, 2**64))
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base of rolling hashes, and of its inverse."""
     if len(_powers["up"]) < n:
         for name, base in (("up", _PRIME), ("down", _INVERSE)):
             p = np.full(n, base, np.uint64)
@@ -47,7 +48,7 @@ def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     end = inside
     end[:-1] &= ~inside[1:] | edge[1:n]
     first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    up, down = _power(n)
+    up, down = power(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
     return mix((sums[last] - sums[first]) * down[first]), first, last, np.searchsorted(first, ends)
@@ -58,7 +59,7 @@ def heads(raw: np.ndarray, first: np.ndarray, last: np.ndarray, sizes: tuple[int
     n = len(raw)
     if not len(first):
         return [np.empty(0, np.uint64) for _ in sizes]
-    up, down = _power(n)
+    up, down = power(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[raw] * up[:n], out=sums[1:])
     return [mix((sums[np.minimum(first + k, last)] - sums[first]) * down[first] + np.uint64(k)) for k in sizes]

@@ -12,10 +12,11 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
 import os
 import re
-import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +26,67 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut, drop_path, scratch_path, slices
-from barloom.llm.textscan import mix
+from barloom.llm.bpe import byte_letters
+from barloom.llm.common import SPACE_CHARS, cut, drop_path, scratch_path, slices, utf8
+from barloom.llm.textscan import mix, power
 
 #: Ids a rolling hash looks at, and chunk sizes: least, usual and most.
 WINDOW, LEAST, USUAL, MOST = 8, 128, 1024, 8192
-#: Pieces of text a Python worker remembers before it starts anew.
-REMEMBERED = 500_000
-PART_BYTES = 1 << 21
+#: Pieces of text a Python worker remembers before it starts anew, and the longest that it remembers.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 200
+PART_BYTES = 1 << 22
 
 _rng = np.random.default_rng(17)
 _ID = _rng.integers(1, 2**63, 1 << 16, dtype=np.uint64)
-_POWER = np.cumprod(np.concatenate([[1], np.full(WINDOW, 0x9E3779B97F4A7C15, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+_press, _unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+# The normaliser and pre-tokenizer of vocabularies whose texts may be cut into pieces beforehand.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [SPLIT, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+_SPACE, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SPACE[[ord(c) for c in SPACE_CHARS]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SIGNS = "".join(chr(b) for b in range(33, 127) if not chr(b).isalnum())
+
+
+def pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts cut where the fixed pre-tokenizer cuts in any case: at white space, and before a full stop or comma between an ASCII letter and white space or the end.
+
+    Gives the pieces' bytes end to end, where each begins there (one more at the end), and per text where its pieces
+    begin (one more at the end). A-Z become lower case in texts without combining marks (all lie above U+02FF), where
+    normal forms change nothing, and without the beginning of a special token, which is looked for before lower-casing.
+    """
+    n = len(raw)
+    if n == 0:
+        return raw, np.zeros(1, np.int32), np.zeros(len(ends), np.int64)
+    edge = np.zeros(n + 1, bool)
+    edge[ends] = True
+    inside = ~_SPACE[raw]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1] | edge[1:n]
+    stop = np.flatnonzero((raw[1:] == ord(".")) | (raw[1:] == ord(","))) + 1
+    stop = stop[_LETTER[raw[stop - 1]] & ~edge[stop]]
+    begin[stop[edge[stop + 1] | ~inside[np.minimum(stop + 1, n - 1)]]] = True
+    odd = raw >= 0xCC
+    odd[:-1] |= (raw[:-1] == ord("<")) & (raw[1:] == ord("|"))
+    low = _LOWER[raw]
+    if odd.any():
+        seen = np.concatenate([[0], np.cumsum(odd)])[ends]
+        low = np.where(np.repeat(np.diff(seen) > 0, np.diff(ends)), raw, low)
+    first = np.flatnonzero(begin)
+    kept = np.cumsum(inside, dtype=np.int32)
+    return low[inside], np.append(kept[first] - 1, kept[-1]).astype(np.int32), np.searchsorted(first, ends)
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, which is asked once for each piece between white space.
+    """Ids of texts by the tokenizers library, which is asked once for each piece that is new to a worker.
 
-    No token of the vocabularies meant here reaches over a space, tab or line break, so a text's ids are those of its
-    pieces, one after the other; check() makes sure of that for a vocabulary.
+    Texts are cut into pieces only if the vocabulary has the normaliser and pre-tokenizer for which that is proven not
+    to matter, and special tokens that are looked for as they stand; else the library gets whole texts.
     """
 
     def __init__(self, path: str):
@@ -53,63 +96,62 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        plain = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in spec.get("added_tokens") or [])
+        self.by_pieces = plain and spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == PRE_TOKENIZER
+        self.word = self.library.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[str, bytes] = {}
-        self.lower = "Lowercase" in str(self.library.normalizer)
-        suffix = getattr(self.library.model, "end_of_word_suffix", None)
-        self.ends_word = None
-        if suffix:
-            vocab = self.library.get_vocab(with_added_tokens=True)
-            self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
-            self.ends_word[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
-        self.check()
-
-    def check(self) -> None:
-        text = "Ab cd, it's 12\te\n\nf...  G"
-        whole = self.library.encode(text, add_special_tokens=False).ids
-        if whole != [i for p in text.split() for i in self.library.encode(p, add_special_tokens=False).ids]:
-            raise ValueError("this vocabulary has tokens that reach over white space")
-
-    def _ask(self, pieces: list[str]) -> None:
-        """Pieces of letters only are one word each: many go at once, and the ids that end a word tell them apart."""
-        plain, rest = [], []
-        for p in pieces:
-            (plain if self.ends_word is not None and p.isalpha() and (p.isascii() or max(p) <= "\xff") else rest).append(p)
-        known = self.known
-        for first in range(0, len(plain), 512):
-            some = plain[first : first + 512]
-            ids = np.array(self.library.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            raw, ends = ids.tobytes(), ((np.flatnonzero(self.ends_word[ids]) + 1) * 4).tolist()
-            known.update((p, raw[a:b]) for p, a, b in zip(some, [0, *ends], ends, strict=False))
-            if len(ends) != len(some):
-                raise ValueError("this vocabulary marks the ends of words in another way")
-        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
-            known[p] = struct.pack(f"<{len(e.ids)}I", *e.ids)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as 32-bit integers end to end."""
-        cut_ = []
-        for t in texts:
-            if self.lower and "<|" not in t:
-                try:  # in Latin-1 the library's lower case is Python's; fewer pieces differ then
-                    t.encode("latin-1")
-                    t = t.lower()
-                except UnicodeEncodeError:
-                    pass
-            cut_.append([p for p in re.split(r"[ \t\n\r]", t) if p] if "\t" in t or "\r" in t else t.replace("\n", " ").split(" "))
+    def _one(self, word: str) -> bytes:
+        """Ids of a lower-case word of Latin-1 letters, or of ASCII signs: the pre-tokenizer leaves it whole, so the library's model gets its byte letters."""
+        return array("I", [t.id for t in self.word(word if word.isascii() else word.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        known, one, got, rest = self.known, self._one, {}, []
+        for p in new:
+            low = p.lower() if p.isascii() or max(p) <= "\xff" else ""
+            if low.isalpha() and len(p) <= REMEMBERED_CHARS:
+                got[p] = one(low)
+                continue
+            core = low.rstrip(_SIGNS)
+            if not core.isalpha() or len(p) > REMEMBERED_CHARS or "<|" in low:
+                rest.append(p)
+                continue
+            for part in (core, low[len(core) :]):
+                if part not in known:
+                    known[part] = one(part)
+            got[p] = known[core] + known[low[len(core) :]]
+        got.update((p, array("I", e.ids).tobytes()) for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)))
+        known.update(got if all(len(p) <= REMEMBERED_CHARS for p in rest) else {p: ids for p, ids in got.items() if len(p) <= REMEMBERED_CHARS})
+        return got
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (one more at the end); null counts as empty."""
+        if not self.by_pieces:
+            got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
+            return np.concatenate([np.empty(0, np.uint32), *got]), np.cumsum([0, *map(len, got)])
+        data, offsets, at = pieces(*utf8(column))
+        words = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > REMEMBERED:
             self.known = {}
-        known = self.known
-        known[""] = b""
-        got = [list(map(known.get, parts)) for parts in cut_]
-        open_ = [k for k, ids in enumerate(got) if None in ids]
-        new = {p for k in open_ for p, ids in zip(cut_[k], got[k]) if ids is None}
-        # A full stop or comma after a letter is a token of its own.
-        ends = {p: p[:-1] for p in new if len(p) > 1 and p[-1] in ".," and p[-2].lower().isalpha()}
-        self._ask(list(({p for p in new if p not in ends} | {b for b in ends.values() if b not in known} | {p[-1] for p in ends}) - known.keys()))
-        known.update((p, known[b] + known[p[-1]]) for p, b in ends.items())
-        for k in open_:
-            got[k] = [known[p] if ids is None else ids for p, ids in zip(cut_[k], got[k])]
-        return [b"".join(ids) for ids in got]
+        each = list(map(self.known.get, names))
+        new = self._learn([p for p, ids in zip(names, each) if ids is None])
+        if new:
+            each = [new[p] if ids is None else ids for p, ids in zip(names, each)]
+        pool = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
+        codes = words.indices.to_numpy()
+        n = sizes[codes]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        return pool[np.repeat((np.cumsum(sizes) - sizes)[codes] - stops[:-1], n) + np.arange(stops[-1])], stops[at]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 32-bit integers end to end."""
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -121,38 +163,46 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks of a stream of ids begin, and its end."""
-    n = len(ids)
-    if n <= LEAST:
-        return [0, n]
-    rolled = np.zeros(n, np.uint64)
-    terms = _ID[ids & 0xFFFF] + (ids >> 16).astype(np.uint64)
-    for j in range(min(WINDOW, n)):
-        rolled[j:] += terms[: n - j] * _POWER[j]
-    out = [0]
-    for c in (np.flatnonzero(mix(rolled) % np.uint64(USUAL) == 0) + 1).tolist():
-        while c - out[-1] > MOST:
+def cuts_of(ids: np.ndarray, at: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where chunks of streams of ids (end to end; at: where each begins, one more at the end) begin, and per stream the number of its first chunk; one more each at the end."""
+    sums = np.zeros(len(ids) + 1, np.uint64)
+    up, down = power(len(ids) + 1)
+    np.cumsum((_ID[ids & 0xFFFF] + (ids >> 16).astype(np.uint64)) * up[: len(ids)], out=sums[1:])
+    # A chunk has LEAST ids, so a window that ends it never reaches over the beginning of its stream.
+    rolled = mix((sums[WINDOW:] - sums[:-WINDOW]) * down[: max(len(sums) - WINDOW, 0)])
+    places = np.flatnonzero(rolled % np.uint64(USUAL) == 0) + WINDOW
+    bounds = np.searchsorted(places, at).tolist()
+    out, first = [], []
+    for k, (a, b) in enumerate(zip(at.tolist(), at[1:].tolist())):
+        first.append(len(out))
+        out.append(a)
+        for c in places[bounds[k] : bounds[k + 1]].tolist() if b - a > LEAST else ():
+            while c - out[-1] > MOST:
+                out.append(out[-1] + MOST)
+            if c - out[-1] >= LEAST and c < b:
+                out.append(c)
+        while b - out[-1] > MOST:
             out.append(out[-1] + MOST)
-        if c - out[-1] >= LEAST and c < n:
-            out.append(c)
-    while n - out[-1] > MOST:
-        out.append(out[-1] + MOST)
-    return [*out, n]
+    return [*out, len(ids)], [*first, len(out)]
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Where chunks of one stream of ids begin, and its end."""
+    return cuts_of(ids, np.array([0, len(ids)]))[0]
 
 
 def digest_of(ids: np.ndarray) -> bytes:
-    return hashlib.blake2b(ids.astype("<u4").tobytes(), digest_size=16).digest()
+    return hashlib.blake2b(np.ascontiguousarray(ids, "<u4").data, digest_size=16).digest()
 
 
 def packed(ids: np.ndarray) -> bytes:
     """A chunk's bytes: narrow ids take two bytes, the low ones first, then the high ones, compressed."""
     wide = len(ids) > 0 and int(ids.max()) > 0xFFFF
-    return (b"\x04" if wide else b"\x02") + zstandard.ZstdCompressor(level=3).compress(ids.astype("<u4" if wide else "<u2").tobytes())
+    return (b"\x04" if wide else b"\x02") + _press.compress(ids.astype("<u4" if wide else "<u2").tobytes())
 
 
 def unpacked(blob: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), "<u4" if blob[:1] == b"\x04" else "<u2").astype(np.uint32)
+    return np.frombuffer(_unpress.decompress(blob[1:]), "<u4" if blob[:1] == b"\x04" else "<u2").astype(np.uint32)
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -163,61 +213,68 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else bytes(16)
 
 
+RECIPE = "doc_id long, row long, n_tokens long, digests array<binary>, sizes array<long>"
+CHUNK = "n long, digest binary, blob binary"
+
+
 def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text of docs, append end_id, and write the store below path.
 
     Null and empty texts are the end id alone. Rows that repeat a doc_id, and rows without one (which come first), are
     documents of their own. Other columns are ignored. Texts are encoded whole. An empty table writes an empty store.
-    Chunks are shuffled once, by digest, and each task sends a digest's bytes once; recipes carry digests only. What
-    comes to the driver is a count per part of the store.
+    Chunks are shuffled once, by digest, and each task sends a digest's bytes once; recipes carry digests and sizes only.
+    What comes to the driver is a count per part of the store.
     """
     spark = docs.sparkSession
-    # Columns of one Arrow row: a chunk's bytes (blob set) or a document's use of a chunk (number set).
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    # Columns of one Arrow row: a document's recipe, or a chunk (digest set).
+    recipe = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_tokens", pa.int64()), ("digests", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64()))])
+    chunk = pa.schema([("n", pa.int64()), ("digest", pa.binary()), ("blob", pa.binary())])
+    both = pa.schema([*recipe, *chunk])
+
+    def filled(columns: list, n: int, before: bool) -> pa.RecordBatch:
+        empty = [pa.nulls(n, f.type) for f in (chunk if before else recipe)]
+        return pa.RecordBatch.from_arrays([*columns, *empty] if before else [*empty, *columns], schema=both)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[bytes] = set()
         ask = encoder(tokenizer)
-        end = struct.pack("<I", end_id)
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
-                out: list[tuple] = []
-                for doc, row, ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ask.encode([t or "" for t in part.column(2).to_pylist()])):
-                    stream = np.frombuffer(ids + end, "<u4")
-                    at = cuts(stream)
-                    for k, (a, b) in enumerate(zip(at, at[1:])):
-                        name = digest_of(stream[a:b])
-                        if name not in sent:
-                            if len(sent) > 1_000_000:
-                                sent.clear()
-                            sent.add(name)
-                            out.append((None, None, None, b - a, name, packed(stream[a:b])))
-                        out.append((doc, row, k, b - a, name, None))
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "row", "number", "n", "digest", "blob"])
-
-    both = rows.mapInArrow(run, "doc_id long, row long, number long, n long, digest binary, blob binary")
-    is_chunk = F.col("blob").isNotNull()
-    # Uses go wherever their digest and place send them, so that a chunk many documents share makes no large partition.
-    dealt = both.repartition(F.when(is_chunk, F.col("digest")).otherwise(F.concat(F.col("digest"), F.hex("row").cast("binary"), F.hex("number").cast("binary")))).sortWithinPartitions("digest")
+                ids, at = ask.encode_column(part.column(2))
+                stream = np.insert(ids, at[1:], end_id).astype("<u4")
+                at = at + np.arange(len(at))
+                bounds, first = cuts_of(stream, at)
+                names = [digest_of(stream[a:b]) for a, b in zip(bounds, bounds[1:])]
+                offsets = pa.array(first, pa.int32())
+                sizes = pa.ListArray.from_arrays(offsets, pa.array(np.diff(bounds), pa.int64()))
+                yield filled([part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(names, pa.binary())), sizes], part.num_rows, True)
+                if len(sent) > 1_000_000:
+                    sent.clear()
+                new = {name: k for k, name in enumerate(names) if name not in sent}
+                sent.update(new)
+                blobs = [packed(stream[bounds[k] : bounds[k + 1]]) for k in new.values()]
+                yield filled([pa.array([bounds[k + 1] - bounds[k] for k in new.values()], pa.int64()), pa.array(new.keys(), pa.binary()), pa.array(blobs, pa.binary())], len(new), False)
+
+    made = rows.mapInArrow(run, f"{RECIPE}, {CHUNK}")
+    # Rows of one digest meet; recipes go anywhere.
+    dealt = made.repartition(F.coalesce("digest", F.hex("row").cast("binary"))).sortWithinPartitions("digest")
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A chunk's bytes may come from several tasks; they lie side by side."""
         last = None
         for batch in batches:
             keep = []
-            for name, has in zip(batch.column(4).to_pylist(), batch.column(5).is_valid().to_pylist()):
-                keep.append(not has or name != last)
-                last = name if has else last
-            yield pa.RecordBatch.from_struct_array(batch.to_struct_array().filter(pa.array(keep)))
+            for name in batch.column(batch.schema.get_field_index("digest")).to_pylist():
+                keep.append(name is None or name != last)
+                last = name
+            yield pa.RecordBatch.from_struct_array(batch.to_struct_array().filter(pa.array(keep, pa.bool_())))
 
     staged = scratch_path(spark, "token-store")
-    single = dealt.mapInArrow(once, both.schema).withColumn("kind", F.when(is_chunk, "chunk").otherwise("use"))
+    single = dealt.mapInArrow(once, made.schema).withColumn("kind", F.when(F.col("digest").isNotNull(), "chunk").otherwise("recipe"))
     single.write.partitionBy("kind").option("compression", "uncompressed").parquet(staged)
-    uses = spark.read.schema("doc_id long, row long, number long, n long, digest binary").parquet(f"{staged}/kind=use") if _exists(spark, f"{staged}/kind=use") else spark.createDataFrame([], "doc_id long, row long, number long, n long, digest binary")
+    recipes = spark.read.schema(RECIPE).parquet(f"{staged}/kind=recipe") if _exists(spark, f"{staged}/kind=recipe") else spark.createDataFrame([], RECIPE)
     _move(spark, f"{staged}/kind=chunk", f"{path}/chunks")
-    recipes = uses.groupBy("doc_id", "row").agg(F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("number", "digest", "n"))).alias("c"))
-    recipes = recipes.select("doc_id", "row", "n_tokens", F.col("c.digest").alias("digests"), F.col("c.n").alias("sizes"))
     parts = max(1, docs.rdd.getNumPartitions())
     ordered = cut(recipes.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").withColumn("part", F.spark_partition_id()))
     sums = {r["part"]: r["t"] for r in ordered.groupBy("part").agg(F.sum("n_tokens").alias("t")).collect()}
@@ -305,30 +362,50 @@ def _move(spark: SparkSession, a: str, b: str) -> None:
     p, fs = _files(spark, a)
     q, _ = _files(spark, b)
     fs.mkdirs(q.getParent())
-    if fs.exists(p):
-        fs.rename(p, q)
-    else:
-        fs.mkdirs(q)
+    if not (fs.rename(p, q) if fs.exists(p) else fs.mkdirs(q)):
+        raise OSError(f"{a} can't become {b}")
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("n long, digest binary, blob binary").parquet(f"{path}/chunks")
 
 
+def _uses(spark: SparkSession, path: str) -> DataFrame:
+    """A row per chunk of each document, in its place, with the bytes of ids that come after it; recipes that don't fit their roots are an error."""
+    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests array<binary>, sizes array<long>, root binary").parquet(f"{path}/recipes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes = batch.column(3), batch.column(4)
+            for n, names, own, root in zip(batch.column(2).to_pylist(), digests.to_pylist(), sizes.to_pylist(), batch.column(5).to_pylist()):
+                if not names or len(names) != len(own) or sum(own) != n or merkle(names) != root:
+                    raise ValueError("a recipe doesn't fit its root")
+            counts = digests.value_lengths().to_numpy()
+            of = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            n = sizes.flatten().to_numpy()
+            ends = np.cumsum(n)
+            stops = np.concatenate([[0], ends])[np.cumsum(counts)]
+            number = np.arange(len(n)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(of) for k in range(3)), pa.array(number, pa.int64()), digests.flatten(), pa.array(n), pa.array(4 * (np.repeat(stops, counts) - ends))],
+                ["doc_id", "start", "n_tokens", "number", "digest", "n", "after"],
+            )
+
+    return recipes.mapInArrow(run, "doc_id long, start long, n_tokens long, number long, digest binary, n long, after long")
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) from the files; a chunk, recipe or part that doesn't fit its digest, root or manifest is an error."""
     _check_manifest(spark, path)
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests array<binary>, root binary").parquet(f"{path}/recipes")
-    uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("number", "digest"))
-    found = uses.join(_chunks(spark, path).select("digest", "blob"), "digest", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("number", "digest", "blob"))).alias("c"))
+    found = _uses(spark, path).join(_chunks(spark, path).select("digest", "blob"), "digest", "left").groupBy("doc_id", "start", "n_tokens").agg(F.array_sort(F.collect_list(F.struct("number", "digest", "n", "blob"))).alias("c"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             ids = []
-            for n, root, chunks in zip(rows["n_tokens"], rows["root"], rows["c"]):
+            for n, chunks in zip(rows["n_tokens"], rows["c"]):
                 parts = [_verified(bytes(c["digest"]), c["blob"]) for c in chunks]
-                if merkle([bytes(c["digest"]) for c in chunks]) != bytes(root) or sum(map(len, parts)) != n:
-                    raise ValueError("a recipe doesn't fit its root")
+                if [len(p) for p in parts] != [c["n"] for c in chunks] or sum(map(len, parts)) != n:
+                    raise ValueError("a recipe doesn't fit its chunks")
                 ids.append(np.concatenate(parts).astype(np.int64))
             yield rows[["doc_id", "start", "n_tokens"]].assign(ids=ids)
 
@@ -344,64 +421,55 @@ def _verified(digest: bytes, blob: bytes | None) -> np.ndarray:
     return ids
 
 
-_POLY = 0xEDB88320
+_POLY = np.uint32(0xEDB88320)
 
 
-def _times(a: int, b: int) -> int:
-    """Product of polynomials modulo that of CRC-32, bits reversed as usual."""
-    out = 0
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of polynomials modulo that of CRC-32, bits reversed as usual."""
+    out = np.zeros_like(b)
     for k in range(31, -1, -1):
-        if a >> k & 1:
-            out ^= b
-        b = b >> 1 ^ (_POLY if b & 1 else 0)
+        out ^= b * (a >> np.uint32(k) & np.uint32(1))
+        b = b >> np.uint32(1) ^ _POLY * (b & np.uint32(1))
     return out
 
 
-_shift: dict[int, int] = {}
+def shifted(crcs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """CRC-32 values as they count where so many bytes follow: the CRC of byte strings end to end is the exclusive or of theirs."""
+    out, n = crcs.astype(np.uint32), 8 * sizes.astype(np.int64)
+    square = np.full(1, 1 << 30, np.uint32)  # x, then x^2, x^4 and so on
+    while n.any():
+        odd = n & 1 == 1
+        out[odd] = _times(np.broadcast_to(square, int(odd.sum())), out[odd])
+        square, n = _times(square, square), n >> 1
+    return out
 
 
 def crc_joined(first: int, second: int, size: int) -> int:
     """CRC-32 of two byte strings end to end, from their own and the size of the second."""
-    if size not in _shift:
-        factor, square, n = 1 << 31, 1 << 30, 8 * size  # x^0 and x^1
-        while n:
-            if n & 1:
-                factor = _times(square, factor)
-            square, n = _times(square, square), n >> 1
-        if len(_shift) < 100_000:
-            _shift[size] = factor
-        return _times(factor, first) ^ second
-    return _times(_shift[size], first) ^ second
+    return int(shifted(np.array([first]), np.array([size]))[0]) ^ second
 
 
 def read_checksums(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the files, every chunk and root and the manifest checked.
 
     A chunk is read once, wherever it is used: its bytes are verified and summed up where they lie, and only the sums
-    meet the recipes, where CRCs of chunks in order make that of the document.
+    meet the recipes. The CRC of a document is the exclusive or of its chunks', each moved by the bytes after it.
     """
     _check_manifest(spark, path)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [(_verified(d, b)) for d, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in got], pa.int64())], ["digest", "n", "crc"])
-
-    chunks = _chunks(spark, path).select("digest", "blob").mapInArrow(sums, "digest binary, n long, crc long")
-    recipes = spark.read.schema("doc_id long, start long, n_tokens long, digests array<binary>, root binary").parquet(f"{path}/recipes")
-    uses = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("digests").alias("number", "digest"))
-    found = uses.join(chunks, "digest", "left").groupBy("doc_id", "start", "n_tokens", "root").agg(F.array_sort(F.collect_list(F.struct("number", "digest", "n", "crc"))).alias("c"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in got], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").data) for x in got], pa.int64())], ["digest", "found", "crc"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            crcs = []
-            for n, root, uses_ in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if any(c["n"] is None for c in uses_) or sum(c["n"] for c in uses_) != n or merkle([c["digest"] for c in uses_]) != root:
-                    raise ValueError("a recipe doesn't fit its root or chunks")
-                crc = 0
-                for c in uses_:
-                    crc = crc_joined(crc, c["crc"], 4 * c["n"])
-                crcs.append(crc)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return found.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+            if batch.column(5).null_count or not batch.column(3).equals(batch.column(5)):
+                raise ValueError("a chunk is missing or doesn't fit a recipe")
+            crc = shifted(batch.column(6).to_numpy(), batch.column(4).to_numpy()).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc)], ["doc_id", "start", "n_tokens", "crc"])
+
+    chunks = _chunks(spark, path).select("digest", "blob").mapInArrow(sums, "digest binary, found long, crc long")
+    met = _uses(spark, path).join(chunks, "digest", "left").select("doc_id", "start", "n_tokens", "n", "after", "found", "crc")
+    each = met.mapInArrow(moved, "doc_id long, start long, n_tokens long, crc long")
+    return each.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
