@@ -2,7 +2,7 @@
 
 Merges are found with a segment tree over the ranks of adjacent pairs: its root names the leftmost pair of the lowest
 rank, and a merge changes three leaves, each in a logarithmic number of steps. Many pieces of text are merged side by
-side, one row of a numpy array each. Every task remembers a bounded number of pieces it has met.
+side, one row of a numpy array each. Every worker remembers a bounded number of bounded pieces it has met.
 """
 
 from __future__ import annotations
@@ -13,18 +13,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, slices
+from barloom.llm.common import SPACE_CHARS, fresh, slices, utf8
+from barloom.llm.pieces import distinct, spread
 
 #: Fixed: the pattern by which byte-level BPE of this kind cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces a Python worker remembers before it starts anew.
-REMEMBERED = 250_000
+#: Pieces a Python worker remembers before it starts anew, and the longest that it remembers.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 200
 #: Bytes of text that are worked on at once.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 22
+#: Kinds of bytes: white space, ASCII letters, digits, other ASCII (no white space), parts of other characters.
+SPACE, LETTER, DIGIT, SIGN, WIDE = range(5)
+_KIND = np.full(256, SIGN, np.uint8)
+_KIND[[ord(c) for c in SPACE_CHARS]] = SPACE
+_KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+_KIND[48:58] = DIGIT
+_KIND[128:] = WIDE
+#: First bytes of two-byte characters none of which is white space.
+_TWO = np.zeros(256, bool)
+_TWO[0xC3:0xE0] = True
 #: Rows of one segment-tree batch, and the width from which pieces are merged one by one.
 BATCH_ROWS, SINGLE_FROM = 1 << 14, 256
 NONE = np.iinfo(np.int64).max
@@ -37,6 +49,28 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(free)) for b in range(256)]
 
 
+def cut_places(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pattern cuts texts in any case, the beginnings of texts included.
+
+    That is between ASCII letters, digits and signs, unless the sign is an apostrophe that letters follow; before white
+    space that doesn't follow white space; and after a single white space other than a space, where no white space follows.
+    Whatever may be white space of another kind (any character of three bytes or more, and some of two) is left alone.
+    """
+    n = len(raw)
+    cut = np.zeros(n + 1, bool)
+    cut[ends] = True
+    if n > 1:
+        kind = _KIND[raw]
+        left, right = kind[:-1], kind[1:]
+        solid = (left != SPACE) & (left != WIDE)  # the character before is surely no white space
+        solid[1:] |= _TWO[raw[:-2]] & (left[1:] == WIDE)
+        follows = (right != SPACE) & ((right != WIDE) | _TWO[raw[1:]])
+        cut[1:n] |= (left != right) & (left != SPACE) & (right != SPACE) & (left != WIDE) & (right != WIDE) & (raw[:-1] != ord("'"))
+        cut[1:n] |= (right == SPACE) & solid
+        cut[1:n] |= (left == SPACE) & cut[: n - 1] & (raw[:-1] != ord(" ")) & follows
+    return np.flatnonzero(cut[:n])
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -59,7 +93,7 @@ class Vocabulary:
         self.text_pool = np.frombuffer(b"".join(self.text), np.uint8)
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
-        self.inner: dict[str, bytes] = {}
+        self.made_list = self.made.tolist()
         self.pattern = regex.compile(PATTERN)
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -122,7 +156,7 @@ class Vocabulary:
         """The same for one long piece, with plain lists."""
         n = len(symbols) - 1
         width = 1 << max(n - 1, 0).bit_length()
-        none, rank_of, made = 1 << 62, self.rank_of, self.made.tolist()
+        none, rank_of, made = 1 << 62, self.rank_of, self.made_list
         tree = [none] * (2 * width)
         for i in range(n):
             r = rank_of.get(symbols[i] << 32 | symbols[i + 1])
@@ -180,44 +214,49 @@ class Vocabulary:
                     out[i] = flat[b:e].tobytes()
         return out
 
-    def remember(self, wholes: set[str]) -> None:
-        """Take up texts' parts, each cut by the pattern and merged."""
-        if len(self.known) + len(wholes) > REMEMBERED:
-            self.known, self.inner = {}, {}
-        new = [w for w in wholes if w not in self.known]
-        cut = [self.pattern.findall(w) for w in new]
-        pieces = list({p for c in cut for p in c if p not in self.inner})
-        self.inner.update(zip(pieces, self.encode_pieces(pieces)))
-        inner = self.inner
-        self.known.update((w, b"".join([inner[p] for p in c])) for w, c in zip(new, cut))
-
-    #: White space next to a space: there the pattern looks beyond a single space.
-    _odd_space = re.compile(r" \s|\s | $|^ ")
-
-    def parts(self, text: str) -> list[str]:
-        """Parts that the pattern cuts apart in any case: before each single space between other characters."""
-        if self._odd_space.search(text):
-            return self.pattern.findall(text)
-        head, *rest = text.split(" ")
-        return [head, *(" " + p for p in rest)]
+    def learn(self, new: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces of text, each cut by the pattern and merged; those that aren't too long are remembered."""
+        cut = [self.pattern.findall(p) for p in new]
+        inner = list({p for c in cut for p in c if p not in self.known})
+        got = dict(zip(inner, self.encode_pieces(inner)))
+        got.update((w, b"".join([got.get(p) or self.known[p] for p in c])) for w, c in zip(new, cut) if len(c) != 1)
+        got.update((p, self.known[p]) for p in new if p not in got)
+        self.known.update((p, ids) for p, ids in got.items() if len(p) <= REMEMBERED_CHARS)
+        return got
+
+    def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (one more at the end); null counts as empty."""
+        column = pc.fill_null(column, "")
+        if any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special):
+            split = [self.special_split.split(t) for t in column.to_pylist()]  # every other part is a special token
+            ids, at = self._encode_plain(pa.array([p for parts in split for p in parts[::2]], pa.string()))
+            out, size, k = [], [0], 0
+            for parts in split:
+                mine = []
+                for j, p in enumerate(parts):
+                    mine.append(np.array([self.special[p]], np.uint32) if j % 2 else ids[at[k + j // 2] : at[k + j // 2 + 1]])
+                k += (len(parts) + 1) // 2
+                out += mine
+                size.append(size[-1] + sum(map(len, mine)))
+            return np.concatenate(out), np.array(size)
+        return self._encode_plain(column)
+
+    def _encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        raw, ends = utf8(column)
+        first = cut_places(raw, ends)
+        names, numbers = distinct(raw, np.append(first, len(raw)))
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        each = list(map(self.known.get, names))
+        new = self.learn([p for p, ids in zip(names, each) if ids is None])
+        if new:
+            each = [new[p] if ids is None else ids for p, ids in zip(names, each)]
+        return spread(each, numbers, np.searchsorted(first, ends))
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit integers end to end."""
-        cut: list[list] = []
-        for text in texts:
-            if self.special_split is not None and any(s in text for s in self.special):
-                parts: list = []
-                for k, p in enumerate(self.special_split.split(text)):
-                    parts += [self.special[p]] if k % 2 else self.parts(p) if p else []
-                cut.append(parts)
-            else:
-                cut.append(self.parts(text) if text else [])
-        self.remember({p for parts in cut for p in parts if isinstance(p, str)})
-        known = self.known
-        try:
-            return [b"".join([known[p] for p in parts]) for parts in cut]
-        except KeyError:  # a special token's id stands among the parts
-            return [b"".join([known[p] if isinstance(p, str) else np.array([p], "<i4").tobytes() for p in parts]) for parts in cut]
+        ids, at = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
 
     def decode_ids(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
         """Texts of lists of ids (end to end; ends: where each begins, one more at the end); bytes that are no UTF-8 become U+FFFD. Unknown ids are no text."""
@@ -239,11 +278,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _loaded[path]
 
 
-def _lists(parts: list[bytes]) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)]) // 4
-    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
-
-
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """docs with a column of token ids (array<int>), the text column dropped.
 
@@ -259,8 +293,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         vocab = vocabulary(path)
         for batch in batches:
             for part in slices(batch, text, PART_BYTES):
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], _lists(vocab.encode_texts(texts))], [*rest, ids_col])
+                ids, at = vocab.encode_column(part.column(part.num_columns - 1))
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*rest, ids_col])
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text)).mapInArrow(run, schema)
 

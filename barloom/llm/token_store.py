@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.bpe import byte_letters
 from barloom.llm.common import SPACE_CHARS, cut, drop_path, scratch_path, slices, utf8
+from barloom.llm.pieces import distinct, spread
 from barloom.llm.textscan import mix, power
 
 #: Ids a rolling hash looks at, and chunk sizes: least, usual and most.
@@ -62,7 +63,7 @@ def pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     """
     n = len(raw)
     if n == 0:
-        return raw, np.zeros(1, np.int32), np.zeros(len(ends), np.int64)
+        return raw, np.zeros(1, np.int64), np.zeros(len(ends), np.int64)
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
     inside = ~_SPACE[raw]
@@ -79,7 +80,7 @@ def pieces(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         low = np.where(np.repeat(np.diff(seen) > 0, np.diff(ends)), raw, low)
     first = np.flatnonzero(begin)
     kept = np.cumsum(inside, dtype=np.int32)
-    return low[inside], np.append(kept[first] - 1, kept[-1]).astype(np.int32), np.searchsorted(first, ends)
+    return low[inside], np.append(kept[first] - 1, kept[-1]), np.searchsorted(first, ends)
 
 
 class Encoder:
@@ -133,20 +134,14 @@ class Encoder:
             got = [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast([t or "" for t in column.to_pylist()], add_special_tokens=False)]
             return np.concatenate([np.empty(0, np.uint32), *got]), np.cumsum([0, *map(len, got)])
         data, offsets, at = pieces(*utf8(column))
-        words = pa.Array.from_buffers(pa.string(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        names, numbers = distinct(data, offsets)
         if len(self.known) > REMEMBERED:
             self.known = {}
         each = list(map(self.known.get, names))
         new = self._learn([p for p, ids in zip(names, each) if ids is None])
         if new:
             each = [new[p] if ids is None else ids for p, ids in zip(names, each)]
-        pool = np.frombuffer(b"".join(each), "<u4")
-        sizes = np.fromiter(map(len, each), np.int64, len(each)) >> 2
-        codes = words.indices.to_numpy()
-        n = sizes[codes]
-        stops = np.concatenate([[0], np.cumsum(n)])
-        return pool[np.repeat((np.cumsum(sizes) - sizes)[codes] - stops[:-1], n) + np.arange(stops[-1])], stops[at]
+        return spread(each, numbers, at)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as 32-bit integers end to end."""
