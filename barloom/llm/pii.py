@@ -10,9 +10,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -94,11 +98,11 @@ _AT = r"(?:at|arroba|arobase|klammeraffe)"
 _DOT = r"(?:dot|punkt|punto|point)"
 _digit_word = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
 #: Runs of at least four spelled digits, with what may stand between and before them.
-_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-]+)?{_digit_word}(?:[\x20,-]+(?:{_DOT}[\x20,-]+)?{_digit_word}){{3,}}(?!\w)")
+_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-]++)?{_digit_word}(?:[\x20,-]++(?:{_DOT}[\x20,-]++)?{_digit_word}){{3,}}(?!\w)")
 _RUN_PART = re.compile(r"(?i)plus|" + _DOT + "|" + _digit_word)
-_BRACKETED = re.compile(rf"(?i)\s*[\[({{<]\s*({_AT}|{_DOT}|@|\.|a)\s*[\])}}>]\s*")
+_BRACKETED = re.compile(rf"(?i)[\[({{<]\s*+({_AT}|{_DOT}|@|\.|a)\s*+[\])}}>]")
 #: An address in words: name at host dot domain; host and domain may use real dots too.
-_IN_WORDS = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+((?:\s+|_){_AT}(?:\s+|_)|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+|_){_DOT}(?:\s+|_)[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+(?!\w)")
+_IN_WORDS = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+((?:\s++|_){_AT}(?:\s++|_)|\s*+@\s*+)[A-Za-z0-9-]+(?:(?:\s++|_){_DOT}(?:\s++|_)[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+(?!\w)")
 _WORDS_PART = re.compile(rf"(?i)(?:\s+|_)(?:({_AT})|{_DOT})(?:\s+|_)|\s*(@)\s*")
 _SPACED_NUMBERS = re.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}(?![\w.])")
 _SPACED_DOT = re.compile(rf"(?i)\s+{_DOT}\s+")
@@ -109,6 +113,31 @@ _INVISIBLE = frozenset("\xad​‌‍⁠﻿")
 _MAY_HIDE = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT}|\.|a)\s*[\])}}>]|[\s_](?:{_AT}|{_DOT})[\s_]")
 
 
+def _columnar(pattern: str) -> str:
+    """A pattern for Arrow's search, which finds at least what Python's finds: white space of all kinds, and the dotless and dotted i that Python takes for one where case is ignored."""
+    pattern = pattern.replace(r"\s", r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+    return "(?i)" + re.sub(r"(?<!\(\?)i", "[iıİ]", pattern)
+
+
+#: Texts without a match hold no plain span; those without a match of _HIDDEN have nothing to rewrite, or no rewrite that shows a span.
+_PLAIN = r"@|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|(?:[0-9][ -]?){13}[0-9]|\+[0-9][ ().0-9-]+[0-9]"
+_HIDDEN = "|".join(
+    [
+        r"[^\x00-\x{24f}\x{2010}-\x{2023}\x{2027}\x{2030}-\x{205e}]|\x{ad}",  # as _OTHER_SCRIPT
+        _columnar(rf"{_digit_word}(?:[ ,-]+(?:{_DOT}[ ,-]+)?{_digit_word}){{3}}"),  # _RUN
+        _columnar(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.|a)\s*[\])}}>]"),  # _BRACKETED
+        _columnar(rf"[A-Za-z0-9._%+-](?:(?:\s+|_){_AT}(?:\s+|_)|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+|_){_DOT}(?:\s+|_)|\.)[A-Za-z0-9-]"),  # _IN_WORDS
+        _columnar(rf"[0-9](?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}"),  # _SPACED_NUMBERS
+    ]
+)
+
+
+def gates(column: pa.Array) -> tuple[list[bool], list[bool]]:
+    """Per text whether it may hold plain spans, and whether it may hold disguised ones; each is a search in linear time."""
+    column = pc.fill_null(column, "")
+    return pc.match_substring_regex(column, _PLAIN).to_pylist(), pc.match_substring_regex(column, _HIDDEN).to_pylist()
+
+
 class _View:
     """A rewritten text, and the source span of each of its characters."""
 
@@ -161,7 +190,17 @@ def _digits(text: str) -> list[tuple[int, int, str]]:
 
 
 def _signs(text: str) -> list[tuple[int, int, str]]:
-    return [(*m.span(), "@" if m[1].lower() in ("@", "a") or re.fullmatch(_AT, m[1], re.I) else ".") for m in _BRACKETED.finditer(text)]
+    """Bracketed signs, with the white space on both sides of the brackets."""
+    edits, last = [], 0
+    for m in _BRACKETED.finditer(text):
+        a, b = m.span()
+        while a > last and text[a - 1].isspace():
+            a -= 1
+        while b < len(text) and text[b].isspace():
+            b += 1
+        edits.append((a, b, "@" if m[1].lower() in ("@", "a") or re.fullmatch(_AT, m[1], re.I) else "."))
+        last = b
+    return edits
 
 
 def _in_words(text: str) -> list[tuple[int, int, str]]:
@@ -181,22 +220,34 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     view = _View(text)
     if not text.isascii() and _OTHER_SCRIPT.search(text):
         view.rewrite(_plain_letters(view.text))
-    low = view.text.lower()
-    if sum(low.count(w) for w in _SPELLED) >= 4:
-        view.rewrite(_digits(view.text))
-    if "@" in low or _MAY_HIDE.search(view.text):
+    view.rewrite(_digits(view.text))
+    if "@" in view.text or _MAY_HIDE.search(view.text):
         view.rewrite(_signs(view.text))
         view.rewrite(_in_words(view.text))
     if view.start is None:
         return []
-    out: list[tuple[str, int, int]] = []
-    for kind, a, b in plain_spans(view.text):
+    starts, reach = [a for _, a, _ in plain], list(accumulate((b for *_, b in plain), max))
+    out, last = [], dict.fromkeys(KINDS, 0)
+    for kind, a, b in plain_spans(view.text):  # in order, so only the last one of a kind can meet the next
         start, end = view.start[a], view.end[b - 1]
-        if text[start:end] != view.text[a:b] and not any(s < end and start < e for _, s, e in plain) and not any(k == kind and s < end and start < e for k, s, e in out):
+        before = bisect_left(starts, end)
+        if text[start:end] != view.text[a:b] and start >= last[kind] and not (before and reach[before - 1] > start):
             out.append((kind, start, end))
+            last[kind] = end
     return out
 
 
+def all_spans(column: pa.Array) -> Iterator[tuple[int, str, list[tuple[str, int, int, bool]]]]:
+    """(place, text, spans by start, then kind) of those texts of a column that have any."""
+    plain_may, hidden_may = gates(column)
+    places = [i for i, (p, h) in enumerate(zip(plain_may, hidden_may)) if p or h]
+    for i, text in zip(places, column.take(pa.array(places, pa.int64())).to_pylist()):
+        plain = plain_spans(text) if plain_may[i] else []
+        more = disguised_spans(text, plain) if hidden_may[i] else []
+        if plain or more:
+            yield i, text, sorted([(*s, True) for s in plain] + [(*s, False) for s in more], key=lambda s: (s[1], KINDS.index(s[0])))
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, spans) per row of docs; spans: kind, start and end (code points, end exclusive), and whether plain patterns find it, by start, then kind.
 
@@ -207,12 +258,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", PART_BYTES):
-                found = []
-                for text in part.column(1).to_pylist():
-                    plain = plain_spans(text or "")
-                    more = disguised_spans(text, plain) if text else []
-                    both = sorted([(*s, True) for s in plain] + [(*s, False) for s in more], key=lambda s: (s[1], KINDS.index(s[0])))
-                    found.append([dict(zip(("kind", "start", "end", "base"), s)) for s in both])
+                found: list[list[dict]] = [[]] * part.num_rows
+                for i, _, spans in all_spans(part.column(1)):
+                    found[i] = [dict(zip(("kind", "start", "end", "base"), s)) for s in spans]
                 kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, kind)], ["doc_id", "spans"])
 
@@ -220,11 +268,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, spans {SPANS}")
 
 
-def redacted(text: str) -> str:
-    """The text with <EMAIL>, <IP>, <CARD> and <PHONE> for what is found; where spans meet, the first stands for all."""
-    plain = plain_spans(text)
+def redacted(text: str, spans: list[tuple[str, int, int]] | None = None) -> str:
+    """The text with <EMAIL>, <IP>, <CARD> and <PHONE> for spans (by start, then kind), those that are found if none are given; where spans meet, the first stands for all."""
+    if spans is None:
+        spans = [s[:3] for _, _, found in all_spans(pa.array([text], pa.string())) for s in found]
     parts, last = [], 0
-    for kind, a, b in sorted(plain + disguised_spans(text, plain), key=lambda s: (s[1], KINDS.index(s[0]))):
+    for kind, a, b in spans:
         if a >= last:
             parts += [text[last:a], f"<{kind.upper()}>"]
         last = max(last, b)
@@ -238,7 +287,11 @@ def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str = "n_cha
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, PART_BYTES):
-                new = pa.array([t and redacted(t) for t in part.column(at).to_pylist()], pa.string())
+                old = part.column(at)
+                changed = {i: redacted(text, [s[:3] for s in spans]) for i, text, spans in all_spans(old)}
+                mask = np.zeros(part.num_rows, bool)
+                mask[list(changed)] = True
+                new = pc.replace_with_mask(old, pa.array(mask), pa.array(list(changed.values()), old.type)) if changed else old
                 yield pa.RecordBatch.from_arrays([new if k == at else c for k, c in enumerate(part.columns)], part.schema.names)
 
     out = docs.mapInArrow(run, docs.schema)

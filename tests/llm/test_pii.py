@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -117,3 +118,63 @@ def test_letters_left_out_make_no_signs():
         if not pii._OTHER_SCRIPT.match(c):
             plain = pii.unicodedata.normalize("NFKC", c)
             assert c not in pii._LOOK_ALIKES and c not in pii._INVISIBLE and not re.search(r"[A-Za-z0-9._%+@()\[\]{}<>-]", plain)
+
+
+def test_columnar_gates_hold_nothing_back():
+    r = random.Random(18)
+    parts = ["at", "AT", "dot", "poınt", "POİNT", "punto", "klammeraffe", "arroba", "a", ".", "@", "[", "]", "(", ")", "<", ">", " ", " ", "\n", "\x0b", "\x1c", "\x85", " ", "_", "max", "web", "de", "10", "7", "x.y", "․", "one", "six", "ſix", "fünf", "FÜNF", "zéro", "plus", ",", "-", "4111 1111 1111 1111", "+1 509 555", "1.2.3.4", "é", "а"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(1, 14))) for _ in range(60_000)]
+    plain_may, hidden_may = pii.gates(pii.pa.array(texts))
+    for text, p, h in zip(texts, plain_may, hidden_may):
+        plain = plain_spans(text)
+        assert p or not plain, text
+        assert h or not disguised_spans(text, plain), text
+    assert not all(plain_may) and not all(hidden_may)
+
+
+def test_very_long_texts_in_linear_time():
+    blank = " " * 1_000_000
+    began = time.perf_counter()
+    for text in (blank + "dot" + blank, "[" + blank + "at" + blank + "x", "x" + blank + "dot", "one" + blank + "two" + blank + "x", "[a]" + blank + "[a", "x at" + blank + "y", "x@" + blank + "y"):
+        list(pii.all_spans(pii.pa.array([text])))
+        disguised_spans(text, plain_spans(text))
+    assert time.perf_counter() - began < 15
+    many = "jane.doe [at] mail [dot] com, a@b.co, " * 50_000
+    began = time.perf_counter()
+    found = [s for _, _, spans in pii.all_spans(pii.pa.array([many])) for s in spans]
+    assert time.perf_counter() - began < 20 and len(found) == 100_000 and sum(s[3] for s in found) == 50_000
+
+
+def test_planted_disguises_are_found():
+    """Of each kind of disguise all of 200 planted identifiers in prose are found at their place, and nothing else."""
+    r = random.Random(5)
+    vocab = ["the", "river", "walks", "at", "noon", "and", "one", "house", "über", "née", "a", "to", "plan"]
+    name = lambda: "".join(r.choice("bcdfgklmnprstvz") + r.choice("aeiou") for _ in range(3))
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    spelled = dict(zip("0123456789", ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")))
+
+    def card():
+        body = "4" + digits(14)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    kinds = {
+        "brackets": ("email", lambda: f"{name()}.{name()} [at] {name()} (dot) com"),
+        "words": ("email", lambda: f"{name()}.{name()} at {name()} dot example dot org"),
+        "underscores": ("email", lambda: f"{name()}_at_{name()}_dot_net"),
+        "look-alikes": ("email", lambda: f"{name()}а@{name()}о.com"),
+        "wide": ("email", lambda: f"{name()}＠{name()}．com"),
+        "invisible": ("card", lambda: "​".join((c := card())[i : i + 4] for i in range(0, 16, 4))),
+        "spelled card": ("card", lambda: " ".join(spelled[c] for c in card())),
+        "spelled phone": ("phone", lambda: "plus " + " ".join(spelled[c] for c in digits(11))),
+        "bracketed ip": ("ip", lambda: f"{r.randint(1, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}[.]{r.randint(1, 255)}"),
+        "ip in words": ("ip", lambda: " dot ".join(str(r.randint(0, 255)) for _ in range(4))),
+    }
+    for what, (kind, make) in kinds.items():
+        hits = 0
+        for _ in range(200):
+            before, after = (" ".join(r.choice(vocab) for _ in range(r.randint(3, 30))) for _ in range(2))
+            hit = make()
+            text = f"{before}: {hit}; {after}"
+            found = [(s[0], text[s[1] : s[2]]) for _, _, spans in pii.all_spans(pii.pa.array([text])) for s in spans]
+            hits += found == [(kind, hit)]
+        assert hits >= 198, (what, hits)
