@@ -163,7 +163,7 @@ def test_planted_disguises_are_found():
         "underscores": ("email", lambda: f"{name()}_at_{name()}_dot_net"),
         "look-alikes": ("email", lambda: f"{name()}а@{name()}о.com"),
         "wide": ("email", lambda: f"{name()}＠{name()}．com"),
-        "invisible": ("card", lambda: "​".join((c := card())[i : i + 4] for i in range(0, 16, 4))),
+        "invisible": ("card", lambda: re.sub("(?<=.)(?=(?:.{4})+$)", "\u200b", card())),
         "spelled card": ("card", lambda: " ".join(spelled[c] for c in card())),
         "spelled phone": ("phone", lambda: "plus " + " ".join(spelled[c] for c in digits(11))),
         "bracketed ip": ("ip", lambda: f"{r.randint(1, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}[.]{r.randint(1, 255)}"),
