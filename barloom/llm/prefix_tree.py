@@ -38,7 +38,7 @@ def _folded(raw: bytes, width: int) -> np.ndarray:
 
 
 def may_link(sketches: list[bytes], sizes: list[int], percent: int) -> list[int]:
-    """Per set the number of its part: sets whose sketches allow a link are in one part."""
+    """Per set the number of its part: sets whose sketches allow a link are in one part. Every pair is looked at, a row of sketches at a time."""
     width = 8 * min(map(len, sketches))
     rows, n = np.stack([_folded(s, width) for s in sketches]), np.array(sizes, np.int64)
     groups = Groups(len(sizes))
@@ -141,17 +141,9 @@ def linked(sets: list[np.ndarray], probes: list[bool], percent: int, place: Call
     rank[np.argsort(place(universe), kind="stable")] = np.arange(len(universe))
     cuts = np.cumsum([len(s) for s in sets])[:-1]
     ranked = [np.sort(p) for p in np.split(rank[inverse], cuts)]
-    groups, out = Groups(len(sets)), []
-    head = np.zeros(len(universe) + 1, np.int32)
-    head[ranked[0]] = 1
-    for i in range(1, len(ranked)):
-        if int(head[ranked[i]].sum()) >= overlap_needed(len(ranked[0]), len(ranked[i]), percent):
-            groups.join(0, i)
-            out.append((0, i))
-    open_ = [i for i in range(1, len(ranked)) if probes[i] and groups.root(i) != 0]
-    if open_:
-        tree = PrefixTree(ranked)
-        for i in open_:
+    groups, out, tree = Groups(len(sets)), [], PrefixTree(ranked)
+    for i in range(len(ranked)):
+        if i == 0 or (probes[i] and groups.root(i) != 0):
             for j in tree.similar(ranked[i], len(universe), percent, lambda j: groups.root(i) == groups.root(j)):
                 if groups.join(i, j):
                     out.append((i, j))

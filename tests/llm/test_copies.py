@@ -133,3 +133,47 @@ def test_drop_copies_of_null_and_shared_ids(spark):
     for _ in range(3):
         kept = sorted(((r["doc_id"], r["text"]) for r in drop_copies(frame(spark, data)).collect()), key=str)
         assert kept == sorted([(None, "a"), (None, "b"), (7, "c c"), (7, "d"), (7, None), (6, "e")], key=str)
+
+
+def rows_brute(data, width, percent):
+    """component_id per row, in order: the smallest doc_id of any row that links reach; equal texts reach each other."""
+    sets = [shingles(t, width) for _, t, *_ in data]
+    up = list(range(len(data)))
+
+    def root(k):
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k, a in enumerate(sets):
+        for j, b in enumerate(sets[:k]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = root(k), root(j)
+                up[max(x, y)] = min(x, y)
+    ids = defaultdict(list)
+    for k, (i, *_) in enumerate(data):
+        if i is not None:
+            ids[root(k)].append(i)
+    return [(i, len(sets[k]), min(ids[root(k)], default=None) if sets[k] else i) for k, (i, *_) in enumerate(data)]
+
+
+def test_one_id_on_several_texts(spark):
+    a, b = "a b c d e f g h i j k l m", "n o p q r s t u v w x y z"
+    data = [(1, a, "en", "s", 0), (1, b, "en", "s", 0), (2, a + " o", "en", "s", 0), (3, b + " a", "en", "s", 0), (None, "q r s t u v w x y z 1 2 3", "en", "s", 0), (None, "q r s t u v w x y z 1 2 3 4", "en", "s", 0), (5, "q r s t u v w x y z 1 2 3 4 5", "en", "s", 0)]
+    assert sorted(map(str, map(tuple, ngram_groups(frame(spark, data)).collect()))) == sorted(map(str, rows_brute(data, 5, 80)))
+    assert {r["doc_id"]: r["component_id"] for r in ngram_groups(frame(spark, data)).collect()}[2] == 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_tables_with_repeated_and_missing_ids(spark, seed):
+    r = random.Random(seed)
+    data = [(r.choice([None, *range(25)]), t, "en", "s", 0) for _, t, *_ in rows(90, seed)[:-1]]
+    got = ngram_groups(frame(spark, data), 3, 70, block_members=120).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, rows_brute(data, 3, 70)))
+    kept = ngram_join.drop_near(frame(spark, data), 3, 70)
+    assert kept.columns == frame(spark).columns
+    want = [(i, t) for (i, t, *_), (_, n, c) in zip(data, rows_brute(data, 3, 70)) if n == 0 or i == c]
+    assert sorted(((x["doc_id"], x["text"]) for x in kept.collect()), key=str) == sorted(want, key=str)
+    bodies = {re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t, *_ in data}
+    stay = [re.sub(r"[\x20\x09-\x0D]", "", x["text"] or "") for x in drop_copies(frame(spark, data)).collect()]
+    assert len(stay) == len(bodies) and set(stay) == bodies
