@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm.common import table
 
+#: The id by which the vocabulary byte_bpe_50k ends a text.
+END_OF_TEXT = 50256
+
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) per document: the ids of its whole text and the text they decode to; null is empty, repeated rows stay."""
     import public_tokenizers
     from pyspark.sql import functions as F
 
@@ -26,6 +30,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, from archives that are written and read back."""
     from pyspark.sql import functions as F
 
     from barloom.llm.common import scratch_path
@@ -45,6 +50,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted) per document; empty and null texts get the score of an empty text."""
     from pyspark.sql import functions as F
 
     from barloom.llm.common import held_out
@@ -56,6 +62,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, held_out, score, predicted, flagged) per document; flagged goes by the threshold of its language."""
     from pyspark.sql import functions as F
 
     from barloom.llm.common import held_out
@@ -67,18 +74,23 @@ def op4_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, piece, n_tokens, shard, bin, start): the place of each piece of each document, its lengths in tokens of the byte-level BPE."""
+    import public_tokenizers
+
     from barloom.llm.packing import documents_as_items, pack
 
-    return pack(documents_as_items(table(spark, sf_dir, "documents")))
+    return pack(documents_as_items(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_OF_TEXT))
 
 
 def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per document; null is empty."""
     from barloom.llm.phrases import with_edits
 
     return with_edits(table(spark, sf_dir, "documents"))
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) per document, from a store that is written and read back."""
     import public_tokenizers
 
     from barloom.llm.common import scratch_path
@@ -90,6 +102,7 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) per document; counts and spans hold plain and disguised ones."""
     from pyspark.sql import functions as F
 
     from barloom.llm.pii import KINDS, find_pii
@@ -111,12 +124,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per document: sets of four words, similarity of 0.85 or more."""
     from barloom.llm.ngram_join import ngram_groups
 
     return ngram_groups(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) per document: texts that are equal but for white space."""
     from barloom.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))

@@ -3,7 +3,11 @@
 import random
 from collections import defaultdict
 
-from barloom.llm.packing import best_fit, documents_as_items, pack
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from barloom.llm.packing import best_fit, documents_as_items, pack, sequences
+from barloom.llm.queries import END_OF_TEXT, queries
 from tests.llm.cases import empty, frame, rows
 
 
@@ -61,8 +65,50 @@ def test_pack(spark):
     assert len({r["shard"] for r in first}) > 3
 
 
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(PATH)
+
+
+def ids_of(text):
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, END_OF_TEXT]
+
+
 def test_pack_documents(spark):
-    items = documents_as_items(frame(spark))
-    check([tuple(r) for r in items.collect()], pack(items, 256, 50).collect(), 256)
+    items = documents_as_items(frame(spark), PATH, END_OF_TEXT)
+    numbers = items.select("doc_id", "n_tokens", "source", "cluster")
+    assert {r["doc_id"]: r["n_tokens"] for r in numbers.collect()} == {i: len(ids_of(t)) for i, t, *_ in rows()}
+    check([tuple(r) for r in numbers.collect()], pack(items, 256, 50).collect(), 256)
     assert {r["doc_id"] for r in pack(items).collect()} == {i for i, *_ in rows()}
-    assert pack(documents_as_items(empty(spark))).collect() == []
+    assert pack(documents_as_items(empty(spark), PATH, END_OF_TEXT)).collect() == []
+
+
+def test_sequences_hold_each_id_once_and_in_order(spark):
+    data = rows() + [(7, "a row with an id that another text has", "en", "src1", 0), (None, None, None, None, None)]
+    made = sequences(documents_as_items(frame(spark, data), PATH, END_OF_TEXT), 256, 50).collect()
+    pieces = defaultdict(list)
+    for r in made:
+        assert r["n_tokens"] == len(r["ids"]) <= 256 and r["starts"] == sorted(r["starts"])
+        for doc, piece, a, b in zip(r["doc_ids"], r["pieces"], r["starts"], [*r["starts"][1:], len(r["ids"])]):
+            pieces[doc].append((piece, r["ids"][a:b]))
+    want = defaultdict(list)
+    for i, t, *_ in data:
+        ids = ids_of(t)
+        want[i] += [(k, ids[a : a + 256]) for k, a in enumerate(range(0, len(ids), 256))]
+    assert {i: sorted(p) for i, p in pieces.items()} == {i: sorted(p) for i, p in want.items()}
+    assert sequences(documents_as_items(empty(spark), PATH, END_OF_TEXT)).collect() == []
+
+
+def test_groups_cost_few_bins(spark):
+    """Packed in groups, a table takes at most a tenth more bins than in one; also where a source holds half the rows."""
+    r = random.Random(12)
+    items = [(i, r.choice([r.randint(1, 400), r.randint(1, 2500)]), "big" if half and i % 2 else f"s{r.randint(0, 40)}", str(i)) for half in (0, 1) for i in range(6000)]
+    for part in (items[:6000], items[6000:]):
+        df = spark.createDataFrame(part, "doc_id long, n_tokens long, source string, cluster string")
+        bins = [pack(df, 2048, n).select("shard", "bin").distinct().count() for n in (512, 10_000)]
+        assert bins[0] <= 1.1 * bins[1], bins
+
+
+def test_query(spark):
+    found = queries()["op5_best_fit_packing"](spark, "/root/testdata/sf0.001").collect()
+    data = [(r["doc_id"], len(ids_of(r["text"])), r["source"], None) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    check(data, found, 2048)

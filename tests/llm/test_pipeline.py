@@ -5,6 +5,7 @@ import re
 from corpus_pipeline import STAGES, run
 from tests.llm.cases import DOCS
 from tests.llm.test_copies import brute
+from tests.llm.test_packing import ids_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,13 +23,19 @@ def test_stages(spark):
     assert {r["doc_id"] for r in near.collect()} == {i for i, _, c in brute(data, 5, 80) if i == c} and near.columns == columns
     clean = named["pii"](spark, near, SF)
     assert clean.columns == columns and not clean.where("text like '%@mail%.example.com%'").count() and clean.count() == near.count()
-    packed = named["packing"](spark, clean, SF)
-    assert packed.select("doc_id").distinct().count() == clean.count()
+    packed = named["packing"](spark, clean, SF).collect()
+    assert {i for r in packed for i in r["doc_ids"]} == {r["doc_id"] for r in clean.collect()}
+    assert sorted(i for r in packed for i in r["ids"]) == sorted(i for r in clean.collect() for i in ids_of(r["text"]))
 
 
 def test_run(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for _, stage in STAGES:
+        docs = stage(spark, docs, SF)
+    key = lambda r: (r["shard"], r["bin"])
     got = run(spark, SF)
-    assert got.columns == ["doc_id", "piece", "n_tokens", "shard", "bin", "start"] and got.count() > 100
+    assert got.columns == ["shard", "bin", "n_tokens", "doc_ids", "pieces", "starts", "ids"]
+    assert sorted(got.collect(), key=key) == sorted(docs.collect(), key=key)
 
 
 def test_empty(spark, tmp_path):
