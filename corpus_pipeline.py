@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from barloom.llm.common import scratch_path, table
 from barloom.llm.exact_dedup import drop_copies
 from barloom.llm.ngram_join import drop_near
-from barloom.llm.packing import documents_as_items, pack
+from barloom.llm.packing import documents_as_items, sequences
 from barloom.llm.pii import redact_pii
 from barloom.llm.quality import keep_good
+from barloom.llm.queries import END_OF_TEXT
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +35,10 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each piece of each document in the training sequences."""
-    return pack(documents_as_items(docs))
+    """Training sequences of token ids, and which pieces of which documents they hold."""
+    import public_tokenizers
+
+    return sequences(documents_as_items(docs, public_tokenizers.path("byte_bpe_50k.json"), END_OF_TEXT))
 
 
 STAGES = [("quality", quality), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
