@@ -7,7 +7,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.schema import SESSIONS
+from barloom.schema import CALENDARS, SESSIONS
 
 
 def _easter(year: int) -> date:
@@ -69,6 +69,40 @@ def nyse_sessions(spark: SparkSession, first: date, last: date) -> DataFrame:
     return local.select(F.lit("XNYS").alias("mic"), "session_date", at(F.lit("09:30:00")).alias("open_ts"), at(F.col("closes")).alias("close_ts"))
 
 
+def cme_holidays(year: int) -> set[date]:
+    """Days without an equity futures session: New Year's Day, Good Friday and Christmas (a Sunday's holiday on Monday, a Saturday's not moved)."""
+    days = {_easter(year) - timedelta(2)}
+    for day in (date(year, 1, 1), date(year, 12, 25)):
+        days.add(day + timedelta(day.weekday() == 6))
+    return days
+
+
+def cme_sessions(spark: SparkSession, first: date, last: date) -> DataFrame:
+    """Sessions of CME equity futures from first to last: from 17:00 in Chicago on the evening before to 16:00, to 12:00 on the
+    other holidays of the New York exchange and its early closes; about 257 rows a year.
+
+    A session goes by the date it closes on, so it spans two dates of UTC. Other hours can be given as a table instead.
+    """
+    rows, day = [], first
+    while day <= last:
+        if day.weekday() < 5 and day not in cme_holidays(day.year):
+            after_thanks = day == _weekday(day.year, 11, 3, 4) + timedelta(1)
+            short = day in nyse_holidays(day.year) or after_thanks or (day.month, day.day) in ((12, 24), (7, 3))
+            rows.append((day, "12:00:00" if short else "16:00:00"))
+        day += timedelta(1)
+    local = spark.createDataFrame(rows, "session_date date, closes string")
+    at = lambda d, t: F.to_utc_timestamp(F.concat_ws(" ", d.cast("string"), t).cast("timestamp"), "America/Chicago")
+    return local.select(F.lit("CME").alias("mic"), "session_date", at(F.date_sub("session_date", 1), F.lit("17:00:00")).alias("open_ts"), at(F.col("session_date"), F.col("closes")).alias("close_ts"))
+
+
+def sessions_of(spark: SparkSession, asset: str, first: date, last: date) -> DataFrame | None:
+    """Sessions of an asset type's calendar; None for continuous trading. An unknown type is an error."""
+    if asset not in CALENDARS:
+        raise ValueError(f"unknown asset type {asset!r}")
+    makers = {"XNYS": nyse_sessions, "CME": cme_sessions}
+    return makers[CALENDARS[asset]](spark, first, last) if CALENDARS[asset] else None
+
+
 def no_sessions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], SESSIONS)
 

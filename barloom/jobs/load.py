@@ -2,33 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.calendars import continuous_grid, exchange_grid
+from barloom.functions.calendars import continuous_grid, exchange_grid, sessions_of
 from barloom.functions.normalize import keep_first
 from barloom.operators.bars import boundary_mismatches, reindex, rollup_if_finer, snap, snap_daily
-from barloom.operators.validate import issues, quarantine
-from barloom.schema import FIELDS, micros
-from barloom.sources.store import provenance, scratch, update
+from barloom.operators.gaps import null_grids
+from barloom.operators.validate import ISSUES, issues, quarantine
+from barloom.schema import FIELDS, by_day, micros
+from barloom.sources.store import append, appended, materialised, provenance, read, update
+
+PROVENANCE = "library string, symbol string, range_start timestamp, range_end timestamp, provider string, loaded_at timestamp, note string, load_id string"
+LOAD_ISSUES = ISSUES + ", loaded_at timestamp, load_id string"
 
 
 def wanted_rows(landed: DataFrame, gaps: DataFrame) -> DataFrame:
     """Landed rows that lie in a gap of their symbol."""
-    hit = (landed["symbol"] == gaps["symbol"]) & (landed["ts"] >= gaps["gap_start"]) & (landed["ts"] <= gaps["gap_end"])
-    return landed.join(gaps, hit, "left_semi")
+    return by_day(landed, gaps.select("symbol", F.col("gap_start").alias("start_ts"), F.col("gap_end").alias("end_ts")), "left_semi")
+
+
+def _ordered(bars: DataFrame) -> DataFrame:
+    return bars.withColumn("ingest_seq", F.unix_micros("ts"))
 
 
 def on_grid(raw: DataFrame, grid: DataFrame, resolution: str) -> tuple[DataFrame, DataFrame]:
-    """Raw bars rolled up, checked, snapped and padded on a grid; and the issues that kept symbols out."""
+    """Raw bars rolled up, checked, snapped and padded on a grid; and the issues, of which those of severity error kept their symbols out.
+
+    Checked are raw rows as they came, the spacing once bars have the target's length, and what is to be stored. Rows
+    that repeat a time are no issue, the first counts. What is needed twice is worked out once.
+    """
     length = micros(resolution)
-    found = issues(raw, 0, "raw").where("category not in ('duplicate_ts', 'bad_spacing')")
+    raw = materialised(raw)
+    found = materialised(issues(raw, 0, "raw").where("category not in ('duplicate_ts', 'bad_spacing')"))
     good, _ = quarantine(keep_first(raw), found)
-    rolled = rollup_if_finer(good, length).withColumn("ingest_seq", F.unix_micros("ts"))
-    snapped = snap_daily(rolled, grid) if resolution == "1d" else snap(rolled, grid, length)
-    padded = reindex(snapped, grid.join(good.select("symbol").distinct(), "symbol", "left_semi"))
-    stored = issues(padded.withColumn("ingest_seq", F.unix_micros("ts")), length, "storage")
-    return quarantine(padded, stored)[0], found.unionByName(stored)
+    rolled = materialised(rollup_if_finer(good, length))
+    close = materialised(issues(_ordered(rolled), length, "raw").where("category = 'bad_spacing'"))
+    rolled, _ = quarantine(rolled, close)
+    snapped = snap_daily(_ordered(rolled), grid) if resolution == "1d" else snap(_ordered(rolled), grid, length)
+    padded = materialised(reindex(snapped, grid.join(rolled.select("symbol").distinct(), "symbol", "left_semi")))
+    stored = materialised(issues(_ordered(padded), length, "storage"))
+    return quarantine(padded, stored)[0], found.unionByName(close).unionByName(stored)
 
 
 def grid_for(requests: DataFrame, resolution: str, sessions: DataFrame | None = None) -> DataFrame:
@@ -36,16 +52,48 @@ def grid_for(requests: DataFrame, resolution: str, sessions: DataFrame | None =
     return continuous_grid(requests, micros(resolution)) if sessions is None else exchange_grid(requests, sessions, micros(resolution))
 
 
-def load(landed: DataFrame, gaps: DataFrame, path: str, asset: str, resolution: str, provider: str, sessions: DataFrame | None = None) -> DataFrame:
-    """Fill gaps from landed rows and store the bars; returns provenance rows. Running it again changes nothing."""
+def grid_of_asset(requests: DataFrame, asset: str, resolution: str) -> DataFrame:
+    """The grid by the asset type's calendar: sessions of its exchange over the requests' dates, or continuous."""
+    ends = requests.agg(F.to_date(F.min("start_ts")).alias("first"), F.to_date(F.max("end_ts")).alias("last")).first()
+    sessions = sessions_of(requests.sparkSession, asset, ends["first"], ends["last"]) if ends["first"] else None
+    return grid_for(requests, resolution, sessions)
+
+
+def load(landed: DataFrame, gaps: DataFrame, path: str, asset: str, resolution: str, provider: str, sessions: DataFrame | None = None, note: str | None = None) -> DataFrame:
+    """Fill gaps from landed rows and store the bars; returns this load's provenance rows. Running it again changes no bar.
+
+    A symbol with an error is left out, and its gaps stay; load_issues() says why. A symbol that has bars in the store
+    but for which nothing landed gets bars without trades, so that its gaps aren't planned for ever; a new one gets none.
+    Provenance and issues are appended beside the bars.
+    """
+    spark, load_id = landed.sparkSession, uuid.uuid4().hex
     windows = gaps.select("symbol", F.col("gap_start").alias("start_ts"), F.col("gap_end").alias("end_ts"))
     grid = grid_for(windows, resolution, sessions)
-    made, _ = on_grid(wanted_rows(landed, gaps), grid, resolution)
-    spark, staged = landed.sparkSession, scratch(landed.sparkSession, "load")
-    made.select("symbol", "ts", *FIELDS).write.parquet(staged)  # worked out once; checks, upsert and provenance read it
-    bars = spark.read.parquet(staged)
+    wanted = wanted_rows(landed, gaps)
+    made, found = on_grid(wanted, grid, resolution)
+    known = read(spark, path, columns=["symbol"], asset=asset, resolution=resolution, provider=provider)
+    empty = null_grids(grid, wanted, known)
+    bars = materialised(made.select("symbol", "ts", *FIELDS).unionByName(empty))  # checks, upsert and provenance read it
     if boundary_mismatches(bars, grid.join(bars.select("symbol").distinct(), "symbol", "left_semi")).limit(1).count():
         raise ValueError("bars don't cover their grid")
     done = windows.join(bars.select("symbol").distinct(), "symbol", "left_semi")
-    update(bars.select("symbol", "ts", *FIELDS), done, path, asset, resolution, provider)
-    return provenance(bars, f"{asset}-{resolution}-{provider}", provider)
+    append(found.withColumns({"loaded_at": F.current_timestamp(), "load_id": F.lit(load_id)}), path, "issues")
+    update(bars, done, path, asset, resolution, provider)
+    append(provenance(bars, f"{asset}-{resolution}-{provider}", provider, note).withColumn("load_id", F.lit(load_id)), path, "provenance")
+    return loads(spark, path).where(F.col("load_id") == load_id)
+
+
+def loads(spark: SparkSession, path: str) -> DataFrame:
+    """Provenance of all loads into the store: a row per symbol and load."""
+    return appended(spark, path, "provenance", PROVENANCE)
+
+
+def load_issues(spark: SparkSession, path: str) -> DataFrame:
+    """Issues of all loads into the store: a row per symbol, category and load."""
+    return appended(spark, path, "issues", LOAD_ISSUES)
+
+
+def load_batch(landed: DataFrame, path: str, asset: str, resolution: str, provider: str, sessions: DataFrame | None = None) -> None:
+    """Load all that landed, each symbol from its first to its last row: what a stream of landed files hands on, batch by batch."""
+    span = landed.groupBy("symbol").agg(F.min("ts").alias("gap_start"), F.max("ts").alias("gap_end"))
+    load(landed, materialised(span), path, asset, resolution, provider, sessions)

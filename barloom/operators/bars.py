@@ -37,9 +37,13 @@ def median_spacing(bars: DataFrame) -> DataFrame:
 
 
 def rollup_if_finer(bars: DataFrame, length: int) -> DataFrame:
-    """Each symbol is rolled up only if the median of its spacings is below the length."""
-    flagged = bars.join(median_spacing(bars).select("symbol", F.coalesce(F.col("spacing") < length, F.lit(False)).alias("finer")), "symbol")
-    return rollup(flagged.where("finer"), length).unionByName(flagged.where("not finer").select("symbol", "ts", *FIELDS))
+    """Each symbol is rolled up only if the median of its spacings is below the length; other symbols' bars stay as they are. One shuffle for both."""
+    finer = median_spacing(bars).select("symbol", F.coalesce(F.col("spacing") < length, F.lit(False)).alias("finer"))
+    flagged = bars.join(finer, "symbol").withColumns({"bar": F.when(F.col("finer"), floor_to(F.col("ts"), length)).otherwise(F.col("ts")), "row": F.when(~F.col("finer"), F.monotonically_increasing_id())})
+    first, last = _first_last("open", ["ts"])[0], _first_last("close", ["ts"])[1]
+    volume = F.when(F.col("finer"), F.coalesce(F.sum("volume"), F.lit(0.0))).otherwise(F.sum("volume"))
+    out = flagged.groupBy("symbol", "bar", "finer", "row").agg(first.alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), last.alias("close"), volume.alias("volume"))
+    return out.where("close is not null or not finer").select("symbol", F.col("bar").alias("ts"), *FIELDS)
 
 
 def _taken(rows: DataFrame) -> DataFrame:
@@ -113,3 +117,15 @@ def stitch(bars: DataFrame, renames: DataFrame) -> DataFrame:
     # A moved bar replaces what the new ticker has at its time.
     best = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy(F.desc("_own"), *[F.col(p).desc_nulls_last() for p in PRICES]))
     return both.withColumn("_n", best).where("_n = 1").drop("_n", "_own")
+
+
+def stitch_report(before: DataFrame, after: DataFrame, renames: DataFrame) -> DataFrame:
+    """(symbol, bars_before, null_before, bars_after, null_after, fixed) per canonical ticker of renames: bars without trades before and after stitch()."""
+    named = renames.select(F.col("canonical").alias("symbol")).distinct()
+
+    def counts(bars: DataFrame, when: str) -> DataFrame:
+        mine = bars.join(F.broadcast(named), "symbol", "left_semi")  # as few as renames are
+        return mine.groupBy("symbol").agg(F.count("*").alias(f"bars_{when}"), F.count_if(F.coalesce(F.col("volume"), F.lit(0.0)) == 0).alias(f"null_{when}"))
+
+    out = named.join(counts(before, "before"), "symbol", "left").join(counts(after, "after"), "symbol", "left").fillna(0)
+    return out.withColumn("fixed", F.col("null_before") - F.col("null_after"))

@@ -44,10 +44,15 @@ def health_counts(profiles: DataFrame) -> DataFrame:
 
 
 def issue_totals(found: DataFrame) -> DataFrame:
-    """(category, issues, n_bars, symbols), most frequent first."""
+    """(category, issues, n_bars, symbols), most frequent first; affected_symbols() says which symbols they are."""
     return found.groupBy("category").agg(F.count("*").alias("issues"), F.sum("n_bars").alias("n_bars"), F.count_distinct("symbol").alias("symbols")).orderBy(F.desc("issues"), "category")
 
 
+def affected_symbols(found: DataFrame) -> DataFrame:
+    """(category, symbol, n_bars): a row per symbol and category, not a list in one row, since thousands of symbols may share a category."""
+    return found.groupBy("category", "symbol").agg(F.sum("n_bars").alias("n_bars"))
+
+
 def ranking(profiles: DataFrame, by: str | None = None, top: int | None = None) -> DataFrame:
     """By issues, then bars without trades; or by a column; largest first, ties by symbol."""
     keys = ["issue_count", "null_bars"] if by is None else [by]

@@ -88,6 +88,17 @@ def audit(bars: DataFrame, grid: DataFrame, length: int) -> DataFrame:
     return issues(bars, length, "audit").unionByName(grid_issues(bars, grid))
 
 
+def audit_report(bars: DataFrame, grid: DataFrame, length: int) -> DataFrame:
+    """(symbol, expected, found, issues, missing_bars, is_clean) per symbol of bars or grid: how many bars there should be and are, and what audit() finds.
+
+    A symbol with neither bars nor grid times doesn't appear; it is clean by nature.
+    """
+    both = bars.select("symbol", F.lit(1).alias("b"), F.lit(0).alias("g")).unionByName(grid.select("symbol", F.lit(0).alias("b"), F.lit(1).alias("g")))
+    counts = both.groupBy("symbol").agg(F.sum("g").alias("expected"), F.sum("b").alias("found"))
+    n = audit(bars, grid, length).groupBy("symbol").agg(F.count("*").alias("issues"), F.coalesce(F.sum(F.when(F.col("category") == "missing_bars", F.col("n_bars"))), F.lit(0)).alias("missing_bars"))
+    return counts.join(n, "symbol", "left").fillna(0, ["issues", "missing_bars"]).withColumn("is_clean", F.col("issues") == 0)
+
+
 def by_category(found: DataFrame) -> DataFrame:
     return found.groupBy("category").agg(F.count("*").alias("issues"), F.sum("n_bars").alias("n_bars"))
 

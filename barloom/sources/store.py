@@ -1,15 +1,19 @@
 """Bars in partitioned Parquet: reads, writes, range upserts, deletes, sizes, compaction.
 
 A table's partitions are asset, resolution, provider, symbol_bucket and month, so that one symbol's month is one folder
-of its bucket, and an update rewrites the folders it touches. One writer at a time per partition.
+of its bucket, and an update rewrites the folders it touches. One writer at a time per partition; writers of different
+partitions don't meet. Below the table's path, folders whose names begin with "_" hold what belongs to it but is no bar:
+_staged (updates under way), _provenance and _issues.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.schema import FIELDS
+from barloom.schema import FIELDS, by_day
 
 PARTITIONS = ("asset", "resolution", "provider", "symbol_bucket", "month")
 BUCKETS = 64
@@ -34,10 +38,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write(bars: DataFrame, path: str, asset: str, resolution: str, provider: str, rows_per_file: int = 0) -> None:
-    """Replace every partition that bars have rows in."""
-    dealt = with_partitions(bars, asset, resolution, provider).select("symbol", "ts", *FIELDS, *PARTITIONS)
-    dealt = dealt.repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "symbol", "ts")
-    w = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS)
+    """Replace every partition that bars have rows in.
+
+    Rows are dealt into ranges of folder, symbol and time, so tasks are of one size whatever a folder holds: a large one
+    is written by several, small ones share one. A row that repeats stays; no row, no change.
+    """
+    _overwrite(with_partitions(bars, asset, resolution, provider), path, rows_per_file)
+
+
+def _overwrite(rows: DataFrame, path: str, rows_per_file: int = 0, deal: list[Column] | None = None) -> None:
+    """deal: what sends rows to tasks by hash, where ranges aren't wanted."""
+    order = [*PARTITIONS, "symbol", "ts"]
+    dealt = rows.repartition(*PARTITIONS, *deal) if deal else rows.repartitionByRange(*order)
+    w = dealt.sortWithinPartitions(*order).select("symbol", "ts", *FIELDS, *PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS)
     (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).parquet(path)
 
 
@@ -53,8 +66,7 @@ def read(spark: SparkSession, path: str, symbols: list[str] | None = None, start
         if value is not None:
             df = df.where(F.col(name) == value)
     if symbols is not None:
-        buckets = [r[0] for r in spark.createDataFrame([(s,) for s in symbols] or [("",)], "s string").select(bucket(F.col("s"))).distinct().collect()]
-        df = df.where(F.col("symbol_bucket").isin(buckets) & F.col("symbol").isin(symbols))
+        df = df.where(F.col("symbol_bucket").isin([bucket(F.lit(x)) for x in symbols]) & F.col("symbol").isin(symbols)) if symbols else df.limit(0)
     if start is not None:
         df = df.where((F.col("ts") >= F.lit(start)) & (F.col("month") >= f"{start:%Y-%m}"))
     if end is not None:
@@ -64,30 +76,53 @@ def read(spark: SparkSession, path: str, symbols: list[str] | None = None, start
 
 def merged(stored: DataFrame, new: DataFrame, ranges: DataFrame) -> DataFrame:
     """stored without what lies in its symbol's ranges (symbol, start_ts, end_ts; ends included), and new."""
-    hit = (stored["symbol"] == ranges["symbol"]) & (stored["ts"] >= ranges["start_ts"]) & (stored["ts"] <= ranges["end_ts"])
-    return stored.join(ranges, hit, "left_anti").select("symbol", "ts", *FIELDS).unionByName(new.select("symbol", "ts", *FIELDS))
+    return by_day(stored, ranges, "left_anti").select("symbol", "ts", *FIELDS).unionByName(new.select("symbol", "ts", *FIELDS))
 
 
 def update(new: DataFrame, ranges: DataFrame, path: str, asset: str, resolution: str, provider: str) -> None:
-    """Replace all that is stored in the ranges by new, rewriting only partitions they touch; emptied ones go."""
+    """Replace all that is stored in the ranges by new, rewriting only partitions they touch; emptied ones go.
+
+    What the partitions will hold is written to a folder of its own first, so that updates of different partitions may
+    run at once, and recover() can finish one that was broken off.
+    """
     spark = new.sparkSession
     months = F.explode(F.sequence(F.trunc("start_ts", "month"), F.trunc("end_ts", "month"), F.expr("interval 1 month")))
     touched = ranges.select(bucket(F.col("symbol")).alias("symbol_bucket"), months.alias("m")).select("symbol_bucket", F.date_format("m", "yyyy-MM").alias("month")).distinct()
     mine = load(spark, path).where((F.col("asset") == asset) & (F.col("resolution") == resolution) & (F.col("provider") == provider))
-    old = mine.join(F.broadcast(touched), ["symbol_bucket", "month"], "left_semi").select("symbol", "ts", *FIELDS)
-    staged = f"{path.rstrip('/')}__staged"
-    merged(old, new, ranges).write.mode("overwrite").parquet(staged)
-    after = spark.read.parquet(staged)
-    had = old.select(bucket(F.col("symbol")).alias("symbol_bucket"), F.date_format("ts", "yyyy-MM").alias("month")).distinct()
-    kept = after.select(bucket(F.col("symbol")).alias("symbol_bucket"), F.date_format("ts", "yyyy-MM").alias("month")).distinct()
-    emptied = had.join(kept, ["symbol_bucket", "month"], "left_anti").collect()  # folders, not rows
-    write(after, path, asset, resolution, provider)
+    # At most BUCKETS rows a month.
+    old = mine.join(F.broadcast(touched), ["symbol_bucket", "month"], "left_semi")
+    staged = f"{path.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+    old.select(*PARTITIONS).distinct().write.parquet(f"{staged}/had")
+    with_partitions(merged(old.select("symbol", "ts", *FIELDS), new, ranges), asset, resolution, provider).write.parquet(f"{staged}/rows")
+    _finish(spark, path, staged)
+
+
+def _finish(spark: SparkSession, path: str, staged: str) -> None:
+    """Bring a complete staged update into the table; doing it again changes nothing."""
+    rows = spark.read.parquet(f"{staged}/rows")
+    _overwrite(rows, path)
+    had = spark.read.parquet(f"{staged}/had") if exists(spark, f"{staged}/had") else rows.select(*PARTITIONS).limit(0)
+    emptied = had.join(rows.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_anti").collect()  # folders, not rows
     for r in emptied:
-        _drop(spark, f"{path}/asset={asset}/resolution={resolution}/provider={provider}/symbol_bucket={r['symbol_bucket']}/month={r['month']}")
-    _drop(spark, staged)
+        drop(spark, "/".join([path.rstrip("/"), *(f"{c}={r[c]}" for c in PARTITIONS)]))
+    drop(spark, staged)
+
+
+def recover(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(finished, rolled back) updates that were broken off: complete ones are brought in, others go, as the table hasn't changed yet. Call it while nobody writes."""
+    p, fs = _path(spark, f"{path.rstrip('/')}/_staged")
+    done = [0, 0]
+    for entry in fs.listStatus(p) if fs.exists(p) else []:
+        staged = entry.getPath().toString()
+        complete = exists(spark, f"{staged}/rows/_SUCCESS")
+        if complete:
+            _finish(spark, path, staged)
+        drop(spark, staged)
+        done[not complete] += 1
+    return done[0], done[1]
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
     p, fs = _path(spark, path)
     fs.delete(p, True)
 
@@ -109,19 +144,37 @@ def wanted_and_there(wanted: DataFrame, bars: DataFrame) -> DataFrame:
     return wanted.select("symbol").distinct().join(known, "symbol", "left").withColumn("there", F.coalesce("there", F.lit(False)))
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, and the partition columns) of every file of the table, from a listing alone: no file is opened."""
+    schema = "path string, length long"
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema).select(F.col("path").alias("file"), F.col("length").alias("size"), *[F.lit("").alias(c) for c in PARTITIONS])
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    named = [F.regexp_extract("path", f"/{c}=([^/]*)/", 1).alias(c) for c in PARTITIONS]
+    return listed.select(F.col("path").alias("file"), F.col("length").alias("size"), *named).where("asset <> ''")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
-    """(symbol, file, size): the files a symbol has rows in, from one listing; no data column but symbol is read."""
-    return load(spark, path).select("symbol", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
+    """(symbol, file, size, rows): the files a symbol has rows in. Only the column symbol is read, and counted before anything is shuffled."""
+    return load(spark, path).groupBy("symbol", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).agg(F.count("*").alias("rows"))
 
 
 def symbol_sizes(listed: DataFrame) -> DataFrame:
-    """(symbol, size_bytes, segments); a file that several symbols share is divided among them, so sizes add up to the library's."""
-    shared = listed.groupBy("file").agg(F.count_distinct("symbol").alias("k"))
-    return listed.join(shared, "file").groupBy("symbol").agg(F.sum((F.col("size") / F.col("k")).cast("long")).alias("size_bytes"), F.count("*").alias("segments"))
+    """(symbol, size_bytes, segments, folders); a file that several symbols share is divided among them by rows, so sizes add up to the library's but for rounding down."""
+    shared = listed.groupBy("file").agg(F.sum("rows").alias("all_rows"))
+    own = F.floor(F.col("size") * F.col("rows") / F.col("all_rows"))
+    folder = F.regexp_extract("file", "^(.*)/", 1)
+    return listed.join(shared, "file").groupBy("symbol").agg(F.sum(own).alias("size_bytes"), F.count("*").alias("segments"), F.count_distinct(folder).alias("folders"))
+
+
+def symbol_fragmentation(listed: DataFrame, target_bytes: int = 128 << 20) -> DataFrame:
+    """(symbol, segments, size_bytes, fragmented): whether a symbol has more files than its folders and bytes need."""
+    need = F.greatest(F.ceil(F.col("size_bytes") / target_bytes), F.col("folders"))
+    return symbol_sizes(listed).select("symbol", "segments", "size_bytes", (F.col("segments") > need).alias("fragmented"))
 
 
 def library_size(listed: DataFrame) -> DataFrame:
-    """One row: bytes and files, each file once."""
+    """One row: bytes and files, each file once; takes listing() as well as files()."""
     return listed.select("file", "size").distinct().agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size_bytes"), F.count("*").alias("segments"))
 
 
@@ -130,42 +183,89 @@ def provenance(new: DataFrame, library: str, provider: str, note: str | None = N
     return new.groupBy("symbol").agg(F.min("ts").alias("range_start"), F.max("ts").alias("range_end")).select(F.lit(library).alias("library"), "symbol", "range_start", "range_end", F.lit(provider).alias("provider"), F.current_timestamp().alias("loaded_at"), F.lit(note).cast("string").alias("note"))
 
 
+def append(rows: DataFrame, path: str, name: str) -> None:
+    """Add rows to a table that belongs to the bars at path."""
+    rows.write.mode("append").parquet(f"{path.rstrip('/')}/_{name}")
+
+
+def appended(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """What append() added so far."""
+    at = f"{path.rstrip('/')}/_{name}"
+    return spark.read.schema(schema).parquet(at) if exists(spark, at) else spark.createDataFrame([], schema)
+
+
 def fragmentation(spark: SparkSession, path: str, target_bytes: int = 128 << 20) -> DataFrame:
-    """Per partition: files, bytes, and whether there are more files than the bytes need."""
-    listed = load(spark, path).select(*PARTITIONS, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size")).distinct()
-    out = listed.groupBy(*PARTITIONS).agg(F.count("*").alias("segments"), F.sum("size").alias("size_bytes"))
-    return out.withColumn("fragmented", F.col("segments") > F.greatest(F.ceil(F.col("size_bytes") / target_bytes), F.lit(1)))
+    """Per partition: files, bytes, how many files the bytes need, and whether there are more; from a listing alone."""
+    out = listing(spark, path).groupBy(*PARTITIONS).agg(F.count("*").alias("segments"), F.sum("size").alias("size_bytes"))
+    need = F.greatest(F.ceil(F.col("size_bytes") / target_bytes), F.lit(1))
+    return out.withColumns({"needed": need, "fragmented": F.col("segments") > need})
+
 
+def _content(rows: DataFrame, prefix: str) -> DataFrame:
+    """Per partition the number of rows and a sum that tells whether they are the same ones."""
+    # Doubles are compared as they are written, so that -0.0 and 0.0 stay apart.
+    each = F.xxhash64("symbol", "ts", *[F.col(f).cast("string") for f in FIELDS])
+    return rows.groupBy(*PARTITIONS).agg(F.count("*").alias(f"{prefix}_rows"), F.sum(each.cast("decimal(38,0)")).alias(f"{prefix}_sum"))
 
-def compact(spark: SparkSession, path: str, rows_per_file: int = 0, dry_run: bool = False, symbols: DataFrame | None = None) -> DataFrame:
+
+def compact(spark: SparkSession, path: str, rows_per_file: int = 0, dry_run: bool = False, symbols: DataFrame | None = None, target_bytes: int = 128 << 20) -> DataFrame:
     """Rewrite fragmented partitions; (partition columns, status, segments_before, segments_after).
 
-    status: ok, would_defrag (dry run) or defragmented; with symbols given, those without bars have a row of status missing.
-    Rows stay as they are.
+    status: ok, would_defrag (dry run), defragmented, or failed: what was written doesn't hold the same rows, so the
+    partition stays as it was. With symbols given, those without bars have a row of status missing. A partition is
+    written by as many tasks as its bytes need files.
     """
-    before = fragmentation(spark, path)
-    before = spark.createDataFrame(before.collect(), before.schema)  # a row per folder
-    if not dry_run:
-        staged = f"{path.rstrip('/')}__staged"
-        part = load(spark, path).join(F.broadcast(before.where("fragmented").select(*PARTITIONS)), list(PARTITIONS), "left_semi")
-        part.write.mode("overwrite").parquet(staged)
-        again = spark.read.parquet(staged).select("symbol", "ts", *FIELDS, *PARTITIONS).repartition(*PARTITIONS).sortWithinPartitions(*PARTITIONS, "symbol", "ts")
-        w = again.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS)
-        (w.option("maxRecordsPerFile", rows_per_file) if rows_per_file else w).parquet(path)
-        _drop(spark, staged)
-    after = fragmentation(spark, path).select(*PARTITIONS, F.col("segments").alias("segments_after"))
-    status = F.when(~F.col("fragmented"), "ok").otherwise("would_defrag" if dry_run else "defragmented")
-    out = before.join(after, list(PARTITIONS), "left").select(*PARTITIONS, status.alias("status"), F.col("segments").alias("segments_before"), "segments_after")
+    before = materialised(fragmentation(spark, path, target_bytes))
+    rows = load(spark, path)
+    status = F.when(F.col("fragmented") == F.lit(False), "ok")
+    if dry_run:
+        out = before.select(*PARTITIONS, status.otherwise("would_defrag").alias("status"), F.col("segments").alias("segments_before"), F.col("segments").alias("segments_after"))
+    else:
+        staged = f"{path.rstrip('/')}/_staged/{uuid.uuid4().hex}"
+        todo = before.where("fragmented").select(*PARTITIONS[:3], F.col("symbol_bucket").cast("int").alias("symbol_bucket"), "month", "needed")
+        part = rows.join(todo.drop("needed"), list(PARTITIONS), "left_semi")
+        part.write.parquet(f"{staged}/new")
+        new = spark.read.parquet(f"{staged}/new")
+        same = _content(part, "old").join(_content(new, "new"), list(PARTITIONS), "left").where("old_rows = new_rows and old_sum = new_sum").select(*PARTITIONS)
+        same = materialised(same)
+        if same.count() == todo.count():
+            old, fs = _path(spark, f"{staged}/new")
+            if not fs.rename(old, _path(spark, f"{staged}/rows")[0]):
+                raise OSError(f"can't rename {staged}/new")
+        else:
+            new.join(same, list(PARTITIONS), "left_semi").write.parquet(f"{staged}/rows")
+        ready = spark.read.parquet(f"{staged}/rows").join(todo, list(PARTITIONS))
+        _overwrite(ready, path, rows_per_file, [F.pmod(F.xxhash64("symbol", F.to_date("ts")), F.col("needed"))])
+        drop(spark, staged)
+        after = fragmentation(spark, path, target_bytes).select(*PARTITIONS, F.col("segments").alias("segments_after"))
+        fine = same.select(*PARTITIONS[:3], F.col("symbol_bucket").cast("string").alias("symbol_bucket"), "month", F.lit(True).alias("fine"))
+        out = before.join(after, list(PARTITIONS), "left").join(fine, list(PARTITIONS), "left")
+        out = out.select(*PARTITIONS, status.when(F.col("fine"), "defragmented").otherwise("failed").alias("status"), F.col("segments").alias("segments_before"), "segments_after")
     if symbols is not None:
         lost = wanted_and_there(symbols, load(spark, path)).where("not there").select("symbol", F.lit("missing").alias("status"))
         out = out.unionByName(lost, allowMissingColumns=True)
     return out
 
 
+def status_counts(report: DataFrame) -> DataFrame:
+    """(status, n, segments_before, segments_after) of a report of compact()."""
+    return report.groupBy("status").agg(F.count("*").alias("n"), F.sum("segments_before").alias("segments_before"), F.sum("segments_after").alias("segments_after"))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a local one only where none is set)."""
+    """A new path in the folder that driver and executors share, spark.checkpoint.dir; a local one only in local mode, where none is set."""
     import tempfile
-    import uuid
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="barloom-")
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="barloom-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """The same rows, worked out once and read from the shared folder from then on."""
+    path = scratch(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from barloom.jobs.load import load_batch
 from barloom.operators.bars import _first_last
 
 
@@ -22,3 +23,8 @@ def ingest(spark: SparkSession, landing: str, schema: str, checkpoint: str, each
     """All files that have landed since the last run, handed batch by batch to `each`, which must be idempotent (as load() is)."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(landing)
     return stream.writeStream.foreachBatch(lambda df, _: each(df)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_bars(spark: SparkSession, landing: str, schema: str, checkpoint: str, path: str, asset: str, resolution: str, provider: str, sessions: DataFrame | None = None) -> StreamingQuery:
+    """Landed files of raw bars (symbol, ts, the fields and ingest_seq) into the store, checked and put on their grid batch by batch."""
+    return ingest(spark, landing, schema, checkpoint, lambda df: load_batch(df, path, asset, resolution, provider, sessions))
