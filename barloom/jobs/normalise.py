@@ -9,12 +9,12 @@ from barloom.functions.normalize import keep_first, to_canonical
 from barloom.jobs.load import grid_for, on_grid
 
 
-def normalise_library(raw: DataFrame, resolution: str, sessions: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def normalise_library(raw: DataFrame, resolution: str, sessions: DataFrame | None = None, time: str = "ts") -> tuple[DataFrame, DataFrame]:
     """(bars, report): each symbol on the grid from its first to its last bar; report: symbol, rows_in, rows_out, status.
 
     A symbol that fails a check is left out with status error; the others go on.
     """
-    rows = to_canonical(raw)
+    rows = to_canonical(raw, time)
     if "ingest_seq" not in rows.columns:
         rows = rows.withColumn("ingest_seq", F.unix_micros("ts"))
     windows = rows.groupBy("symbol").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))

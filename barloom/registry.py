@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendars, normalize
 from barloom.operators import analytics, bars, gaps, profile, validate
-from barloom.schema import FIELDS, RESOLUTIONS, library_name
+from barloom.schema import BARS, FIELDS, RESOLUTIONS, calendar_of, library_name, provider_intervals
 from barloom.sources import store
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,8 +57,10 @@ def windows(df: DataFrame) -> DataFrame:
     return df.groupBy("symbol").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
 
 
-def january(spark: SparkSession) -> DataFrame:
-    return calendars.nyse_sessions(spark, date(2024, 1, 1), date(2024, 1, 31))
+def sessions(spark: SparkSession, d: str, make: Callable = calendars.nyse_sessions) -> DataFrame:
+    """Sessions over the dates of events; two dates come to the driver."""
+    ends = ticks(spark, d).agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+    return make(spark, *ends) if ends[0] else calendars.no_sessions(spark)
 
 
 def dirty(spark: SparkSession, d: str) -> DataFrame:
@@ -91,7 +93,10 @@ D1 = f"{TICKS_D}, {_bars('d', 'ticks', 'day', 'seq')}"
 WINDOWS = "w AS (SELECT symbol, min(ts) AS start_ts, max(ts) AS end_ts FROM h GROUP BY symbol)"
 GRID = f"{WINDOWS}, g AS (SELECT symbol, unnest(generate_series(start_ts, end_ts, INTERVAL 1 HOUR)) AS ts FROM w)"
 PADDED = f"{GRID}, p AS (SELECT g.symbol, g.ts, open, high, low, close, coalesce(volume, 0) AS volume FROM g LEFT JOIN h ON g.symbol = h.symbol AND g.ts = h.ts)"
-XNYS = "sessions AS (SELECT s::DATE AS session_date, s + INTERVAL '14:30' HOUR TO MINUTE AS open_ts, s + INTERVAL '21:00' HOUR TO MINUTE AS close_ts FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31', INTERVAL 1 DAY)) AS s) WHERE isodow(s) < 6 AND day(s) NOT IN (1, 15))".replace("INTERVAL '14:30' HOUR TO MINUTE", "INTERVAL 870 MINUTE").replace("INTERVAL '21:00' HOUR TO MINUTE", "INTERVAL 1260 MINUTE")
+#: Weekdays but for the New York exchange's holidays in winter (New Year, Martin Luther King, Presidents' Day); hours of standard time.
+XNYS = """sessions AS (SELECT s::DATE AS session_date, s + INTERVAL 870 MINUTE AS open_ts, s + INTERVAL 1260 MINUTE AS close_ts
+    FROM (SELECT unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS s FROM events)
+    WHERE isodow(s) < 6 AND NOT (month(s) = 1 AND day(s) = 1) AND NOT (month(s) IN (1, 2) AND isodow(s) = 1 AND day(s) BETWEEN 15 AND 21))"""
 XGRID = f"{WINDOWS}, {XNYS}, x AS (SELECT symbol, unnest(generate_series(open_ts, close_ts, INTERVAL 1 HOUR)) AS ts FROM w JOIN sessions ON session_date BETWEEN start_ts::DATE AND end_ts::DATE), xg AS (SELECT x.symbol, x.ts FROM x JOIN w USING (symbol) WHERE x.ts BETWEEN start_ts AND end_ts)"
 DIRTY = """s AS (SELECT symbol, ts, CASE WHEN hour(ts) = 6 THEN NULL ELSE open END AS open, CASE WHEN hour(ts) = 7 THEN low - 1 ELSE high END AS high,
     CASE WHEN hour(ts) = 8 THEN -5.0 ELSE low END AS low, close,
@@ -136,7 +141,7 @@ def found_issues(spark: SparkSession, d: str) -> DataFrame:
 
 def exchange_hours(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     h = hourly(spark, d)
-    return h, calendars.exchange_grid(windows(h), january(spark), HOUR)
+    return h, calendars.exchange_grid(windows(h), sessions(spark, d), HOUR)
 
 
 # --- normalisation --------------------------------------------------------------------------------------------------
@@ -192,16 +197,83 @@ def n12_symbol_list(spark, d):
     return normalize.parse_symbols(lines).select("symbol", "place.line")
 
 
+@query(f"""WITH {TICKS_U}, {_bars('h', 'ticks', 'hour')}, {GRID}
+    SELECT symbol, count(h.ts) AS rows_in, CASE WHEN bool_or(symbol LIKE '%3') THEN 0 ELSE count(*) END AS rows_out, CASE WHEN bool_or(symbol LIKE '%3') THEN 'error' ELSE 'ok' END AS status FROM g LEFT JOIN h USING (symbol, ts) GROUP BY symbol""")
+def n5_normalise_library(spark, d):
+    from barloom.jobs.normalise import normalise_library
+
+    raw = hourly(spark, d, "user").select("symbol", F.unix_micros("ts").alias("ingest_seq"), F.col("ts").alias("Date"), *[F.col(f).alias(f.capitalize()) for f in FIELDS])
+    spoilt = raw.withColumn("Volume", F.when(~F.col("symbol").like("%3"), F.col("Volume")))
+    return normalise_library(spoilt, "1h", time="Date")[1]
+
+
+@query("SELECT p.provider, p.resolution, p.native, p.native <> p.resolution AS needs_rollup, n FROM (SELECT 'databento' AS provider, unnest(['1m', '5m', '15m', '1h', '4h', '1d']) AS resolution, unnest(['1m', '1m', '1m', '1h', '1h', '1d']) AS native UNION ALL SELECT 'yfinance', unnest(['1m', '5m', '15m', '1h', '4h', '1d']), unnest(['1m', '5m', '15m', '1h', '1h', '1d']) UNION ALL SELECT unnest(['binance', 'massive']), r, r FROM (SELECT unnest(['1m', '5m', '15m', '1h', '4h', '1d']) AS r)) p JOIN (SELECT ['databento', 'yfinance', 'binance', 'massive'][CAST(c_custkey % 4 AS INTEGER) + 1] AS provider, ['1m', '5m', '15m', '1h', '4h', '1d'][CAST(c_custkey % 6 AS INTEGER) + 1] AS resolution, count(*) AS n FROM customer GROUP BY 1, 2) c ON c.provider = p.provider AND c.resolution = p.resolution")
+def n11_provider_intervals(spark, d):
+    pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % n + 1).cast("int"))
+    asked = spark.read.parquet(f"{d}/customer.parquet").select(pick(["databento", "yfinance", "binance", "massive"], 4).alias("provider"), pick(["1m", "5m", "15m", "1h", "4h", "1d"], 6).alias("resolution"))
+    return asked.groupBy("provider", "resolution").agg(F.count("*").alias("n")).join(F.broadcast(provider_intervals(spark)), ["provider", "resolution"])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'invalid symbol' WHEN c_custkey % 3 = 0 THEN 'start is not before end' END AS problem FROM customer")
+def n14_request_check(spark, d):
+    c = spark.read.parquet(f"{d}/customer.parquet")
+    start = F.timestamp_seconds(F.col("c_custkey"))
+    plan = c.select("c_custkey", F.when(F.col("c_custkey") % 5 == 0, "-.-").otherwise("A").alias("symbol"), start.alias("start_ts"), F.when(F.col("c_custkey") % 3 == 0, start).otherwise(F.timestamp_seconds(F.col("c_custkey") + 60)).alias("end_ts"))
+    return normalize.check_request(plan).select("c_custkey", "problem")
+
+
+@query("SELECT 'C' || event_id AS symbol, date_trunc('millisecond', ts) AS ts, value AS open, value AS high, value AS low, value AS close, 1.0 AS volume, CASE event_id % 3 WHEN 0 THEN 'json' WHEN 1 THEN 'csv' ELSE 'parquet' END AS kind FROM events")
+def s10_landed_files(spark, d):
+    from barloom.sources.landing import read_landed
+
+    e = spark.read.parquet(f"{d}/events.parquet")
+    price = [F.col("value").alias(f) for f in ("open", "high", "low", "close")]
+    rows = e.select("event_id", F.concat(F.lit("C"), "event_id").alias("symbol"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("ts"), *price, F.lit(1.0).alias("volume"))
+    out = None
+    for k, kind in enumerate(("json", "csv", "parquet")):
+        path = store.scratch(spark, f"landed-{kind}")
+        w = rows.where(F.col("event_id") % 3 == k).drop("event_id").write.format(kind)
+        (w.option("header", "true") if kind == "csv" else w).save(path)
+        got = read_landed(spark, path, kind, BARS).where("ingest_seq.row >= 0").drop("ingest_seq").withColumn("kind", F.lit(kind))
+        out = got if out is None else out.unionByName(got)
+    return ntz(out)
+
+
 # --- calendars ------------------------------------------------------------------------------------------------------
 
 
 @query(f"WITH {XNYS} SELECT 'XNYS' AS mic, CAST(session_date AS VARCHAR) AS session_date, open_ts, close_ts, (SELECT count(*) FROM events WHERE ts BETWEEN open_ts AND close_ts) AS events FROM sessions")
 def c4_sessions(spark, d):
     e = ticks(spark, d).withColumn("session_date", F.to_date("ts"))
-    joined = january(spark).join(e, "session_date", "left")
+    joined = sessions(spark, d).join(e, "session_date", "left")
+    return ntz(joined.groupBy("mic", "session_date", "open_ts", "close_ts").agg(F.count_if(F.col("ts").between(F.col("open_ts"), F.col("close_ts"))).alias("events")).withColumn("session_date", F.col("session_date").cast("string")))
+
+
+@query("""WITH days AS (SELECT unnest(generate_series(min(ts)::DATE::TIMESTAMP, max(ts)::DATE::TIMESTAMP, INTERVAL 1 DAY)) AS s FROM events),
+    sessions AS (SELECT s::DATE AS session_date, s - INTERVAL 1 HOUR AS open_ts, s + CASE WHEN month(s) IN (1, 2) AND isodow(s) = 1 AND day(s) BETWEEN 15 AND 21 THEN INTERVAL 18 HOUR ELSE INTERVAL 22 HOUR END AS close_ts FROM days WHERE isodow(s) < 6 AND NOT (month(s) = 1 AND day(s) = 1))
+    SELECT 'CME' AS mic, CAST(session_date AS VARCHAR) AS session_date, open_ts, close_ts, (SELECT count(*) FROM events WHERE ts BETWEEN open_ts AND close_ts) AS events FROM sessions""")
+def c4_cme_sessions(spark, d):
+    # A session spans two dates of UTC, so ticks meet the sessions of their own date and of the next.
+    e = ticks(spark, d).withColumn("session_date", F.explode(F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), 1))))
+    joined = sessions(spark, d, calendars.cme_sessions).join(e, "session_date", "left")
     return ntz(joined.groupBy("mic", "session_date", "open_ts", "close_ts").agg(F.count_if(F.col("ts").between(F.col("open_ts"), F.col("close_ts"))).alias("events")).withColumn("session_date", F.col("session_date").cast("string")))
 
 
+@query("SELECT CASE c_custkey % 3 WHEN 0 THEN 'equity' WHEN 1 THEN 'crypto' ELSE 'futures' END AS asset, CASE c_custkey % 3 WHEN 0 THEN 'XNYS' WHEN 2 THEN 'CME' END AS mic, count(*) AS n FROM customer GROUP BY ALL")
+def c7_calendar_of_asset(spark, d):
+    asset = F.element_at(F.array(F.lit("equity"), F.lit("crypto"), F.lit("futures")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/customer.parquet").select(asset.alias("asset")).withColumn("mic", calendar_of(F.col("asset"))).groupBy("asset", "mic").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {H1}, {WINDOWS}, {XNYS}, n AS (SELECT symbol, unnest(generate_series(open_ts, close_ts, INTERVAL 1 HOUR)) AS ts FROM w JOIN sessions ON session_date BETWEEN start_ts::DATE AND end_ts::DATE) SELECT 'equity' AS asset, symbol, count(*) AS bars FROM n JOIN w USING (symbol) WHERE ts BETWEEN start_ts AND end_ts GROUP BY symbol UNION ALL SELECT 'crypto', symbol, 1 + date_diff('hour', start_ts, end_ts) FROM w")
+def c7_grid_of_asset(spark, d):
+    from barloom.jobs.load import grid_of_asset
+
+    w = windows(hourly(spark, d))
+    each = [grid_of_asset(w, asset, "1h").groupBy("symbol").agg(F.count("*").alias("bars")).withColumn("asset", F.lit(asset)) for asset in ("equity", "crypto")]
+    return each[0].unionByName(each[1])
+
+
 @query(f"WITH {H1}, {XGRID} SELECT * FROM xg")
 def c1_exchange_grid(spark, d):
     return ntz(exchange_hours(spark, d)[1])
@@ -247,7 +319,7 @@ def a2_rollup_guard(spark, d):
 def a4_snap_daily(spark, d):
     b = bars.ticks_to_bars(ticks(spark, d), DAY)
     w = windows(b).withColumns({"start_ts": F.date_trunc("day", "start_ts"), "end_ts": F.date_trunc("day", "end_ts")})
-    grid = calendars.exchange_grid(w, january(spark), DAY)
+    grid = calendars.exchange_grid(w, sessions(spark, d), DAY)
     return ntz(bars.snap_daily(b.withColumn("ingest_seq", F.unix_micros("ts")), grid).drop("ingest_seq"))
 
 
@@ -271,15 +343,16 @@ def a8_boundary(spark, d):
     return ntz(bars.boundary_mismatches(*exchange_hours(spark, d)))
 
 
-_NAMES = ["click", "view"]
+#: All event types of the table.
+_NAMES = ["click", "error", "purchase", "signup", "view"]
 
 
-@query(f"WITH {H1} SELECT ts, {', '.join(f'any_value({f}) FILTER (symbol = {s!r}) AS {s}_{f}' for s in _NAMES for f in sorted(FIELDS))} FROM h WHERE symbol IN ('click', 'view') GROUP BY ts")
+@query(f"WITH {H1} SELECT ts, {', '.join(f'any_value({f}) FILTER (symbol = {s!r}) AS {s}_{f}' for s in _NAMES for f in sorted(FIELDS))} FROM h GROUP BY ts")
 def a9_align(spark, d):
     return ntz(bars.align(hourly(spark, d), _NAMES))
 
 
-@query(f"WITH {H1} SELECT * FROM h WHERE symbol IN ('click', 'view')")
+@query(f"WITH {H1} SELECT * FROM h")
 def a10_wide_to_long(spark, d):
     return ntz(bars.to_long(bars.align(hourly(spark, d), _NAMES), _NAMES))
 
@@ -290,6 +363,17 @@ def a11_rename_stitch(spark, d):
     return ntz(bars.stitch(hourly(spark, d, "user"), renames))
 
 
+@query(f"""WITH {H1U}, {PADDED}, b AS (SELECT count(*) AS n, count(*) FILTER (volume = 0) AS z FROM p WHERE symbol = 'U2'),
+    moved AS (SELECT ts FROM h WHERE symbol = 'U1' AND ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20'),
+    after AS (SELECT ts, volume FROM p WHERE symbol = 'U2' AND ts NOT IN (SELECT ts FROM moved) UNION ALL SELECT ts, 1.0 FROM moved)
+    SELECT 'U2' AS symbol, n AS bars_before, z AS null_before, (SELECT count(*) FROM after) AS bars_after, (SELECT count(*) FROM after WHERE volume = 0) AS null_after, z - (SELECT count(*) FROM after WHERE volume = 0) AS fixed FROM b""")
+def a11_rename_report(spark, d):
+    renames = spark.createDataFrame([("U2", "U1", datetime(2024, 1, 5), datetime(2024, 1, 20))], "canonical string, alias string, valid_from timestamp, valid_to timestamp")
+    before, old = padded(spark, d), hourly(spark, d, "user")
+    both = before.where("symbol <> 'U1'").unionByName(old.where("symbol = 'U1'"))
+    return bars.stitch_report(before, bars.stitch(both, renames), renames)
+
+
 # --- gaps -----------------------------------------------------------------------------------------------------------
 
 _REQ = "req AS (SELECT DISTINCT symbol, TIMESTAMP '2024-01-03 10:20:00' AS start_ts, TIMESTAMP '2024-01-12 07:30:00' AS end_ts FROM h)"
@@ -319,7 +403,7 @@ def g1_hourly_gaps(spark, d):
     SELECT symbol, min(s) AS gap_start, max(e) AS gap_end FROM isl GROUP BY symbol, island UNION ALL SELECT symbol, start_ts, end_ts FROM req WHERE symbol NOT IN (SELECT symbol FROM ins)""")
 def g2_session_gaps(spark, d):
     h = hourly(spark, d, "user")
-    return ntz(gaps.session_gaps(h, requests(h), january(spark)))
+    return ntz(gaps.session_gaps(h, requests(h), sessions(spark, d)))
 
 
 _LIFE = "life AS (SELECT 'U' || c_custkey AS symbol, TIMESTAMP '2024-01-01' + to_hours(c_custkey) AS ipo_date, CASE WHEN c_custkey % 2 = 0 THEN TIMESTAMP '2024-01-11' END AS delist_date FROM customer)"
@@ -393,6 +477,34 @@ def p7_issue_totals(spark, d):
     return profile.issue_totals(found_issues(spark, d))
 
 
+@query(f"{AUDIT}, n AS (SELECT symbol, count(*) AS issues, coalesce(sum(n_bars) FILTER (category = 'missing_bars'), 0) AS missing FROM found GROUP BY symbol) SELECT e.symbol, expected, found_ AS found, coalesce(issues, 0) AS issues, CAST(coalesce(missing, 0) AS BIGINT) AS missing_bars, issues IS NULL AS is_clean FROM (SELECT symbol, count(*) AS expected FROM g GROUP BY symbol) e JOIN (SELECT symbol, count(*) AS found_ FROM r GROUP BY symbol) f USING (symbol) LEFT JOIN n USING (symbol)")
+def v15_report(spark, d):
+    return validate.audit_report(dirty(spark, d), calendars.continuous_grid(windows(hourly(spark, d, "user")), HOUR), HOUR)
+
+
+@query(f"WITH {H1U}, {PADDED} SELECT symbol, count(*) AS expected, count(*) AS found, 0 AS issues, 0 AS missing_bars, true AS is_clean FROM p GROUP BY symbol")
+def v16_clean_symbols(spark, d):
+    p = padded(spark, d)
+    return validate.audit_report(p.withColumn("ingest_seq", F.unix_micros("ts")), calendars.continuous_grid(windows(p), HOUR), HOUR)
+
+
+@query(f"WITH {H1U} SELECT symbol, 'error' AS severity, 'no_volume_column' AS category, count(*) AS n_bars, min(ts) AS first_ts FROM h GROUP BY symbol")
+def v7_schema(spark, d):
+    return ntz(validate.issues(hourly(spark, d, "user").drop("volume"), HOUR, "raw"))
+
+
+@query(f"{AUDIT} SELECT category, symbol, CAST(sum(n_bars) AS BIGINT) AS n_bars FROM found GROUP BY ALL")
+def p7_affected_symbols(spark, d):
+    return profile.affected_symbols(found_issues(spark, d))
+
+
+@query(f"{AUDIT}, pr AS (SELECT symbol, count(*) AS n FROM r GROUP BY symbol) SELECT count(*) AS symbols, CAST(sum(n) AS BIGINT) AS total_bars, CAST(sum(n) * 10 AS BIGINT) AS size_bytes, (SELECT count(DISTINCT symbol) FROM found) AS symbols_with_issues FROM pr")
+def p4_summary(spark, d):
+    b = dirty(spark, d)
+    sizes = b.groupBy("symbol").agg((F.count("*") * 10).alias("size_bytes"))
+    return profile.overview(profile.profile(b, sizes=sizes, found=found_issues(spark, d))).select("symbols", "total_bars", "size_bytes", "symbols_with_issues")
+
+
 @query(f"WITH {H1}, {PADDED} SELECT symbol, min(ts) AS first_bar, max(ts) AS last_bar, count(*) AS total_bars, count(*) FILTER (volume = 0) AS null_bars, count(*) FILTER (volume <> 0) AS data_bars, sum(volume) AS total_volume FROM p GROUP BY symbol")
 def p1_profile(spark, d):
     return ntz(profile.profile(padded(spark, d, "event_type")).drop("size_bytes", "issue_count"))
@@ -463,9 +575,14 @@ def s6_wanted_symbols(spark, d):
     return store.wanted_and_there(wanted, hourly(spark, d, "user")).withColumn("library", library_name("crypto", "1h", "events"))
 
 
-@query()
+@query(f"WITH {H1} SELECT symbol, count(DISTINCT date_trunc('month', ts)) AS folders, true AS has_size, true AS adds_up FROM h GROUP BY symbol")
 def s7_sizes(spark, d):
-    return store.symbol_sizes(store.files(spark, _stored(spark, d)))
+    path = _stored(spark, d)
+    total = store.library_size(store.listing(spark, path)).select(F.col("size_bytes").alias("all_bytes"), F.col("segments").alias("files"))
+    sizes = store.symbol_sizes(store.files(spark, path)).crossJoin(F.broadcast(total))  # one row
+    # Shares are rounded down once per symbol and file.
+    short = F.col("all_bytes") - F.sum("size_bytes").over(Window.partitionBy("all_bytes"))
+    return sizes.select("symbol", "folders", (F.col("size_bytes") > 0).alias("has_size"), short.between(0, F.sum("segments").over(Window.partitionBy("all_bytes"))).alias("adds_up"))
 
 
 @query(f"WITH {H1} SELECT 'crypto-1h-events' AS library, symbol, min(ts) AS range_start, max(ts) AS range_end, 'events' AS provider FROM h GROUP BY symbol")
@@ -480,9 +597,38 @@ def m2_compact_keeps_rows(spark, d):
     return ntz(store.read(spark, path))
 
 
-@query()
+@query(f"WITH {H1} SELECT symbol, count(*) > 50 * count(DISTINCT date_trunc('month', ts)) AS fragmented, true AS enough FROM h GROUP BY symbol")
 def m1_fragmentation(spark, d):
-    return store.fragmentation(spark, _stored(spark, d, 50))
+    listed = store.files(spark, _stored(spark, d, 50))
+    rows = listed.groupBy("symbol").agg(F.sum("rows").alias("rows"))
+    return store.symbol_fragmentation(listed).join(rows, "symbol").select("symbol", "fragmented", (F.col("segments") >= F.ceil(F.col("rows") / 50)).alias("enough"))
+
+
+@query(f"""WITH {H1}
+    SELECT 'missing' AS status, (SELECT count(*) FROM customer) AS n, true AS fewer
+    UNION ALL SELECT 'defragmented', count(*), true FROM (SELECT DISTINCT symbol, date_trunc('month', ts) FROM h)""")
+def m2_compact_statuses(spark, d):
+    path = store.scratch(spark, "bars")
+    # A provider of its own for each symbol, so that the number of folders is known.
+    rows = store.with_partitions(hourly(spark, d), "crypto", "1h", "events").withColumn("provider", F.col("symbol"))
+    store._overwrite(rows, path, 20)
+    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("U"), "c_custkey").alias("symbol"))
+    done = store.status_counts(store.compact(spark, path, symbols=wanted))
+    return done.select("status", "n", F.coalesce(F.col("segments_after") < F.col("segments_before"), F.lit(True)).alias("fewer"))
+
+
+@query(f"WITH {H1} SELECT * FROM h")
+def s5_recovered_update(spark, d):
+    """An update that was broken off after staging is brought in by recover()."""
+    path, h = _stored(spark, d), hourly(spark, d)
+    staged = f"{path}/_staged/broken"
+    store.with_partitions(h, "crypto", "1h", "events").write.parquet(f"{staged}/rows")
+    h.limit(0).write.parquet(f"{path}/_staged/open/part")
+    for folder in ("asset=crypto",):
+        store.drop(spark, f"{path}/{folder}")
+    if store.recover(spark, path) != (1, 1):
+        raise ValueError("one update was complete, one was not")
+    return ntz(store.read(spark, path))
 
 
 # --- analytics ------------------------------------------------------------------------------------------------------
@@ -546,11 +692,15 @@ def w8_continuous_contracts(spark, d):
     return analytics.continuous_contracts(c).withColumn("day", F.col("day").cast("string"))
 
 
-@query()
+#: Five hours are sixty half-lives: what is older weighs less than a double's last bit.
+@query("""WITH q AS (SELECT event_type AS symbol, ts, value / 0.5 AS spread FROM events)
+    SELECT a.symbol, a.ts, a.spread, round(sum(b.spread * pow(0.5, (epoch_us(a.ts) - epoch_us(b.ts)) / 3e8)) / sum(pow(0.5, (epoch_us(a.ts) - epoch_us(b.ts)) / 3e8)), 6) AS mean
+    FROM q a JOIN q b ON a.symbol = b.symbol AND b.ts BETWEEN a.ts - INTERVAL 5 HOUR AND a.ts AND (b.ts < a.ts OR b.spread <= a.spread) GROUP BY ALL""")
 def w9_decayed_spread(spark, d):
     t = ticks(spark, d)
     quotes = t.select("symbol", "ts", F.lit(0.0).alias("bid"), F.col("price").alias("ask"))
-    return analytics.decayed_spread(quotes, t.select("symbol").distinct().withColumn("tick_size", F.lit(0.5)))
+    out = analytics.decayed_spread(quotes, t.select("symbol").distinct().withColumn("tick_size", F.lit(0.5)))
+    return ntz(out.withColumn("mean", F.round("mean", 6)))
 
 
 @query("WITH t AS (SELECT 'U' || user_id AS symbol, count(*) AS n FROM events GROUP BY 1) SELECT symbol, n, c_mktsegment FROM t JOIN customer ON symbol = 'U' || c_custkey")
@@ -573,6 +723,57 @@ def job_load(spark, d):
     return ntz(store.read(spark, path, columns=["symbol", "ts", "volume", "close"]))
 
 
+@query(f"WITH {H1U}, {GRID} SELECT count(*) AS bars, count(DISTINCT symbol) AS symbols, 0 AS gaps_left, count(*) FILTER (symbol LIKE '%7') AS null_bars FROM g")
+def job_load_again(spark, d):
+    """All symbols have a first bar; then a load for which nothing of some symbols lands: nothing is left to plan."""
+    from barloom.jobs.load import load
+
+    path, h = store.scratch(spark, "bars"), store.materialised(hourly(spark, d, "user").withColumn("ingest_seq", F.unix_micros("ts")))
+    want = store.materialised(windows(h))
+    first = want.select("symbol", F.col("start_ts").alias("gap_start"), F.col("start_ts").alias("gap_end"))
+    load(h, first, path, "crypto", "1h", "events")
+    todo = want.select("symbol", F.col("start_ts").alias("gap_start"), F.col("end_ts").alias("gap_end"))
+    load(h.where("symbol not like '%7'"), todo, path, "crypto", "1h", "events")
+    life = spark.createDataFrame([], "symbol string, ipo_date timestamp, delist_date timestamp")
+    stored = store.read(spark, path)
+    left = gaps.plan(stored, want.where("start_ts < end_ts"), life)
+    counts = stored.agg(F.count("*").alias("bars"), F.count_distinct("symbol").alias("symbols"), F.count_if(F.col("symbol").like("%7") & F.col("close").isNull()).alias("null_bars"))
+    return counts.crossJoin(left.agg(F.count("*").alias("gaps_left")))  # a row each
+
+
+@query(f"WITH {H1U} SELECT symbol, 'error' AS severity, 'null_volume' AS category, count(*) AS n_bars, min(ts) AS first_ts, false AS stored FROM h WHERE symbol LIKE '%7' GROUP BY symbol")
+def job_load_issues(spark, d):
+    from barloom.jobs.load import load, load_issues
+
+    path, h = store.scratch(spark, "bars"), hourly(spark, d, "user").withColumn("ingest_seq", F.unix_micros("ts"))
+    todo = windows(h).select("symbol", F.col("start_ts").alias("gap_start"), F.col("end_ts").alias("gap_end"))
+    load(h.withColumn("volume", F.when(~F.col("symbol").like("%7"), F.col("volume"))), todo, path, "crypto", "1h", "events")
+    there = store.list_symbols(store.read(spark, path)).withColumn("stored", F.lit(True))
+    found = load_issues(spark, path).join(there, "symbol", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+    return ntz(found.select("symbol", "severity", "category", "n_bars", "first_ts", "stored"))
+
+
+@query(f"WITH {H1U}, {GRID} SELECT 'crypto-1h-events' AS library, symbol, start_ts AS range_start, end_ts AS range_end, 'events' AS provider, 'first' AS note FROM w")
+def s8_stored_provenance(spark, d):
+    from barloom.jobs.load import load, loads
+
+    path, h = store.scratch(spark, "bars"), hourly(spark, d, "user").withColumn("ingest_seq", F.unix_micros("ts"))
+    todo = windows(h).select("symbol", F.col("start_ts").alias("gap_start"), F.col("end_ts").alias("gap_end"))
+    load(h, todo, path, "crypto", "1h", "events", note="first")
+    return ntz(loads(spark, path).drop("loaded_at", "load_id"))
+
+
+@query(f"WITH {H1}, {GRID} SELECT symbol, ts, close, coalesce(volume, 0) AS volume FROM g LEFT JOIN h USING (symbol, ts)")
+def st1_ingested_bars(spark, d):
+    """Files of raw bars that land are loaded into the store by a stream."""
+    from barloom.streaming.live import ingest_bars
+
+    path, landing, state = (store.scratch(spark, n) for n in ("bars", "landing", "state"))
+    hourly(spark, d).withColumn("ingest_seq", F.unix_micros("ts")).coalesce(1).write.parquet(landing)
+    ingest_bars(spark, landing, BARS + ", ingest_seq bigint", state, path, "crypto", "1h", "events").awaitTermination()
+    return ntz(store.read(spark, path, columns=["symbol", "ts", "close", "volume"]))
+
+
 @query(f"WITH {TICKS}, {_bars('h', 'ticks', 'minute')} SELECT * FROM h WHERE ts + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM ticks)")
 def st2_live_bars(spark, d):
     from barloom.streaming.live import live_bars
