@@ -28,11 +28,12 @@ def _ordered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ingest_seq", F.unix_micros("ts"))
 
 
-def on_grid(raw: DataFrame, grid: DataFrame, resolution: str) -> tuple[DataFrame, DataFrame]:
+def on_grid(raw: DataFrame, grid: DataFrame, resolution: str, even: bool = False) -> tuple[DataFrame, DataFrame]:
     """Raw bars rolled up, checked, snapped and padded on a grid; and the issues, of which those of severity error kept their symbols out.
 
     Checked are raw rows as they came, the spacing once bars have the target's length, and what is to be stored. Rows
-    that repeat a time are no issue, the first counts. What is needed twice is worked out once.
+    that repeat a time are no issue, the first counts. What is needed twice is worked out once. even: whether the grid's
+    times are all a bar apart, as they are on a continuous one.
     """
     length = micros(resolution)
     raw = materialised(raw)
@@ -41,7 +42,7 @@ def on_grid(raw: DataFrame, grid: DataFrame, resolution: str) -> tuple[DataFrame
     rolled = materialised(rollup_if_finer(good, length))
     close = materialised(issues(_ordered(rolled), length, "raw").where("category = 'bad_spacing'"))
     rolled, _ = quarantine(rolled, close)
-    snapped = snap_daily(_ordered(rolled), grid) if resolution == "1d" else snap(_ordered(rolled), grid, length)
+    snapped = snap_daily(_ordered(rolled), grid) if resolution == "1d" else snap(_ordered(rolled), grid, length, length if even else None)
     padded = materialised(reindex(snapped, grid.join(rolled.select("symbol").distinct(), "symbol", "left_semi")))
     stored = materialised(issues(_ordered(padded), length, "storage"))
     return quarantine(padded, stored)[0], found.unionByName(close).unionByName(stored)
@@ -70,10 +71,10 @@ def load(landed: DataFrame, gaps: DataFrame, path: str, asset: str, resolution:
     windows = gaps.select("symbol", F.col("gap_start").alias("start_ts"), F.col("gap_end").alias("end_ts"))
     grid = grid_for(windows, resolution, sessions)
     wanted = wanted_rows(landed, gaps)
-    made, found = on_grid(wanted, grid, resolution)
+    made, found = on_grid(wanted, grid, resolution, sessions is None)
     known = read(spark, path, columns=["symbol"], asset=asset, resolution=resolution, provider=provider)
-    empty = null_grids(grid, wanted, known)
-    bars = materialised(made.select("symbol", "ts", *FIELDS).unionByName(empty))  # checks, upsert and provenance read it
+    empty = materialised(null_grids(grid, wanted, known))
+    bars = made.select("symbol", "ts", *FIELDS).unionByName(empty)
     if boundary_mismatches(bars, grid.join(bars.select("symbol").distinct(), "symbol", "left_semi")).limit(1).count():
         raise ValueError("bars don't cover their grid")
     done = windows.join(bars.select("symbol").distinct(), "symbol", "left_semi")

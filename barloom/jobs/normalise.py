@@ -18,7 +18,7 @@ def normalise_library(raw: DataFrame, resolution: str, sessions: DataFrame | Non
     if "ingest_seq" not in rows.columns:
         rows = rows.withColumn("ingest_seq", F.unix_micros("ts"))
     windows = rows.groupBy("symbol").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    bars, found = on_grid(keep_first(rows), grid_for(windows, resolution, sessions), resolution)
+    bars, found = on_grid(keep_first(rows), grid_for(windows, resolution, sessions), resolution, sessions is None)
     n_in, n_out = rows.groupBy("symbol").agg(F.count("*").alias("rows_in")), bars.groupBy("symbol").agg(F.count("*").alias("rows_out"))
     bad = found.where("severity = 'error'").select("symbol").distinct().withColumn("bad", F.lit(True))
     status = F.when(F.col("bad"), "error").when(F.col("rows_out").isNull(), "skipped").otherwise("ok")

@@ -60,20 +60,29 @@ def snap_daily(bars: DataFrame, grid: DataFrame) -> DataFrame:
     return _taken(bars.withColumn("day", F.to_date("ts")).join(days, ["symbol", "day"], "left").drop("day"))
 
 
-def snap(bars: DataFrame, grid: DataFrame, length: int) -> DataFrame:
+def snap(bars: DataFrame, grid: DataFrame, length: int, width: int | None = None) -> DataFrame:
     """Intraday bars at the nearest grid time within half the grid's median spacing (half a bar if the grid has one time); ties go to the later.
 
-    An equi-join on time buckets of that spacing finds the nearest: a grid time is put in its own bucket and those beside
-    it, so no task needs all bars of a symbol.
+    An equi-join on time buckets of that spacing finds the nearest: a bar looks in its own bucket and those beside it, so
+    no task needs all bars of a symbol, and the grid, mostly the larger side, is shuffled as it is. width: the spacing,
+    where it is known to be the same for all symbols; else it is worked out from the grid.
     """
-    width = median_spacing(grid).select("symbol", F.coalesce("spacing", F.lit(float(length))).alias("width"))
-    near = grid.join(width, "symbol").select("symbol", F.col("ts").alias("grid_ts"), "width", F.floor(F.unix_micros("ts") / F.col("width")).alias("own"))
-    near = near.withColumn("bucket", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
-    keyed = bars.join(width.withColumnRenamed("width", "bar_width"), "symbol", "left").withColumn("bucket", F.floor(F.unix_micros("ts") / F.col("bar_width"))).drop("bar_width")
+    if width is None:
+        widths = median_spacing(grid).select("symbol", F.coalesce("spacing", F.lit(float(length))).alias("width"))
+        wide_bars, wide_grid = bars.join(widths, "symbol", "left"), grid.join(widths, "symbol")
+    else:
+        wide_bars, wide_grid = (df.withColumn("width", F.lit(float(width))) for df in (bars, grid))
+    bucket = lambda by: F.floor(F.unix_micros("ts") / F.col("width") + by).alias("bucket")
+    near = wide_grid.select("symbol", F.col("ts").alias("grid_ts"), bucket(0))
+    # A bar whose symbol has no grid looks nowhere and keeps its time.
+    looks = F.explode_outer(F.when(F.col("width").isNotNull(), F.array(bucket(-1), bucket(0), bucket(1)))).alias("bucket")
+    keyed = wide_bars.select("symbol", "ts", *FIELDS, "ingest_seq", "width", looks)
     distance = F.abs(F.unix_micros("ts") - F.unix_micros("grid_ts"))
     best = keyed.join(near, ["symbol", "bucket"], "left").withColumn("distance", F.when(distance <= F.col("width") / 2, distance))
-    chosen = best.groupBy("symbol", "ts", "ingest_seq").agg(*[F.first(f).alias(f) for f in FIELDS], F.min(F.when(F.col("distance").isNotNull(), F.struct("distance", (-F.unix_micros("grid_ts")).alias("later")))).alias("b"))
-    return _taken(chosen.withColumn("target", F.timestamp_micros(-F.col("b.later"))).drop("b"))
+    # The nearest, and of two the later, as one number: fixed-size states keep the aggregation in place.
+    rank = F.when(F.col("distance").isNotNull(), (F.col("grid_ts") >= F.col("ts")).cast("long") - 2 * F.col("distance"))
+    chosen = best.groupBy("symbol", "ts", "ingest_seq").agg(*[F.first(f).alias(f) for f in FIELDS], F.max_by("grid_ts", rank).alias("target"))
+    return _taken(chosen)
 
 
 def reindex(bars: DataFrame, grid: DataFrame) -> DataFrame:
