@@ -26,6 +26,8 @@ FIRST_LEVEL, LAST_LEVEL = 3, 7
 HASHES = 48
 #: Characters that are parsed at once; a longer text is parsed by itself.
 PART_CHARS = 1 << 20
+#: Bytes of text of a range of doc_ids, about; and ranges that are counted for each one that is made.
+RANGE_BYTES, FINE = 64 << 20, 16
 
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _ZEROS = np.array([8] + [(b & -b).bit_length() - 1 for b in range(1, 256)], np.uint8)
@@ -169,15 +171,20 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The next document is that of the next smaller doc_id, after the last the first; rows without id come last, rows of
     one id by text. Null counts as empty. A single row is its own neighbour. An empty table gives an empty one.
 
-    Texts are dealt once, into ranges of doc_id; each range also gets the first row of the next, so a task needs no
-    other range. What comes to the driver is one doc_id per range.
+    Texts are dealt once, into ranges of doc_id of about the same number of bytes; each range also gets the first row of
+    the next, so a task needs no other range. What comes to the driver is a doc_id and a number of bytes for each of
+    FINE finer ranges per range. Rows of one doc_id, or without one, are of one range.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key")
     rows = docs.select(key, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranges = max(1, rows.rdd.getNumPartitions())
-    tops = rows.select("key").repartitionByRange(ranges, F.desc("key")).groupBy(F.spark_partition_id()).agg(F.max("key").alias("top")).select("top").collect()
-    tops = np.sort(np.array([r["top"] for r in tops], np.int64))  # ascending; range i is the one with the i-th top
+    least = max(1, rows.rdd.getNumPartitions())
+    fine = rows.select("key", F.octet_length("text").cast("long").alias("bytes")).repartitionByRange(FINE * least, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("top"), F.sum("bytes").alias("bytes")).orderBy("top").collect()
+    upto = np.cumsum([r["bytes"] + 1 for r in fine])
+    ranges = max(least, -(-int(upto[-1]) // RANGE_BYTES)) if fine else 1
+    # A fine range is of the range that its middle falls into; the last one of each is its top.
+    share = (upto - np.diff(upto, prepend=0) / 2) * ranges // upto[-1] if fine else upto
+    tops = np.array([r["top"] for r, last in zip(fine, np.append(np.diff(share) > 0, True)) if last], np.int64)
     n = len(tops)
 
     @F.pandas_udf("array<struct<range:long,guest:boolean>>")
@@ -187,7 +194,7 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         return pd.Series([[(h, False), ((h + 1) % n, True)] if f else [(h, False)] for h, f in zip(home.tolist(), first.tolist())])
 
     dealt = rows.select("doc_id", "key", "text", F.explode(places("key")).alias("place")).select("doc_id", "key", "text", "place.range", "place.guest")
-    dealt = dealt.repartition(ranges, "range").sortWithinPartitions("range", "guest", F.desc("key"), "text")
+    dealt = dealt.repartitionById(max(1, n), F.col("range").cast("int")).sortWithinPartitions("range", "guest", F.desc("key"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []  # rows in order, each the next of the one before
