@@ -33,12 +33,13 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) per page, from archives that are written and read back."""
     from pyspark.sql import functions as F
 
-    from barloom.llm.common import scratch_path
+    from barloom.llm.common import cut, scratch_path
     from barloom.llm.warc import captures, read_archives, resolve_revisits, write_archives
 
     path = scratch_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    found = resolve_revisits(captures(read_archives(spark, path, payloads=False)))
+    records = cut(read_archives(spark, path, payloads=False))  # the archives are walked once
+    found = resolve_revisits(cut(captures(records)))
     page = lambda metadata: F.try_element_at(metadata["fields"], F.lit("page-id")).try_cast("long")
     return found.select(
         page(F.col("metadata")).alias("page_id"),

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Records in a file at most.
-FILE_RECORDS = 30_000
+#: Bytes of records in a file, about, and records at most.
+FILE_BYTES, FILE_RECORDS = 64 << 20, 30_000
 
 
 def base32_sha1(text: Column) -> Column:
@@ -47,12 +47,17 @@ def write_archives(pages: DataFrame, path: str) -> None:
     is a response, the others are revisits of it, which have headers only; rows without page_id come after all others.
     Record ids follow from page_id, url and html, so rows that repeat all three write records of the same ids, which
     count once when read. Line breaks in a url are percent-encoded; a null url is empty. An empty table writes none.
+
+    A file holds as many records as make FILE_BYTES at the table's mean size of a page; pages are dealt by hashes of
+    their payloads, so large ones spread over files. Each file is one gzip member, as Spark's text writer makes it.
     """
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"),
         F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"),
     )
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long") + 1000).alias("bytes")).first()
+    per_file = min(FILE_RECORDS, max(3, 3 * FILE_BYTES * size["n"] // (size["bytes"] or 1)))
     own = _uuid(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.sha2("html", 256))
     rows = rows.withColumns({"sha1": base32_sha1(F.col("html")), "sha256": F.sha2("html", 256), "bytes": F.octet_length("html"), "id": own, "order": F.struct(F.col("page_id").isNull(), "page_id", own)})
     # Small rows find the first of each group; copies are combined before the shuffle. One more key than the groups have
@@ -74,7 +79,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.when(again, _record(revisit, http)).otherwise(_record([kind("response"), *answer], F.concat(http, F.col("html")))),
         _record([kind("metadata"), other("metadata"), *common, beside, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit("\r\n"))),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, claimed_digest string, content_type string, block_bytes long, payload_bytes long, payload_digest string, fields map<string,string>"
