@@ -21,10 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir; a local one only where none is set."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir; a local one only in local mode, where none is set."""
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)

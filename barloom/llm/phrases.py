@@ -27,7 +27,7 @@ HASHES = 48
 #: Characters that are parsed at once; a longer text is parsed by itself.
 PART_CHARS = 1 << 20
 #: Bytes of text of a range of doc_ids, about; and ranges that are counted for each one that is made.
-RANGE_BYTES, FINE = 64 << 20, 16
+RANGE_BYTES, FINE = 64 << 20, 4
 
 _PLACE = np.random.default_rng(11).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 _ZEROS = np.array([8] + [(b & -b).bit_length() - 1 for b in range(1, 256)], np.uint8)
@@ -179,7 +179,8 @@ def with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("key")
     rows = docs.select(key, F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     least = max(1, rows.rdd.getNumPartitions())
-    fine = rows.select("key", F.octet_length("text").cast("long").alias("bytes")).repartitionByRange(FINE * least, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("top"), F.sum("bytes").alias("bytes")).orderBy("top").collect()
+    fine = rows.select("key", F.octet_length("text").cast("long").alias("bytes")).repartitionByRange(FINE * least, "key").groupBy(F.spark_partition_id()).agg(F.max("key").alias("top"), F.sum("bytes").alias("bytes")).collect()
+    fine = sorted(fine, key=lambda r: r["top"])
     upto = np.cumsum([r["bytes"] + 1 for r in fine])
     ranges = max(least, -(-int(upto[-1]) // RANGE_BYTES)) if fine else 1
     # A fine range is of the range that its middle falls into; the last one of each is its top.

@@ -170,10 +170,20 @@ def _sample(labels: DataFrame, label: str, train: Column, rows: int) -> DataFram
     return labels.where(train & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
 
 
+def one_per_label(rows: DataFrame) -> DataFrame:
+    """Of rows (doc_id, label, text and others) that repeat a doc_id the one with the greatest text, so that labels bound what is learnt from."""
+    rest = [c for c in rows.columns if c not in ("doc_id", "text")]
+    return rows.groupBy("doc_id").agg(F.max(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
+
+
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Ensemble:
-    """An ensemble from labels (doc_id, quality) whose crc32(doc_id) mod 5 is not 0; at most train_rows rows come to the driver, each a few numbers."""
+    """An ensemble from labels (doc_id, quality) whose crc32(doc_id) mod 5 is not 0; at most train_rows rows come to the driver, each a few numbers.
+
+    Labels without doc_id or value don't count, nor do those of ids that docs lack; a doc_id that repeats counts once, with
+    its greatest text. Without labels the score is one half. Other columns of both tables are ignored.
+    """
     picked = _sample(labels, "quality", ~held_out(F.col("doc_id"), 5, 0), train_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("label", "text")
+    rows = one_per_label(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")).select("label", "text")
     data = with_statistics(rows, "stats").select("label", "stats.*").toPandas()
     data = data.iloc[np.lexsort(data.to_numpy().T)] if len(data) else data
     return fit(list(STATISTICS), data[list(STATISTICS)].to_numpy(float), data["label"].to_numpy(float))
@@ -186,6 +196,10 @@ def score_quality(docs: DataFrame, model: Ensemble, score_col: str = "score") ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose score is at least `least`, with the columns of docs."""
+    """The rows of docs whose score is at least `least`, with the columns of docs, whatever their names.
+
+    Each row goes by its own text: null and empty ones by the score of an empty text, repeated rows stay or go together.
+    An empty table gives an empty one.
+    """
     score = fresh(docs, "quality_score")
     return score_quality(docs, learn(docs, labels), score).where(F.col(score) >= least).drop(score)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import fresh, held_out, slices, utf8
+from barloom.llm.quality import one_per_label
 from barloom.llm.textscan import heads, words
 
 #: Bytes of the beginnings that are hashed beside the word.
@@ -182,11 +183,13 @@ def calibrate(scores: np.ndarray, y: np.ndarray, lang: np.ndarray, least: int =
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Network, dict[str | None, float]]:
     """A network and thresholds from labels (doc_id, toxic) whose crc32(doc_id) mod 3 is not 1; at most train_rows texts come to the driver, as table rows of their words (six bytes a word).
 
-    A fifth of these, apart from those learnt from, sets the thresholds. lang only picks the threshold, never the score.
+    A fifth of these, apart from those learnt from, sets the thresholds. lang only picks the threshold, never the score. A
+    doc_id that repeats counts once, with its greatest text.
     """
     known = labels.where(~held_out(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     picked = known.select("doc_id", F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
-    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id").select("doc_id", "lang", "label", "text")
+    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = one_per_label(rows).select("doc_id", "lang", "label", "text")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

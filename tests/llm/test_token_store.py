@@ -113,8 +113,19 @@ def test_lost_recipes_are_found(spark, tmp_path):
         for read in (ts.read_store, ts.read_checksums):
             with pytest.raises(Exception, match="fit the manifest|where the one before it ends"):
                 read(spark, path).collect()
+    two = recipes.where("n_tokens > 1").orderBy("start").limit(2).collect()
+    swapped = [r.asDict() | ({"digests": two[1 - two.index(r)]["digests"], "sizes": two[1 - two.index(r)]["sizes"]} if r in two else {}) for r in recipes.collect()]
+    spark.createDataFrame(swapped, recipes.schema).write.mode("overwrite").parquet(f"{path}/recipes")
+    for read in (ts.read_store, ts.read_checksums):
+        with pytest.raises(Exception, match="fit its root"):
+            read(spark, path).collect()
     recipes.write.mode("overwrite").parquet(f"{path}/recipes")
     assert ts.read_checksums(spark, path).count() == ts.read_store(spark, path).count() == recipes.count()
+    assert manifest.count() > 1
+    first = manifest.agg({"part": "min"}).first()[0]
+    manifest.where(f"part > {first}").write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(Exception, match="fit the manifest"):
+        ts.read_checksums(spark, path).collect()
     manifest.limit(0).write.mode("overwrite").parquet(f"{path}/manifest")
     with pytest.raises(Exception, match="fit the manifest"):
         ts.read_checksums(spark, path).collect()
