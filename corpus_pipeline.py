@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import scratch_path, table
+from barloom.llm.common import drop_path, scratch_path, table
 from barloom.llm.exact_dedup import drop_copies
 from barloom.llm.ngram_join import drop_near
 from barloom.llm.packing import documents_as_items, sequences
@@ -48,10 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents, each one's rows written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the table documents, each one's rows written to the shared folder, read by the next and then deleted; only the last one's stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
