@@ -34,7 +34,7 @@ from barloom.llm.textscan import mix, power
 #: Ids a rolling hash looks at, and chunk sizes: least, usual and most.
 WINDOW, LEAST, USUAL, MOST = 8, 128, 1024, 8192
 #: Pieces of text a Python worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 600_000, 200
+REMEMBERED, REMEMBERED_CHARS = 300_000, 200
 PART_BYTES = 1 << 22
 
 _rng = np.random.default_rng(17)
