@@ -1,5 +1,6 @@
 """Jobs and streams from end to end, and every registered query."""
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom import registry
 from barloom.functions import calendars
 from barloom.jobs.audit import audit_library
-from barloom.jobs.load import load
+from barloom.jobs.load import load, load_issues, loads
 from barloom.jobs.normalise import normalise_library
 from barloom.operators import gaps
 from barloom.schema import MINUTE, RAW
@@ -70,3 +71,48 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_load_keeps_issues_and_fills_known_symbols(spark, tmp_path):
+    path, start = f"{tmp_path}/s", datetime(2024, 1, 2, 10)
+    rows = linear(10, start=start, symbol="A") + linear(10, start=start, symbol="B")
+    rows[13] = (*rows[13][:6], None, rows[13][7])
+    both = window(spark, start, start + timedelta(minutes=9), "A").unionByName(window(spark, start, start + timedelta(minutes=9), "B"))
+    todo = both.selectExpr("symbol", "start_ts AS gap_start", "end_ts AS gap_end")
+    assert [r["symbol"] for r in load(raw(spark, rows), todo, path, "crypto", "1m", "x", note="n").collect()] == ["A"]
+    assert values(load_issues(spark, path), "symbol", "category", "n_bars") == [("B", "null_volume", 1)]
+    # Nothing lands any more: A is known and gets bars without trades, B isn't and gets none.
+    later = both.selectExpr("symbol", "end_ts + interval 1 minute AS gap_start", "end_ts + interval 5 minutes AS gap_end")
+    load(raw(spark, rows).limit(0), later, path, "crypto", "1m", "x")
+    assert {r["symbol"] for r in store.read(spark, path).collect()} == {"A"}
+    assert store.read(spark, path).where("close is null and volume = 0").count() == 5
+    assert loads(spark, path).count() == 2 and {r["note"] for r in loads(spark, path).collect()} == {"n", None}
+
+
+def test_updates_at_once_and_broken_ones(spark, tmp_path):
+    path, key = f"{tmp_path}/s", ("crypto", "1m", "x")
+    january, march = datetime(2024, 1, 2), datetime(2024, 3, 2)
+    store.write(raw(spark, linear(20, start=january) + linear(20, start=march)), path, *key)
+
+    def change(start):
+        store.update(raw(spark, linear(3, start=start, base=500.0)), window(spark, start, start + timedelta(minutes=2), "AAPL"), path, *key)
+
+    with ThreadPoolExecutor(2) as pool:
+        list(pool.map(change, (january, march)))
+    assert store.read(spark, path).count() == 40 and store.read(spark, path).where("close >= 500").count() == 6
+    # One update that was staged in full but not brought in, and one that was broken off while staging.
+    new = store.with_partitions(raw(spark, linear(4, start=march, base=900.0)), *key)
+    new.write.parquet(f"{path}/_staged/a/rows")
+    new.write.parquet(f"{path}/_staged/b/had")
+    assert store.recover(spark, path) == (1, 1) and store.recover(spark, path) == (0, 0)
+    assert store.read(spark, path).count() == 24 and store.read(spark, path).where("close >= 900").count() == 4
+
+
+def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    store.write(raw(spark, linear(4000)), path, "crypto", "1m", "x")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = store.listing(spark, path)
+    assert sizes.count() > 1 and sizes.select(*store.PARTITIONS).distinct().count() == 1
+    assert store.library_size(sizes).first() == store.library_size(store.files(spark, path)).first()
