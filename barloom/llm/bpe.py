@@ -24,9 +24,9 @@ from barloom.llm.pieces import distinct, spread
 #: Fixed: the pattern by which byte-level BPE of this kind cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces a Python worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 200_000, 200
+REMEMBERED, REMEMBERED_CHARS = 100_000, 200
 #: Bytes of text that are worked on at once.
-PART_BYTES = 1 << 21
+PART_BYTES = 1 << 20
 #: Kinds of bytes: white space, ASCII letters, digits, other ASCII (no white space), parts of other characters.
 SPACE, LETTER, DIGIT, SIGN, WIDE = range(5)
 _KIND = np.full(256, SIGN, np.uint8)
@@ -38,7 +38,7 @@ _KIND[128:] = WIDE
 _TWO = np.zeros(256, bool)
 _TWO[0xC3:0xE0] = True
 #: Rows of one segment-tree batch, and the width from which pieces are merged one by one.
-BATCH_ROWS, SINGLE_FROM = 1 << 14, 256
+BATCH_ROWS, SINGLE_FROM = 1 << 12, 256
 NONE = np.iinfo(np.int64).max
 
 
@@ -296,6 +296,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
                 ids, at = vocab.encode_column(part.column(part.num_columns - 1))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], [*rest, ids_col])
+                pa.default_memory_pool().release_unused()
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text)).mapInArrow(run, schema)
 
