@@ -24,9 +24,9 @@ from barloom.llm.pieces import distinct, spread
 #: Fixed: the pattern by which byte-level BPE of this kind cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces a Python worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 100_000, 200
+REMEMBERED, REMEMBERED_CHARS = 250_000, 200
 #: Bytes of text that are worked on at once.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 21
 #: Kinds of bytes: white space, ASCII letters, digits, other ASCII (no white space), parts of other characters.
 SPACE, LETTER, DIGIT, SIGN, WIDE = range(5)
 _KIND = np.full(256, SIGN, np.uint8)
