@@ -2,7 +2,8 @@
 
 Merges are found with a segment tree over the ranks of adjacent pairs: its root names the leftmost pair of the lowest
 rank, and a merge changes three leaves, each in a logarithmic number of steps. Many pieces of text are merged side by
-side, one row of a numpy array each. Every worker remembers a bounded number of bounded pieces it has met.
+side, one row of a numpy array each. Every worker remembers a bounded number of bounded pieces it has met, in two turns:
+when one is full, the other is forgotten.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from barloom.llm.pieces import distinct, spread
 
 #: Fixed: the pattern by which byte-level BPE of this kind cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Pieces a Python worker remembers before it starts anew, and the longest that it remembers.
-REMEMBERED, REMEMBERED_CHARS = 250_000, 200
+#: Pieces a Python worker meets before it forgets those that it met neither since nor in the turn before, and the longest that it remembers.
+REMEMBERED, REMEMBERED_CHARS = 150_000, 200
 #: Bytes of text that are worked on at once.
 PART_BYTES = 1 << 21
 #: Kinds of bytes: white space, ASCII letters, digits, other ASCII (no white space), parts of other characters.
@@ -71,6 +72,12 @@ def cut_places(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut[:n])
 
 
+def one_word(piece: str) -> bool:
+    """Whether a piece is letters of the Latin blocks alone, or such after one space: the pattern leaves that whole."""
+    letters = piece[1:] if piece.startswith(" ") else piece
+    return letters.isalpha() and (letters.isascii() or max(letters) < "\u0250")
+
+
 class Vocabulary:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -93,6 +100,7 @@ class Vocabulary:
         self.text_pool = np.frombuffer(b"".join(self.text), np.uint8)
         self.special_split = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.made_list = self.made.tolist()
         self.pattern = regex.compile(PATTERN)
 
@@ -126,30 +134,28 @@ class Vocabulary:
             after[row, at] = beyond
             inside = beyond < cols
             before[row[inside], beyond[inside]] = at[inside]
-            self._set(tree, row, gone, None, width)
             right = np.where(inside, symbols[row, np.minimum(beyond, cols - 1)], -1)
-            self._set(tree, row, at, self.pair_ranks(symbols[row, at], right), width)
             prior = before[row, at]
             has = prior >= 0
-            self._set(tree, row[has], prior[has], self.pair_ranks(symbols[row[has], prior[has]], symbols[row[has], at[has]]), width)
+            prior_row, prior = row[has], prior[has]
+            left = np.concatenate([symbols[row, at], symbols[prior_row, prior]])
+            ranks = self.pair_ranks(left, np.concatenate([right, symbols[row[has], at[has]]]))
+            last = gone < width  # the last symbol has no pair, so no leaf
+            rows, leaves = np.concatenate([row, prior_row, row[last]]), np.concatenate([at, prior, gone[last]])
+            ranks = np.concatenate([ranks, np.full(len(rows) - len(ranks), NONE)])
+            real = leaves < width
+            self._set(tree, rows[real], leaves[real], ranks[real], width)
             row = row[tree[row, 1] != NONE]
 
     @staticmethod
-    def _set(tree: np.ndarray, row: np.ndarray, at: np.ndarray, ranks: np.ndarray | None, width: int) -> None:
-        """Point update: a leaf per row, then the minima above it. The last symbol has no pair, so no leaf."""
-        if ranks is None:
-            real = at < width
-            row, at = row[real], at[real]
-            value = np.full(len(row), NONE, np.int64)
-        else:
-            real = at < width
-            row, at, ranks = row[real], at[real], ranks[real]
-            value = np.where(ranks == NONE, NONE, np.where(ranks == NONE, 0, ranks) * width + at)
-        node = at + width
-        tree[row, node] = value
+    def _set(tree: np.ndarray, row: np.ndarray, at: np.ndarray, ranks: np.ndarray, width: int) -> None:
+        """Point updates: leaves of rows, then the minima above them, a level at a time."""
+        flat, first, node = tree.reshape(-1), row * (2 * width), at + width
+        flat[first + node] = np.where(ranks == NONE, NONE, np.where(ranks == NONE, 0, ranks) * width + at)
         while width > 1:
-            node = node >> 1
-            tree[row, node] = np.minimum(tree[row, 2 * node], tree[row, 2 * node + 1])
+            node >>= 1
+            below = first + 2 * node
+            flat[first + node] = np.minimum(flat[below], flat[below + 1])
             width >>= 1
 
     def merge_one(self, symbols: list[int]) -> list[int]:
@@ -214,13 +220,22 @@ class Vocabulary:
                     out[i] = flat[b:e].tobytes()
         return out
 
+    def recall(self, pieces: list[str]) -> list[bytes | None]:
+        """Ids of those pieces that are remembered; what an older turn knew goes on into this one."""
+        each = list(map(self.known.get, pieces))
+        for i, ids in enumerate(each):
+            if ids is None and (ids := self.older.get(pieces[i])) is not None:
+                each[i] = self.known[pieces[i]] = ids
+        return each
+
     def learn(self, new: list[str]) -> dict[str, bytes]:
         """Ids of new pieces of text, each cut by the pattern and merged; those that aren't too long are remembered."""
-        cut = [self.pattern.findall(p) for p in new]
-        inner = list({p for c in cut for p in c if p not in self.known})
-        got = dict(zip(inner, self.encode_pieces(inner)))
-        got.update((w, b"".join([got.get(p) or self.known[p] for p in c])) for w, c in zip(new, cut) if len(c) != 1)
-        got.update((p, self.known[p]) for p in new if p not in got)
+        several = {p: self.pattern.findall(p) for p in new if not one_word(p)}
+        inner = list({p for c in several.values() for p in c})
+        got = {p: ids for p, ids in zip(inner, self.recall(inner)) if ids is not None}
+        unmet = list(dict.fromkeys(p for p in [*inner, *new] if p not in got and (p not in several or len(several[p]) == 1)))
+        got.update(zip(unmet, self.encode_pieces(unmet)))
+        got.update((p, b"".join([got[part] for part in c])) for p, c in several.items() if len(c) != 1)
         self.known.update((p, ids) for p, ids in got.items() if len(p) <= REMEMBERED_CHARS)
         return got
 
@@ -246,8 +261,8 @@ class Vocabulary:
         first = cut_places(raw, ends)
         names, numbers = distinct(raw, np.append(first, len(raw)))
         if len(self.known) > REMEMBERED:
-            self.known = {}
-        each = list(map(self.known.get, names))
+            self.older, self.known = self.known, {}
+        each = self.recall(names)
         new = self.learn([p for p, ids in zip(names, each) if ids is None])
         if new:
             each = [new[p] if ids is None else ids for p, ids in zip(names, each)]

@@ -51,3 +51,15 @@ def test_frames(spark):
         assert got[i] == (ids, text or "")
     assert encode(empty(spark), PATH).collect() == []
     assert decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), PATH).select("doc_id", "decoded").collect() == [(1, ""), (2, "")]
+
+
+def test_forgetting_changes_nothing(monkeypatch):
+    """Pieces met anew after a turn of memory get the same ids as in a vocabulary that forgets nothing."""
+    from barloom.llm import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [f"word{i % 7} naïve{chr(228 + i % 5)}x can't  {i}\n 中{i % 3} ɐb" * 3 for i in range(60)]
+    want = bpe.Vocabulary(path).encode_texts(texts)
+    monkeypatch.setattr(bpe, "REMEMBERED", 5)
+    small = bpe.Vocabulary(path)
+    assert [ids for _ in range(2) for k in range(0, 60, 4) for ids in small.encode_texts(texts[k : k + 4])] == want * 2
