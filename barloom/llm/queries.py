@@ -138,6 +138,55 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_max_sketch_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, rank, doc_id, score) of the 50 best documents of each benchmark item.
+
+    Null texts hold nothing; an item's repeated rows count as one item with all their terms; of equal scores the smaller
+    doc_id is first, rows without one last, and rows that repeat are documents of their own.
+    """
+    from barloom.llm.common import scratch_path
+    from barloom.llm.lexical import build_index, search
+
+    path = scratch_path(spark, "sketches")
+    build_index(table(spark, sf_dir, "documents"), path)
+    return search(spark, path, table(spark, sf_dir, "benchmark"), top=50)
+
+
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) per distinct beginning of rebuilt conversations.
+
+    Null roles and texts are empty; turns of equal number go by role and text, rows that repeat are turns of their own;
+    rows without conv_id belong to no conversation; an empty table has no node.
+    """
+    from barloom.llm.turn_trie import rebuilt, trie
+
+    return trie(rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score) per document; rows that repeat stay, null texts are empty.
+
+    n_base, first_word and last_word go by the base phrases alone; score is that of the best place, 0 where there is none.
+    """
+    from pyspark.sql import functions as F
+
+    from barloom.llm.licences import scan_licences
+
+    found = scan_licences(table(spark, sf_dir, "documents")).withColumn("base", F.filter("places", lambda p: p["base"]))
+    labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
+    first = F.transform("base", lambda p: p["first"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(first).alias("first_word"),
+        F.array_max(first).alias("last_word"),
+        labels("base").alias("base_labels"),
+        labels("places").alias("labels"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["score"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -32,15 +32,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes of terms: digits, ASCII letters and whatever lies beyond ASCII.
+TERM_BYTES = np.zeros(256, bool)
+TERM_BYTES[48:58] = TERM_BYTES[65:91] = TERM_BYTES[97:123] = TERM_BYTES[128:] = True
+
+
+def words(raw: np.ndarray, ends: np.ndarray, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end byte) of every word and, per text, where its words begin (one more at the end).
 
-    Words are runs without SPACE_CHARS; A-Z count as a-z. Words don't reach over the end of a text.
+    Words are runs without SPACE_CHARS, or runs of the bytes that `within` marks; A-Z count as a-z. Words don't reach
+    over the end of a text.
     """
     n = len(raw)
     if n == 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(ends), np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~_SPACE[raw] if within is None else within[raw]
     edge = np.zeros(n + 1, bool)
     edge[ends] = True
     begin = inside.copy()
