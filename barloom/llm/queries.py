@@ -211,4 +211,19 @@ def oracle_sql() -> dict[str, str]:
                 doc_id = first_value(doc_id) OVER (PARTITION BY body ORDER BY n DESC, doc_id) AS kept,
                 sha256(body) AS text_sha256
             FROM d""",
+        "op11_max_sketch_search": r"""
+            WITH terms AS MATERIALIZED (
+                SELECT doc_id, r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+                FROM (SELECT doc_id, text, row_number() OVER () AS r FROM documents)),
+            sizes AS (SELECT r, count(*) AS n FROM terms GROUP BY r),
+            whole AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM sizes),
+            held AS (SELECT doc_id, r, term, count(*) AS tf FROM terms GROUP BY ALL),
+            weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM held, whole GROUP BY term),
+            asked AS (
+                SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            scored AS (
+                SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // tokens)))) AS BIGINT) AS score
+                FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (r), whole GROUP BY item_id, r, doc_id)
+            SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
+            FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS k FROM scored WHERE score > 0) WHERE k <= 50""",
     }
