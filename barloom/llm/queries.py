@@ -226,4 +226,26 @@ def oracle_sql() -> dict[str, str]:
                 FROM asked JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (r), whole GROUP BY item_id, r, doc_id)
             SELECT item_id, CAST(k AS INTEGER) AS rank, doc_id, score
             FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS k FROM scored WHERE score > 0) WHERE k <= 50""",
+        "op12_turn_trie": r"""
+            WITH t AS (
+                SELECT conv_id, list({'role': role, 'text': text} ORDER BY turn NULLS FIRST, md5(strlen(role) || ':' || role || text)) AS own
+                FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL) GROUP BY conv_id),
+            bits AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS b),
+            crc AS (
+                SELECT t.*, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, x: xor(c >> 8, b[CAST((xor(c, x) & 255) + 1 AS BIGINT)])), 4294967295::BIGINT) % 4 AS BIGINT) AS h
+                FROM t, bits),
+            r AS (SELECT c.conv_id, list_concat(coalesce(b.own, c.own[1:0])[1:h], c.own[h + 1:]) AS seq FROM crc c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 20),
+            p AS (SELECT conv_id, seq, len(seq) AS n, unnest(range(0, len(seq) + 1)) AS depth FROM r),
+            nodes AS (
+                SELECT depth, seq[1:depth] AS path, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '') AS ends
+                FROM p GROUP BY depth, seq[1:depth]),
+            linked AS (
+                SELECT c.*, u.conv_id AS parent_conv_id, CASE WHEN c.depth > 0 THEN len(regexp_extract_all(c.path[-1].text, '[^\x20\x09-\x0D]+')) ELSE 0 END AS words
+                FROM nodes c LEFT JOIN nodes u ON u.depth = c.depth - 1 AND u.path = c.path[1:c.depth - 1]),
+            kids AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM linked WHERE depth > 0 GROUP BY ALL),
+            whole AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (depth, conv_id)),
+            below AS (
+                SELECT e AS depth, path[1:e] AS path, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum((n_convs - 1) * words) AS BIGINT) AS saved_tokens
+                FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM whole) GROUP BY e, path[1:e])
+            SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256 FROM whole JOIN below USING (depth, path)""",
     }
