@@ -112,33 +112,86 @@ def _steps(start: Column, end: Column, length: int) -> Column:
     return F.transform(F.sequence(F.unix_micros(start), F.unix_micros(end), F.lit(length)), F.timestamp_micros)
 
 
+def _months(windows: DataFrame) -> DataFrame:
+    """windows with the months they reach into, dealt over tasks by symbol and month: a long window is no one task's work."""
+    months = F.sequence(F.trunc("start_ts", "month"), F.trunc("end_ts", "month"), F.expr("interval 1 month"))
+    cut = windows.where("start_ts <= end_ts").withColumn("_month", F.explode(months))
+    # A given number of partitions stays as it is, while small ones would be put together again before they grow.
+    return cut.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol", "_month")
+
+
+def _days(windows: DataFrame) -> DataFrame:
+    """windows with session_date: the dates from start's to end's."""
+    first, last = F.greatest(F.to_date("start_ts"), "_month"), F.least(F.to_date("end_ts"), F.last_day("_month"))
+    return _months(windows).withColumn("session_date", F.explode(F.sequence(first, last))).drop("_month")
+
+
+def in_sessions(windows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """windows with the sessions whose dates lie from start's to end's: windows are cut into days, which meet sessions on the date.
+
+    Sessions are a small table by nature (some hundred rows a year), so they are broadcast.
+    """
+    return _days(windows).join(F.broadcast(sessions), "session_date")
+
+
+def _timed() -> Column:
+    return (F.col("start_ts") != F.date_trunc("day", "start_ts")) | (F.col("end_ts") != F.date_trunc("day", "end_ts"))
+
+
 def exchange_grid(windows: DataFrame, sessions: DataFrame, length: int) -> DataFrame:
     """(symbol, ts) for windows (symbol, start_ts, end_ts): each session's bars from open to close, both included.
 
     Sessions go by the dates of start and end; bars are cut to the window only where start or end has a time of day.
-    Sessions are a small table by nature (some hundred rows a year), so they are broadcast.
     """
-    timed = (F.col("start_ts") != F.date_trunc("day", "start_ts")) | (F.col("end_ts") != F.date_trunc("day", "end_ts"))
-    days = windows.join(F.broadcast(sessions), (F.col("session_date") >= F.to_date("start_ts")) & (F.col("session_date") <= F.to_date("end_ts")))
-    return days.withColumn("ts", F.explode(_steps(F.col("open_ts"), F.col("close_ts"), length))).where(~timed | F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select("symbol", "ts")
+    each = in_sessions(windows, sessions).withColumn("ts", F.explode(_steps(F.col("open_ts"), F.col("close_ts"), length)))
+    return each.where(~_timed() | F.col("ts").between(F.col("start_ts"), F.col("end_ts"))).select("symbol", "ts")
 
 
 def continuous_grid(windows: DataFrame, length: int) -> DataFrame:
-    """(symbol, ts) from start on, at every bar length, end included."""
-    return windows.where("start_ts <= end_ts").select("symbol", F.explode(_steps(F.col("start_ts"), F.col("end_ts"), length)).alias("ts"))
+    """(symbol, ts) from start on, at every bar length, end included; a month at a time."""
+    start, month = F.unix_micros("start_ts"), F.unix_micros(F.col("_month").cast("timestamp"))
+    after = F.unix_micros(F.add_months("_month", 1).cast("timestamp")) - 1
+    first = start + F.ceil(F.greatest(month - start, F.lit(0)) / F.lit(length)) * length
+    last = F.least(F.unix_micros("end_ts"), after)
+    pieces = _months(windows).select("symbol", first.cast("long").alias("_first"), last.alias("_last")).where("_first <= _last")
+    return pieces.select("symbol", F.explode(F.sequence("_first", "_last", F.lit(length))).alias("m")).select("symbol", F.timestamp_micros("m").alias("ts"))
+
+
+def grid_ranges(windows: DataFrame, length: int, sessions: DataFrame | None = None) -> DataFrame:
+    """(symbol, start_ts, end_ts): the first and last grid time of each window; windows without any fall away.
+
+    A window of dates stands for whole sessions, which may open on the evening before and close after the last date has
+    begun, so what belongs to it goes by these times and not by its own ends. No grid is worked out for it.
+    """
+    if sessions is None:
+        steps = F.floor((F.unix_micros("end_ts") - F.unix_micros("start_ts")) / F.lit(length))
+        return windows.where("start_ts <= end_ts").select("symbol", "start_ts", F.timestamp_micros(F.unix_micros("start_ts") + steps * length).alias("end_ts"))
+    opened, closed = F.unix_micros("open_ts"), F.unix_micros("close_ts")
+    low = F.when(_timed(), F.greatest(F.unix_micros("start_ts") - opened, F.lit(0))).otherwise(F.lit(0))
+    high = F.when(_timed(), F.least(F.unix_micros("end_ts"), closed)).otherwise(closed) - opened
+    first, last = opened + F.ceil(low / F.lit(length)) * length, opened + F.floor(high / F.lit(length)) * length
+    each = in_sessions(windows, sessions).select("symbol", "start_ts", "end_ts", first.cast("long").alias("_first"), last.cast("long").alias("_last")).where("_first <= _last")
+    ends = each.groupBy("symbol", "start_ts", "end_ts").agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
+    return ends.select("symbol", F.timestamp_micros("_first").alias("start_ts"), F.timestamp_micros("_last").alias("end_ts"))
 
 
 def hourly_chunks(requests: DataFrame) -> DataFrame:
     """(symbol, chunk_start, chunk_end): hours from the start's hour on, the last cut at end."""
     hour = 3_600_000_000
-    first = F.date_trunc("hour", "start_ts")
-    starts = F.sequence(F.unix_micros(first), F.unix_micros("end_ts") - 1, F.lit(hour))
-    each = requests.where("start_ts < end_ts").select("symbol", "end_ts", F.explode(starts).alias("m"))
-    return each.select("symbol", F.timestamp_micros("m").alias("chunk_start"), F.least(F.timestamp_micros(F.col("m") + hour), "end_ts").alias("chunk_end"))
+    whole = requests.where("start_ts < end_ts").select("symbol", F.date_trunc("hour", "start_ts").alias("start_ts"), F.timestamp_micros(F.unix_micros("end_ts") - 1).alias("end_ts"), F.col("end_ts").alias("_until"))
+    first = F.greatest(F.col("start_ts"), F.col("_month").cast("timestamp"))
+    last = F.least(F.unix_micros("end_ts"), F.unix_micros(F.add_months("_month", 1).cast("timestamp")) - 1)
+    each = _months(whole).select("symbol", "_until", F.explode(F.sequence(F.unix_micros(first), last, F.lit(hour))).alias("m"))
+    return each.select("symbol", F.timestamp_micros("m").alias("chunk_start"), F.least(F.timestamp_micros(F.col("m") + hour), "_until").alias("chunk_end"))
+
+
+def session_spans(sessions: DataFrame) -> DataFrame:
+    """(session_date, chunk_start, chunk_end): a session's UTC day, or its own hours if it opens on the day before."""
+    day = F.col("session_date").cast("timestamp")
+    over = F.col("open_ts") < day
+    return sessions.select("session_date", F.when(over, F.col("open_ts")).otherwise(day).alias("chunk_start"), F.when(over, F.col("close_ts")).otherwise(F.timestamp_micros(F.unix_micros(day) + 86_400_000_000 - 1)).alias("chunk_end"))
 
 
 def session_chunks(requests: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(symbol, chunk_start, chunk_end): the UTC day of each session from start's to end's date."""
-    days = requests.join(F.broadcast(sessions), (F.col("session_date") >= F.to_date("start_ts")) & (F.col("session_date") <= F.to_date("end_ts")))
-    start = F.col("session_date").cast("timestamp")
-    return days.select("symbol", start.alias("chunk_start"), F.timestamp_micros(F.unix_micros(start) + 86_400_000_000 - 1).alias("chunk_end"))
+    """(symbol, chunk_start, chunk_end): the span of each session from start's to end's date."""
+    return in_sessions(requests.select("symbol", "start_ts", "end_ts"), session_spans(sessions)).select("symbol", "chunk_start", "chunk_end")

@@ -8,31 +8,29 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.blocks import BLOCK, filled, month, with_before, with_halo
 from barloom.schema import PRICES
 
 
-def _by_time(*keys: str):
-    return Window.partitionBy(*(keys or ("symbol",))).orderBy("ts")
-
-
 def moving_averages(bars: DataFrame, sizes: tuple[int, ...] = (20, 50)) -> DataFrame:
-    """Mean of the last n closes that are there, null until there are n."""
-    out = bars.where("close is not null")
+    """Mean of the last n closes that are there, null until there are n; a symbol is worked off in months, each with the closes before it."""
+    out = with_halo(bars.where("close is not null"), "ts", "close", max(sizes) - 1, month())
     for n in sizes:
-        w = _by_time().rowsBetween(1 - n, 0)
+        w = Window.partitionBy("symbol", BLOCK).orderBy("ts").rowsBetween(1 - n, 0)
         out = out.withColumn(f"sma{n}", F.when(F.count("close").over(w) == n, F.avg("close").over(w)))
-    return out
+    return out.where("not _halo").drop("_halo", BLOCK)
 
 
 def crossover(averaged: DataFrame, fast: str = "sma20", slow: str = "sma50") -> DataFrame:
     """position: 1 where fast is above slow, -1 below, else 0; signal: its change since the bar before."""
     position = F.when(F.col(fast) > F.col(slow), 1).when(F.col(fast) < F.col(slow), -1).otherwise(0)
-    out = averaged.withColumn("position", position)
-    return out.withColumn("signal", F.coalesce(F.col("position") - F.lag("position").over(_by_time()), F.lit(0)))
+    out = with_before(averaged.withColumn("position", position), "ts", {"_was": F.col("position")}, month())
+    return out.withColumn("signal", F.coalesce(F.col("position") - F.col("_was"), F.lit(0))).drop("_was")
 
 
 def returns(bars: DataFrame) -> DataFrame:
-    return bars.where("close is not null").withColumn("ret", F.col("close") / F.lag("close").over(_by_time()) - 1)
+    out = with_before(bars.where("close is not null"), "ts", {"_was": F.col("close")}, month())
+    return out.withColumn("ret", F.col("close") / F.col("_was") - 1).drop("_was")
 
 
 def return_stats(bars: DataFrame) -> DataFrame:
@@ -40,11 +38,10 @@ def return_stats(bars: DataFrame) -> DataFrame:
 
 
 def forward_fill(bars: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
-    """Bars on a grid; where none is, all prices are the last close and the volume is 0."""
-    on = grid.join(bars, [*keys, "ts"], "left")
-    last = F.last("close", ignorenulls=True).over(_by_time(*keys).rowsBetween(Window.unboundedPreceding, 0))
+    """Bars on a grid; where none is, all prices are the last close and the volume is 0. Each month gets the last close before it."""
+    on = filled(grid.join(bars, [*keys, "ts"], "left"), "ts", "close", "_last", month(), keys)
     there = F.col("close").isNotNull()
-    return on.withColumn("_last", last).withColumns({**{p: F.when(there, F.col(p)).otherwise(F.col("_last")) for p in PRICES}, "volume": F.when(there, F.col("volume")).otherwise(0.0)}).drop("_last")
+    return on.withColumns({**{p: F.when(there, F.col(p)).otherwise(F.col("_last")) for p in PRICES}, "volume": F.when(there, F.col("volume")).otherwise(0.0)}).drop("_last")
 
 
 def portfolio_values(bars: DataFrame, holdings: DataFrame) -> DataFrame:

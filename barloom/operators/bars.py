@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.blocks import month, with_before
 from barloom.schema import FIELDS, PRICES, floor_to
 
 
@@ -31,9 +32,13 @@ def rollup(bars: DataFrame, length: int, keys: tuple[str, ...] = ("symbol",), or
 
 
 def median_spacing(bars: DataFrame) -> DataFrame:
-    """(symbol, spacing) in microseconds; null for a single bar."""
-    gap = F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(Window.partitionBy("symbol").orderBy("ts")))
-    return bars.select("symbol", gap.alias("gap")).groupBy("symbol").agg(F.percentile("gap", 0.5).alias("spacing"))
+    """(symbol, spacing) in microseconds; null for a single bar.
+
+    Spacings are found month by month and counted, so that of each symbol only its different ones meet in a task.
+    """
+    near = with_before(bars.select("symbol", "ts"), "ts", {"was": F.col("ts")}, month())
+    gaps = near.groupBy("symbol", (F.unix_micros("ts") - F.unix_micros("was")).alias("gap")).agg(F.count("*").alias("n"))
+    return gaps.groupBy("symbol").agg(F.percentile("gap", 0.5, F.col("n")).alias("spacing"))
 
 
 def rollup_if_finer(bars: DataFrame, length: int) -> DataFrame:

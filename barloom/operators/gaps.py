@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
+from barloom.functions.calendars import hourly_chunks, session_chunks, session_spans
 from barloom.functions.normalize import valid_symbol
+from barloom.operators.blocks import islands, month
+from barloom.schema import by_day
 
 
 def clamp(requests: DataFrame, lifecycle: DataFrame) -> DataFrame:
@@ -23,32 +27,39 @@ def hourly_gaps(bars: DataFrame, requests: DataFrame, inclusive_end: bool = True
     A chunk's ends count to it, so a bar on the hour covers two hours (one with inclusive_end=False). Bars outside the
     request don't count. A symbol without a bar in its request is one gap from start to end.
     """
-    from barloom.functions.calendars import hourly_chunks
-
-    inside = bars.select("symbol", "ts").join(requests.select("symbol", "start_ts", "end_ts"), "symbol").where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
+    inside = by_day(bars.select("symbol", "ts"), requests, "left_semi")
     hour = F.date_trunc("hour", "ts")
     before = F.timestamp_micros(F.unix_micros(hour) - 3_600_000_000)
     keys = F.array(hour, before) if inclusive_end else F.array(hour)
-    covers = inside.withColumn("chunk_start", F.explode(F.when(hour == F.col("ts"), keys).otherwise(F.array(hour)))).select("symbol", "chunk_start").distinct()
-    return _gaps(hourly_chunks(requests), covers, inside, requests)
+    covers = inside.select("symbol", F.explode(F.when(hour == F.col("ts"), keys).otherwise(F.array(hour))).alias("chunk_start")).distinct()
+    return _gaps(hourly_chunks(requests), covers, requests)
 
 
 def session_gaps(bars: DataFrame, requests: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(symbol, gap_start, gap_end) for exchanges: runs of session days without any stored bar; days beside a weekend are apart."""
-    from barloom.functions.calendars import session_chunks
+    """(symbol, gap_start, gap_end) for exchanges: runs of sessions without any stored bar; days beside a weekend are apart.
 
-    inside = bars.select("symbol", "ts").join(requests.select("symbol", "start_ts", "end_ts"), "symbol").where(F.col("ts").between(F.col("start_ts"), F.col("end_ts")))
-    covers = inside.select("symbol", F.date_trunc("day", "ts").alias("chunk_start")).distinct()
-    return _gaps(session_chunks(requests, sessions), covers, inside, requests)
+    A session stands for its UTC day, one that opens on the evening before for its own hours. Bars outside the request
+    don't count; a request of dates holds all of its sessions.
+    """
+    spans = session_spans(sessions)
+    over = not spans.where(F.col("chunk_start") < F.col("session_date").cast("timestamp")).isEmpty()
+    dates = (F.col("start_ts") == F.date_trunc("day", "start_ts")) & (F.col("end_ts") == F.date_trunc("day", "end_ts"))
+    first = F.date_sub(F.to_date("start_ts"), 1).cast("timestamp") if over else F.col("start_ts")
+    last = F.timestamp_micros(F.unix_micros("end_ts") + 86_400_000_000 - 1)
+    asked = requests.select("symbol", F.when(dates, first).otherwise(F.col("start_ts")).alias("start_ts"), F.when(dates, last).otherwise(F.col("end_ts")).alias("end_ts"))
+    inside = by_day(bars.select("symbol", "ts"), asked, "left_semi")
+    # A session of one day goes by its date; one of two may hold the bars of either.
+    dates = F.array(F.to_date("ts"), F.date_add(F.to_date("ts"), 1)) if over else F.array(F.to_date("ts"))
+    near = inside.select("symbol", "ts", F.explode(dates).alias("session_date")).join(F.broadcast(spans), "session_date")
+    covers = near.where(F.col("ts").between(F.col("chunk_start"), F.col("chunk_end"))).select("symbol", "chunk_start").distinct()
+    stored = inside.select("symbol").distinct()
+    return _gaps(session_chunks(requests, sessions), covers, requests, stored)
 
 
-def _gaps(chunks: DataFrame, covers: DataFrame, inside: DataFrame, requests: DataFrame) -> DataFrame:
-    stored = inside.select("symbol").distinct()
+def _gaps(chunks: DataFrame, covers: DataFrame, requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    stored = covers.select("symbol").distinct() if stored is None else stored
     missing = chunks.join(stored, "symbol", "left_semi").join(covers, ["symbol", "chunk_start"], "left_anti")
-    order = Window.partitionBy("symbol").orderBy("chunk_start")
-    apart = F.unix_micros("chunk_start") > F.unix_micros(F.lag("chunk_end").over(order)) + 1
-    islands = missing.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
-    merged = islands.groupBy("symbol", "island").agg(F.min("chunk_start").alias("gap_start"), F.max("chunk_end").alias("gap_end")).drop("island")
+    merged = islands(missing.select("symbol", F.col("chunk_start").alias("gap_start"), F.col("chunk_end").alias("gap_end")), "gap_start", "gap_end", month("gap_start"))
     whole = requests.join(stored, "symbol", "left_anti").select("symbol", F.col("start_ts").alias("gap_start"), F.col("end_ts").alias("gap_end"))
     return merged.unionByName(whole)
 
@@ -68,9 +79,10 @@ def check_cost(gaps: DataFrame, rates: DataFrame, ceiling: float) -> float:
     return total
 
 
-def plan(bars: DataFrame, requests: DataFrame, lifecycle: DataFrame) -> DataFrame:
-    """Gaps to load: valid symbols only, requests cut to lifecycles; a second run over loaded bars plans nothing."""
-    return hourly_gaps(bars, clamp(requests.where(valid_symbol(F.col("symbol"))), lifecycle))
+def plan(bars: DataFrame, requests: DataFrame, lifecycle: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Gaps to load: valid symbols only, requests cut to lifecycles; by hours, or by the sessions given. A second run over loaded bars plans nothing."""
+    wanted = clamp(requests.where(valid_symbol(F.col("symbol"))), lifecycle)
+    return hourly_gaps(bars, wanted) if sessions is None else session_gaps(bars, wanted, sessions)
 
 
 def null_grids(grid: DataFrame, loaded: DataFrame, existing: DataFrame) -> DataFrame:
@@ -101,25 +113,69 @@ def upsert_lifecycle(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("_n", latest).where("_n = 1").drop("_n", "_new")
 
 
-def fetch_gaps(gaps: DataFrame, fetch: Callable, schema: str, at_once: int = 8, tries: int = 4, first_wait: float = 1.0, most_wait: float = 60.0, again: tuple[type[BaseException], ...] = (TimeoutError, ConnectionError)) -> DataFrame:
-    """Rows of a provider for each gap: fetch(symbol, start, end) gives a pandas frame of the schema.
+LEDGER = "symbol string, gap_start timestamp, gap_end timestamp, status string, rows long, tries int, error string"
+
 
-    At most at_once calls run side by side (so many partitions). Errors of the kinds in `again` are tried again after
-    min(first_wait * 2**attempt, most_wait) seconds; others, and the last of them, end the job.
+def fetch_gaps(gaps: DataFrame, fetch: Callable, schema: str, path: str, at_once: int = 8, tries: int = 4, first_wait: float = 1.0, most_wait: float = 60.0, apart: float = 0.0, again: tuple[type[BaseException], ...] = (TimeoutError, ConnectionError)) -> DataFrame:
+    """Fetch what a ledger at path hasn't got yet; (symbol, gap_start, gap_end, status, rows, tries, error) for all gaps.
+
+    fetch(symbol, start, end) gives a pandas frame of the schema (with a column symbol). At most at_once calls run side
+    by side (so many partitions), each at least `apart` seconds after the one before it in its task. Errors of the kinds
+    in `again` are tried again after min(first_wait * 2**attempt, most_wait) seconds, `tries` times in all. What fails
+    then, or at once for other errors, is a row of status failed and ends nothing.
+
+    A gap's rows and its line in the ledger lie in one row of one file, so that both are there or neither. A call's file
+    counts once its job is done; gaps of status fetched aren't asked for again by the next call, failed ones are.
     """
+    spark = gaps.sparkSession
+    kind = StructType.fromDDL(schema)
+    out = StructType.fromDDL(LEDGER).add("data", ArrayType(kind))
+    wanted = gaps.select("symbol", "gap_start", "gap_end").distinct()
+    have = _ledger(spark, path, out)
+    todo = wanted if have is None else wanted.join(have.where("status = 'fetched'"), ["symbol", "gap_start", "gap_end"], "left_anti")
 
     def run(frames):
         import time
 
+        import pandas as pd
+
+        last = 0.0
         for frame in frames:
             for gap in frame.itertuples(index=False):
-                for attempt in range(tries):
+                got, error, attempt = None, None, 0
+                for attempt in range(1, tries + 1):
+                    time.sleep(max(0.0, last + apart - time.monotonic()))
+                    last = time.monotonic()
                     try:
-                        yield fetch(gap.symbol, gap.gap_start, gap.gap_end)
+                        got, error = fetch(gap.symbol, gap.gap_start, gap.gap_end), None
                         break
-                    except again:
-                        if attempt == tries - 1:
-                            raise
-                        time.sleep(min(first_wait * 2**attempt, most_wait))
-
-    return gaps.select("symbol", "gap_start", "gap_end").repartition(at_once, "symbol", "gap_start").mapInPandas(run, schema)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                        if not isinstance(e, again):
+                            break
+                        if attempt < tries:
+                            time.sleep(min(first_wait * 2 ** (attempt - 1), most_wait))
+                data = got[kind.names].to_dict("records") if got is not None else []
+                yield pd.DataFrame([(gap.symbol, gap.gap_start, gap.gap_end, "failed" if error else "fetched", len(data), attempt, error, data)], columns=out.names)
+
+    todo.repartition(at_once, "symbol", "gap_start").mapInPandas(run, out).write.mode("append").parquet(path)
+    # Of several calls' lines the one that has rows counts.
+    lines = _ledger(spark, path, out).join(wanted, ["symbol", "gap_start", "gap_end"], "left_semi")
+    best = F.row_number().over(Window.partitionBy("symbol", "gap_start", "gap_end").orderBy(F.desc(F.col("status") == "fetched"), F.desc("tries")))
+    return lines.drop("data").withColumn("_n", best).where("_n = 1").drop("_n")
+
+
+def _ledger(spark, path: str, schema: StructType) -> DataFrame | None:
+    from barloom.sources.store import exists
+
+    return spark.read.schema(schema).parquet(path) if exists(spark, path) else None
+
+
+def fetched_rows(spark, path: str, schema: str) -> DataFrame:
+    """All rows that fetch_gaps() has got at path, in the order of their gaps as ingest_seq; overlapping gaps repeat rows."""
+    out = StructType.fromDDL(LEDGER).add("data", ArrayType(StructType.fromDDL(schema)))
+    rows = _ledger(spark, path, out)
+    if rows is None:
+        rows = spark.createDataFrame([], out)
+    flat = rows.where("status = 'fetched'").select("gap_start", F.posexplode("data").alias("_at", "_row"))
+    return flat.select("_row.*", F.struct("gap_start", F.col("_at").alias("row")).alias("ingest_seq"))

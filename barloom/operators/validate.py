@@ -1,6 +1,7 @@
 """Checks of bars: before and after they are put on the grid, and of a whole stored library.
 
-All checks of a symbol are conditional sums over one pass; only duplicates and the order need the bar before.
+All checks of a symbol are conditional sums over one pass; only duplicates and the order need the bar before, which a
+block of the order of arrival gets from the block before.
 """
 
 from __future__ import annotations
@@ -8,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.operators.blocks import arrival, with_before
 from barloom.schema import FIELDS, PRICES
 
 ISSUES = "symbol string, severity string, category string, n_bars bigint, first_ts timestamp"
@@ -30,12 +32,14 @@ def _out_of_order() -> Column:
 
 
 def marked(bars: DataFrame, length: int) -> DataFrame:
-    """bars (with ingest_seq) and what each breaks against the bar before it: duplicate, backward, short."""
-    seq = Window.partitionBy("symbol").orderBy("ingest_seq")
+    """bars (with ingest_seq) and what each breaks against the bar that came before it: duplicate, backward, short.
+
+    The order of arrival is cut into blocks, of which each gets the last time of the one before.
+    """
     same = Window.partitionBy("symbol", "ts").orderBy("ingest_seq")
-    before = F.lag("ts").over(seq)
-    gap = F.unix_micros("ts") - F.unix_micros(before)
-    return bars.withColumns({"duplicate": F.row_number().over(same) > 1, "backward": F.coalesce(F.col("ts") < before, F.lit(False)), "short": F.coalesce(gap < length, F.lit(False))})
+    out = with_before(bars, "ingest_seq", {"_was": F.col("ts")}, arrival(bars))
+    gap = F.unix_micros("ts") - F.unix_micros("_was")
+    return out.withColumns({"duplicate": F.row_number().over(same) > 1, "backward": F.coalesce(F.col("ts") < F.col("_was"), F.lit(False)), "short": F.coalesce(gap < length, F.lit(False))}).drop("_was")
 
 
 #: Category, severity and condition of each kind of check.

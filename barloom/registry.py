@@ -575,16 +575,6 @@ def s6_wanted_symbols(spark, d):
     return store.wanted_and_there(wanted, hourly(spark, d, "user")).withColumn("library", library_name("crypto", "1h", "events"))
 
 
-@query(f"WITH {H1} SELECT symbol, count(DISTINCT date_trunc('month', ts)) AS folders, true AS has_size, true AS adds_up FROM h GROUP BY symbol")
-def s7_sizes(spark, d):
-    path = _stored(spark, d)
-    total = store.library_size(store.listing(spark, path)).select(F.col("size_bytes").alias("all_bytes"), F.col("segments").alias("files"))
-    sizes = store.symbol_sizes(store.files(spark, path)).crossJoin(F.broadcast(total))  # one row
-    # Shares are rounded down once per symbol and file.
-    short = F.col("all_bytes") - F.sum("size_bytes").over(Window.partitionBy("all_bytes"))
-    return sizes.select("symbol", "folders", (F.col("size_bytes") > 0).alias("has_size"), short.between(0, F.sum("segments").over(Window.partitionBy("all_bytes"))).alias("adds_up"))
-
-
 @query(f"WITH {H1} SELECT 'crypto-1h-events' AS library, symbol, min(ts) AS range_start, max(ts) AS range_end, 'events' AS provider FROM h GROUP BY symbol")
 def s8_provenance(spark, d):
     return ntz(store.provenance(hourly(spark, d), "crypto-1h-events", "events").drop("loaded_at", "note"))
@@ -597,40 +587,6 @@ def m2_compact_keeps_rows(spark, d):
     return ntz(store.read(spark, path))
 
 
-@query(f"WITH {H1} SELECT symbol, count(*) > 50 * count(DISTINCT date_trunc('month', ts)) AS fragmented, true AS enough FROM h GROUP BY symbol")
-def m1_fragmentation(spark, d):
-    listed = store.files(spark, _stored(spark, d, 50))
-    rows = listed.groupBy("symbol").agg(F.sum("rows").alias("rows"))
-    return store.symbol_fragmentation(listed).join(rows, "symbol").select("symbol", "fragmented", (F.col("segments") >= F.ceil(F.col("rows") / 50)).alias("enough"))
-
-
-@query(f"""WITH {H1}
-    SELECT 'missing' AS status, (SELECT count(*) FROM customer) AS n, true AS fewer
-    UNION ALL SELECT 'defragmented', count(*), true FROM (SELECT DISTINCT symbol, date_trunc('month', ts) FROM h)""")
-def m2_compact_statuses(spark, d):
-    path = store.scratch(spark, "bars")
-    # A provider of its own for each symbol, so that the number of folders is known.
-    rows = store.with_partitions(hourly(spark, d), "crypto", "1h", "events").withColumn("provider", F.col("symbol"))
-    store._overwrite(rows, path, 20)
-    wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("U"), "c_custkey").alias("symbol"))
-    done = store.status_counts(store.compact(spark, path, symbols=wanted))
-    return done.select("status", "n", F.coalesce(F.col("segments_after") < F.col("segments_before"), F.lit(True)).alias("fewer"))
-
-
-@query(f"WITH {H1} SELECT * FROM h")
-def s5_recovered_update(spark, d):
-    """An update that was broken off after staging is brought in by recover()."""
-    path, h = _stored(spark, d), hourly(spark, d)
-    staged = f"{path}/_staged/broken"
-    store.with_partitions(h, "crypto", "1h", "events").write.parquet(f"{staged}/rows")
-    h.limit(0).write.parquet(f"{path}/_staged/open/part")
-    for folder in ("asset=crypto",):
-        store.drop(spark, f"{path}/{folder}")
-    if store.recover(spark, path) != (1, 1):
-        raise ValueError("one update was complete, one was not")
-    return ntz(store.read(spark, path))
-
-
 # --- analytics ------------------------------------------------------------------------------------------------------
 
 _SMA = f"""{D1}, a AS (SELECT symbol, ts, close, CASE WHEN count(*) OVER w20 = 20 THEN avg(close) OVER w20 END AS sma20, CASE WHEN count(*) OVER w50 = 50 THEN avg(close) OVER w50 END AS sma50 FROM d
@@ -787,8 +743,12 @@ def st2_live_bars(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from barloom import registry_jobs  # noqa: F401  (adds its own)
+
     return dict(Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from barloom import registry_jobs  # noqa: F401
+
     return dict(SQL)

@@ -1,17 +1,21 @@
 """Jobs and streams from end to end, and every registered query."""
 
+import random
+import re
 from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from barloom import registry
 from barloom.functions import calendars
 from barloom.jobs.audit import audit_library
-from barloom.jobs.load import load, load_issues, loads
+from barloom.jobs.get_data import get_data
+from barloom.jobs.load import load, load_batch, load_issues, loads
 from barloom.jobs.normalise import normalise_library
 from barloom.operators import gaps
-from barloom.schema import MINUTE, RAW
+from barloom.schema import BARS, MINUTE, RAW
 from barloom.sources import store
 from barloom.streaming.live import ingest, live_bars
 from tests.test_bars import linear, raw, values, window
@@ -52,7 +56,7 @@ def test_streams(spark, tmp_path):
     seen = f"{tmp_path}/seen"
     raw(spark, linear(10)).write.parquet(f"{tmp_path}/land")
     for _ in range(2):  # the second run finds nothing new
-        ingest(spark, f"{tmp_path}/land", RAW, f"{tmp_path}/c2", lambda df: df.write.mode("append").parquet(seen)).awaitTermination()
+        ingest(spark, f"{tmp_path}/land", RAW, f"{tmp_path}/c2", lambda df, n: df.write.mode("append").parquet(seen)).awaitTermination()
     assert spark.read.parquet(seen).count() == 10
 
 
@@ -100,12 +104,94 @@ def test_updates_at_once_and_broken_ones(spark, tmp_path):
     with ThreadPoolExecutor(2) as pool:
         list(pool.map(change, (january, march)))
     assert store.read(spark, path).count() == 40 and store.read(spark, path).where("close >= 500").count() == 6
-    # One update that was staged in full but not brought in, and one that was broken off while staging.
+    # Writers that were broken off before their commit.
     new = store.with_partitions(raw(spark, linear(4, start=march, base=900.0)), *key)
-    new.write.parquet(f"{path}/_staged/a/rows")
-    new.write.parquet(f"{path}/_staged/b/had")
-    assert store.recover(spark, path) == (1, 1) and store.recover(spark, path) == (0, 0)
-    assert store.read(spark, path).count() == 24 and store.read(spark, path).where("close >= 900").count() == 4
+    store._write_version(new, path, "a")
+    new.write.parquet(f"{path}/data/version=b")
+    assert store.recover(spark, path) == 2 and store.recover(spark, path) == 0
+    assert store.read(spark, path).count() == 40 and store.read(spark, path).where("close >= 900").count() == 0
+    assert store.vacuum(spark, path) == 2 and store.vacuum(spark, path) == 0 and store.read(spark, path).count() == 40
+
+
+def test_update_changes_nothing_beside_its_ranges(spark, tmp_path):
+    """Random updates, some with rows outside of their ranges, against a dict."""
+    path, key, r = f"{tmp_path}/s", ("crypto", "1h", "x"), random.Random(2)
+    start = datetime(2024, 1, 30)
+    at = lambda n: start + timedelta(hours=n)
+    held = {}
+    for step in range(8):
+        ranges = [(s, at(a), at(a + r.randint(0, 30))) for s in ("A", "B") for a in r.sample(range(120), r.randint(0, 2))]
+        new = {(s, at(n)): float(step) for s in ("A", "B", "C") for n in r.sample(range(150), 60)}
+        rows = spark.createDataFrame([(s, t, v, v, v, v, 1.0) for (s, t), v in new.items()], BARS)
+        store.update(rows, spark.createDataFrame(ranges, "symbol string, start_ts timestamp, end_ts timestamp"), path, *key)
+        inside = lambda k: any(s == k[0] and a <= k[1] <= b for s, a, b in ranges)  # noqa: E731, B023
+        held = {k: v for k, v in held.items() if not inside(k)} | {k: v for k, v in new.items() if inside(k)}
+        got = store.read(spark, path).select("symbol", "ts", "close").collect()
+        assert {(g["symbol"], g["ts"]): g["close"] for g in got} == held and len(got) == len(held)
+
+
+def test_readers_keep_what_they_began_with(spark, tmp_path):
+    path, key = f"{tmp_path}/s", ("crypto", "1m", "x")
+    start = datetime(2024, 1, 2)
+    store.write(raw(spark, linear(20, start=start)), path, *key)
+    before = store.read(spark, path)
+    store.update(raw(spark, linear(20, start=start, base=500.0)), window(spark, start, start + timedelta(minutes=19), "AAPL"), path, *key)
+    assert before.where("close >= 500").count() == 0 and before.count() == 20
+    assert store.read(spark, path).where("close >= 500").count() == 20
+    # Two writers that read the same folder: the second one is told.
+    base = store.head(spark, path)
+    store.delete_symbol(spark, path, "AAPL", *key)
+    touched = store.touched_folders(window(spark, start, start, "AAPL"), *key)
+    with pytest.raises(store.Conflict):
+        store._commit(spark, path, "late", None, touched, base)
+    assert store.read(spark, path).count() == 0
+    # A version is committed once.
+    new, all_ = raw(spark, linear(5, start=start)), window(spark, start, start + timedelta(minutes=9), "AAPL")
+    assert store.update(new, all_, path, *key, version="v1") and not store.update(new.limit(0), all_, path, *key, version="v1")
+    assert store.read(spark, path).count() == 5
+
+
+def test_batches_merge(spark, tmp_path):
+    path, start = f"{tmp_path}/s", datetime(2024, 1, 2)
+    rows = linear(8, start=start)
+    load_batch(raw(spark, rows), path, "crypto", "1m", "x", batch="b0")
+    load_batch(raw(spark, [rows[2], rows[6]]), path, "crypto", "1m", "x", batch="b1")
+    assert store.read(spark, path).where("volume > 0").count() == 8
+    load_batch(raw(spark, linear(3, start=start + timedelta(minutes=12))), path, "crypto", "1m", "x", batch="b2")
+    load_batch(raw(spark, linear(3, start=start + timedelta(minutes=12), base=900.0)), path, "crypto", "1m", "x", batch="b2")
+    got = store.read(spark, path)
+    assert got.count() == 15 and got.where("volume > 0").count() == 11 and got.where("close > 800").count() == 0
+
+
+def test_get_data_stops_at_the_ceiling(spark, tmp_path):
+    path, start = f"{tmp_path}/s", datetime(2024, 1, 2)
+    bars, ask = raw(spark, linear(200, start=start, symbol="BTCUSDT")), window(spark, start, start + timedelta(minutes=180), "BTCUSDT")
+    none = spark.createDataFrame([], "symbol string, ipo_date timestamp, delist_date timestamp")
+    rates, asked = spark.createDataFrame([("BTCUSDT", 100.0)], "symbol string, rate double"), []
+
+    def source(gaps):
+        asked.append(gaps.count())
+        return bars
+
+    call = lambda ceiling: get_data(ask, path, "crypto", "1m", "x", source, none, bars.limit(0), rates, ceiling)
+    with pytest.raises(ValueError, match="ceiling"):
+        call(1.0)
+    assert store.read(spark, path).count() == 0 and asked == []
+    got, planned = call(100.0)
+    assert got.count() == 181 and planned.count() == 1
+    got, planned = call(100.0)
+    assert got.count() == 181 and planned.count() == 0 and asked == [1]
+    bad = window(spark, start, start, "BTCUSDT")
+    with pytest.raises(ValueError, match="start is not before end"):
+        get_data(bad, path, "crypto", "1m", "x", source, none, bars.limit(0))
+
+
+def test_plans_follow_no_symbol_alone(spark):
+    """A symbol's rows are dealt by month or block of arrival; what goes by symbol alone is a row or two of each."""
+    for name in ("v13_raw_issues", "w1_moving_averages", "w4_forward_fill", "a2_rollup_guard"):
+        plan = registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        windows = re.findall(r"Window \[.*?\], \[([^\]]*)\]", plan)
+        assert windows and sum("_block" in w or "ts" in w or "bar" in w for w in windows) >= 1
 
 
 def test_a_large_folder_is_written_by_several_tasks(spark, tmp_path):
