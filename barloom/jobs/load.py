@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.calendars import continuous_grid, exchange_grid, grid_ranges, sessions_of
 from barloom.functions.normalize import keep_first
-from barloom.operators.bars import boundary_mismatches, reindex, rollup_if_finer, snap, snap_daily
+from barloom.operators.bars import reindex, rollup_if_finer, snap, snap_daily
 from barloom.operators.gaps import null_grids
 from barloom.operators.validate import ISSUES, issues, quarantine
 from barloom.schema import FIELDS, by_day, micros
@@ -44,8 +44,8 @@ def on_grid(raw: DataFrame, grid: DataFrame, resolution: str, even: bool = False
     """Raw bars rolled up, checked, snapped and padded on a grid; and the issues, of which those of severity error kept their symbols out.
 
     Checked are raw rows as they came, the spacing once bars have the target's length, and what is to be stored. Rows
-    that repeat a time are no issue, the first counts. What is needed twice is kept: rolled-up bars, padded bars and the
-    issues, which are few. even: whether the grid's times are all a bar apart, as they are on a continuous one.
+    that repeat a time are no issue, the first counts. Two tables of bars are kept, rolled up and padded, and the issues of
+    each check, which are few. even: whether the grid's times are all a bar apart, as they are on a continuous one.
     """
     length = micros(resolution)
     found = keep(issues(raw, 0, "raw").where("category not in ('duplicate_ts', 'bad_spacing')"))
@@ -90,17 +90,16 @@ def load(landed: DataFrame, gaps: DataFrame, path: str, asset: str, resolution:
     windows = gaps.select("symbol", F.col("gap_start").alias("start_ts"), F.col("gap_end").alias("end_ts"))
     with scratch_tables(spark) as keep:
         grid = grid_for(windows, resolution, sessions)
-        wanted = keep(wanted_rows(landed, gaps, resolution, sessions))
+        wanted = wanted_rows(landed, gaps, resolution, sessions)
         made, found = on_grid(wanted, grid, resolution, sessions is None, keep)
-        known = spans(spark, path, asset, resolution, provider)
-        bars = keep(made.select("symbol", "ts", *FIELDS).unionByName(null_grids(grid, wanted, known)))
-        if not boundary_mismatches(bars, grid.join(bars.select("symbol").distinct(), "symbol", "left_semi")).isEmpty():
+        bars = made.select("symbol", "ts", *FIELDS).unionByName(null_grids(grid, wanted, spans(spark, path, asset, resolution, provider)))
+        # One row per symbol: what is loaded, and whether it covers its grid.
+        held = keep(provenance(bars, f"{asset}-{resolution}-{provider}", provider, note).withColumn("load_id", F.lit(load_id)))
+        ends = grid.groupBy("symbol").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+        if not held.join(ends, "symbol").where("range_start <> first or range_end <> last").isEmpty():
             raise ValueError("bars don't cover their grid")
-        done = grid_ranges(windows.join(bars.select("symbol").distinct(), "symbol", "left_semi"), micros(resolution), sessions)
-        beside = {
-            "issues": found.withColumns({"loaded_at": F.current_timestamp(), "load_id": F.lit(load_id)}),
-            "provenance": provenance(bars, f"{asset}-{resolution}-{provider}", provider, note).withColumn("load_id", F.lit(load_id)),
-        }
+        done = grid_ranges(windows.join(held.select("symbol"), "symbol", "left_semi"), micros(resolution), sessions)
+        beside = {"issues": found.withColumns({"loaded_at": F.current_timestamp(), "load_id": F.lit(load_id)}), "provenance": held}
         update(bars, done, path, asset, resolution, provider, beside, load_id, better)
     return loads(spark, path).where(F.col("load_id") == load_id)
 

@@ -217,7 +217,8 @@ def update(new: DataFrame, ranges: DataFrame, path: str, asset: str, resolution:
     if is_committed(spark, path, version):
         return False
     base = head(spark, path)
-    touched = materialised(touched_folders(ranges, asset, resolution, provider))
+    # Names of folders, as for any listing: at most BUCKETS a month.
+    touched = spark.createDataFrame(touched_folders(ranges, asset, resolution, provider).collect(), _FOLDER)
     old = _read_folders(spark, path, folders(spark, path, base[1]).join(touched, list(PARTITIONS), "left_semi")).select("symbol", "ts", *FIELDS)
     if keep_better is not None:
         both = by_day(old, ranges, "left_semi").withColumn("fresh", F.lit(False)).unionByName(new.select("symbol", "ts", *FIELDS).withColumn("fresh", F.lit(True)))

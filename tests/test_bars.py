@@ -215,7 +215,9 @@ def test_fetch_retries(spark, tmp_path):
         return pd.DataFrame({"symbol": [symbol], "ts": [start]})
 
     g = spark.createDataFrame([("A", T0, T0)], "symbol string, gap_start timestamp, gap_end timestamp")
-    assert gaps.fetch_gaps(g, fetch, "symbol string, ts timestamp", first_wait=0.01).count() == 1
+    ledger = gaps.fetch_gaps(g, fetch, "symbol string, ts timestamp", f"{tmp_path}/ledger", first_wait=0.01).collect()
+    assert [(r["status"], r["rows"], r["tries"]) for r in ledger] == [("fetched", 1, 2)]
+    assert gaps.fetched_rows(spark, f"{tmp_path}/ledger", "symbol string, ts timestamp").count() == 1
 
 
 # --- checks and profiles
