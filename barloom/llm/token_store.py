@@ -208,6 +208,25 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0] if level else bytes(16)
 
 
+class Root:
+    """merkle() of leaves that come one by one; it holds one node for each power of two."""
+
+    def __init__(self) -> None:
+        self.nodes: list[tuple[int, bytes]] = []
+
+    def add(self, leaf: bytes) -> None:
+        height = 0
+        while self.nodes and self.nodes[-1][0] == height:
+            leaf, height = merkle([self.nodes.pop()[1], leaf]), height + 1
+        self.nodes.append((height, leaf))
+
+    def value(self) -> bytes:
+        out = None
+        for _, node in reversed(self.nodes):
+            out = node if out is None else merkle([node, out])
+        return bytes(16) if out is None else out
+
+
 RECIPE = "doc_id long, row long, n_tokens long, digests array<binary>, sizes array<long>"
 CHUNK = "n long, digest binary, blob binary"
 
@@ -244,7 +263,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
                 offsets = pa.array(first, pa.int32())
                 sizes = pa.ListArray.from_arrays(offsets, pa.array(np.diff(bounds), pa.int64()))
                 yield filled([part.column(0), part.column(1), pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(names, pa.binary())), sizes], part.num_rows, True)
-                if len(sent) > 1_000_000:
+                if len(sent) > SENT:
                     sent.clear()
                 new = {name: k for k, name in enumerate(names) if name not in sent}
                 sent.update(new)
@@ -292,15 +311,19 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 2, id_
     # A partition of `ordered` is one part, in order; its rows go to files of that part.
     ordered.mapInArrow(number, "doc_id long, start long, n_tokens long, digests array<binary>, sizes array<long>, root binary, part int").write.parquet(f"{path}/recipes")
     _recomputed(spark, path).write.parquet(f"{path}/manifest")
+    _head_of(spark.read.schema(MANIFEST).parquet(f"{path}/manifest")).write.parquet(f"{path}/head")
     drop_path(spark, staged)
 
 
+#: Digests of chunks that a task remembers to have sent.
+SENT = 250_000
+HEAD = "parts long, documents long, tokens long, root binary"
 MANIFEST = "part int, start long, first_doc long, last_doc long, documents long, tokens long, root binary"
 
 
 def _manifest(held: list) -> pa.RecordBatch:
     kinds = (pa.int32(), *[pa.int64()] * 5, pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held[:6], merkle(held[6])], kinds)], [f.split()[0] for f in MANIFEST.split(", ")])
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip([*held[:6], held[6].value()], kinds)], [f.split()[0] for f in MANIFEST.split(", ")])
 
 
 def _recomputed(spark: SparkSession, path: str) -> DataFrame:
@@ -316,11 +339,11 @@ def _recomputed(spark: SparkSession, path: str) -> DataFrame:
                 if held is None or held[0] != part:
                     if held is not None:
                         yield _manifest(held)
-                    held = [part, start, doc, doc, 0, 0, []]
+                    held = [part, start, doc, doc, 0, 0, Root()]
                 if start != held[1] + held[5]:
                     raise ValueError("a document doesn't start where the one before it ends")
                 held[3], held[4], held[5] = doc, held[4] + 1, held[5] + n
-                held[6].append(root)
+                held[6].add(root)
         if held is not None:
             yield _manifest(held)
 
@@ -336,10 +359,18 @@ def _check_manifest(spark: SparkSession, path: str) -> None:
     differ = listed.alias("a").join(found.alias("b"), F.col("a.part") == F.col("b.part"), "full").where(~functools.reduce(lambda x, y: x & y, same))
     if differ.limit(1).count():
         raise ValueError("the recipes don't fit the manifest")
-    # Parts follow each other; a manifest that lost the same part as the recipes shows here.
-    bounds = listed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.max(F.col("start") + F.col("tokens")), F.lit(0)).alias("end")).first()
-    if bounds["tokens"] != bounds["end"]:
-        raise ValueError("the manifest lacks a part")
+    head = spark.read.schema(HEAD).parquet(f"{path}/head") if _exists(spark, f"{path}/head") else spark.createDataFrame([], HEAD)
+    if [tuple(r) for r in head.collect()] != [tuple(r) for r in _head_of(spark.read.schema(MANIFEST).parquet(f"{path}/manifest")).collect()]:
+        raise ValueError("the manifest doesn't fit the head")
+
+
+def _head_of(manifest: DataFrame) -> DataFrame:
+    """One row for the whole store: parts, documents, tokens and the root over the parts in order. A root for each part comes to the driver."""
+    root, sums = Root(), [0, 0, 0]
+    for r in manifest.orderBy("part", "start").toLocalIterator():
+        root.add(hashlib.blake2b(b"".join(int(r[c]).to_bytes(8, "little", signed=True) for c in ("part", "start", "documents", "tokens")) + bytes(r["root"]), digest_size=16).digest())
+        sums = [sums[0] + 1, sums[1] + r["documents"], sums[2] + r["tokens"]]
+    return manifest.sparkSession.createDataFrame([(*sums, root.value())], HEAD)
 
 
 def _files(spark: SparkSession, path: str):

@@ -40,13 +40,21 @@ def _record(fields: list[tuple[str, Column]], block: Column) -> Column:
     return F.concat(F.lit("WARC/1.1\r\n"), *head, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(END), block)
 
 
+#: Copies of one row that are counted off at once.
+COPIES = 100_000
+
+
 def write_archives(pages: DataFrame, path: str) -> None:
     """Write for each row of pages (page_id, url, html) a request, a response or revisit, and a metadata record.
 
-    The payload is the html in UTF-8, null as empty. Of equal payloads, empty ones included, that of the smallest page_id
-    is a response, the others are revisits of it, which have headers only; rows without page_id come after all others.
-    Record ids follow from page_id, url and html, so rows that repeat all three write records of the same ids, which
-    count once when read. Line breaks in a url are percent-encoded; a null url is empty. An empty table writes none.
+    The payload is the html in UTF-8, null as empty. Of equal payloads, empty ones included, those of the smallest page_id
+    are responses, the others are revisits of the first of these, which have headers only; rows without page_id come
+    after all others, and where no row has one the first is the response. Record ids follow from page_id, url, html and a
+    running number among rows that repeat all three, so each row writes records of its own. Line breaks in a url are
+    percent-encoded; a null url is empty. An empty table writes none.
+
+    Rows are counted by page, url and digests of their html before anything is shuffled; of the html itself only one for
+    each digest and map task is, so a payload that many pages share travels no oftener than that.
 
     A file holds as many records as make FILE_BYTES at the table's mean size of a page; pages are dealt by hashes of
     their payloads, so large ones spread over files. Each file is one gzip member, as Spark's text writer makes it.
@@ -58,14 +66,21 @@ def write_archives(pages: DataFrame, path: str) -> None:
     )
     size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("html").cast("long") + 1000).alias("bytes")).first()
     per_file = min(FILE_RECORDS, max(3, 3 * FILE_BYTES * size["n"] // (size["bytes"] or 1)))
-    own = _uuid(F.lit("response"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("url"), F.sha2("html", 256))
-    rows = rows.withColumns({"sha1": base32_sha1(F.col("html")), "sha256": F.sha2("html", 256), "bytes": F.octet_length("html"), "id": own, "order": F.struct(F.col("page_id").isNull(), "page_id", own)})
-    # Small rows find the first of each group; copies are combined before the shuffle. One more key than the groups have
-    # makes both sides of the join exchange their rows, so that the adaptive skew join can split a payload many pages share.
-    first = rows.groupBy("sha1", "sha256").agg(F.min(F.struct("order", "id", "url")).alias("first"), F.max("bytes").alias("bytes"), F.count("*").alias("n")).where("n > 1").select("sha1", "sha256", "bytes", F.col("first.id").alias("first_id"), F.col("first.url").alias("first_url"))
-    rows = rows.drop("order").join(first, ["sha1", "sha256", "bytes"], "left")
-    again = F.col("first_id").isNotNull() & (F.col("first_id") != F.col("id"))
+    keyed = rows.withColumns({"sha1": base32_sha1(F.col("html")), "sha256": F.sha2("html", 256), "bytes": F.octet_length("html")})
+    bodies = keyed.groupBy("sha256").agg(F.first("html").alias("html"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    own = _uuid(F.lit("response"), page, F.col("url"), F.col("sha256"))
+    some = keyed.groupBy("page_id", "url", "sha1", "sha256", "bytes").agg(F.count("*").alias("n")).withColumn("own", own)
+    order = F.struct(F.col("page_id").isNull(), "page_id", "own")
+    first = some.groupBy("sha1", "sha256").agg(F.min(F.struct(order.alias("order"), "page_id", "own", "url")).alias("first"), F.max("bytes").alias("bytes"))
+    # One more key than the groups have makes both sides of the join exchange their rows, so that the adaptive skew join
+    # can split a payload many pages share.
+    found = some.join(first, ["sha1", "sha256", "bytes"])
+    starts, least = F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(COPIES).cast("long")), F.least(F.col("low") + COPIES, F.col("n")) - 1
+    each = found.withColumn("low", F.explode(starts)).withColumn("copy", F.explode(F.sequence("low", least)))
+    number = lambda of, k: _uuid(of, k.cast("string"))
+    each = each.select("page_id", "url", "sha1", "sha256", "bytes", number(F.col("own"), F.col("copy")).alias("id"), number(F.col("first.own"), F.lit(0)).alias("first_id"), F.col("first.url").alias("first_url"), F.coalesce(F.col("page_id") == F.col("first.page_id"), F.lit(False)).alias("least"))
+    answers = each.withColumn("answer", F.col("least") | (F.col("id") == F.col("first_id")))
     common = [("WARC-Date", F.lit(DATE)), ("WARC-Target-URI", F.col("url"))]
     kind = lambda name: ("WARC-Type", F.lit(name))
     other = lambda name: ("WARC-Record-ID", _uuid(F.lit(name), F.col("id")))
@@ -74,12 +89,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     answer = [("WARC-Record-ID", F.col("id")), *common, digest, ("Content-Type", F.lit("application/http;msgtype=response"))]
     revisit = [kind("revisit"), ("WARC-Refers-To", F.col("first_id")), ("WARC-Refers-To-Target-URI", F.col("first_url")), ("WARC-Profile", F.lit(SAME_PAYLOAD)), *answer]
-    records = F.array(
-        _record([kind("request"), other("request"), *common, beside, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1"), F.lit(END))),
-        F.when(again, _record(revisit, http)).otherwise(_record([kind("response"), *answer], F.concat(http, F.col("html")))),
-        _record([kind("metadata"), other("metadata"), *common, beside, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit("\r\n"))),
-    )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    request = _record([kind("request"), other("request"), *common, beside, ("Content-Type", F.lit("application/http;msgtype=request"))], F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1"), F.lit(END)))
+    metadata = _record([kind("metadata"), other("metadata"), *common, beside, ("Content-Type", F.lit("application/warc-fields"))], F.concat(F.lit("page-id: "), page, F.lit("\r\n")))
+    whole = answers.where("answer").join(bodies, "sha256").select(F.array(request, _record([kind("response"), *answer], F.concat(http, F.col("html"))), metadata).alias("r"))
+    again = answers.where("not answer").select(F.array(request, _record(revisit, http), metadata).alias("r"))
+    whole.unionByName(again).select(F.explode("r").alias("value")).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
 
 
 RECORD = "record_id string, type string, target_uri string, date string, concurrent_to string, refers_to string, claimed_digest string, content_type string, block_bytes long, payload_bytes long, payload_digest string, fields map<string,string>"

@@ -2,11 +2,14 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from barloom.llm import phrases
 from barloom.llm.phrases import HASHES, edited, fingerprints, fingerprints_of, likeness, phrase_names, with_edits, written
+from barloom.llm.queries import op6_phrase_fingerprints
 from tests.llm.cases import empty, frame, rows
 
 
@@ -70,6 +73,36 @@ def test_with_edits(spark, monkeypatch):
     assert with_edits(frame(spark, [(None, "x y", "en", "s", 3), (4, "z", "en", "s", 1)])).count() == 2
 
 
+def test_rows_of_one_id_are_dealt_over_ranges(spark):
+    """Half of the rows without id, many of one id: every row once, in one round, and no range with all of them."""
+    r = random.Random(6)
+    data = [(None if i % 2 else (i if i % 3 else 7), " ".join(str(r.randrange(50)) for _ in range(40)), "en", "s", 0) for i in range(800)]
+    out = with_edits(frame(spark, data).repartition(8))
+    got = out.withColumn("task", F.spark_partition_id()).collect()
+    order = sorted(data, key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+    want = sorted((-1 if i is None else i, hashlib.sha256(edited(t, order[(k + 1) % len(order)][1]).encode()).hexdigest()) for k, (i, t, *_) in enumerate(order))
+    assert sorted((-1 if g["doc_id"] is None else g["doc_id"], g["edited_sha256"]) for g in got) == want
+    assert max(Counter(g["task"] for g in got).values()) < 300
+
+
+def test_likeness_is_near_the_share_of_phrases():
+    """Against the exact share of all phrases: HASHES of them leave a standard error of 1 / (2 sqrt(48)) = 0.072 at most."""
+    r, errors = random.Random(9), []
+    vocab = ["".join(r.choice("abcdefghijklmno") for _ in range(r.randint(2, 8))) for _ in range(400)]
+    for _ in range(150):
+        words = [r.choice(vocab) for _ in range(r.randint(50, 800))]
+        other = [w if r.random() > 0.002 * r.randrange(60) else r.choice(vocab) for w in words]
+        a, b = (set(x.tolist()) for x in phrase_names([" ".join(words), " ".join(other)]))
+        errors.append(abs(likeness(*fingerprints_of([" ".join(words), " ".join(other)])) - len(a & b) / len(a | b)))
+    assert np.mean(errors) < 0.06 and max(errors) < 4 * 0.0722
+
+
+def test_query(spark, tmp_path):
+    data = rows(60)
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in op6_phrase_fingerprints(spark, str(tmp_path)).collect()} == brute(data)
+
+
 def test_fingerprints(spark):
     got = {r["doc_id"]: r["fingerprint"] for r in fingerprints(frame(spark)).collect()}
     assert got == {i: written(fingerprints_of([t or ""])[0]) for i, t, *_ in rows()}

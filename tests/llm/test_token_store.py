@@ -103,6 +103,36 @@ def test_edges(spark, tmp_path):
     assert sorted(str(r["doc_id"]) for r in got) == ["5", "5", "None", "None"] and sorted(r["start"] for r in got)[0] == 0
 
 
+def test_root_of_leaves_one_by_one():
+    leaves = [bytes([i]) * 16 for i in range(70)]
+    for n in range(len(leaves) + 1):
+        root = ts.Root()
+        for leaf in leaves[:n]:
+            root.add(leaf)
+        assert root.value() == ts.merkle(leaves[:n])
+
+
+def test_parts_lost_from_recipes_and_manifest_are_found(spark, tmp_path):
+    path = f"{tmp_path}/s"
+    ts.write_store(frame(spark, rows(20)), PATH, path)
+    recipes, manifest, head = (spark.createDataFrame(d.collect(), d.schema) for d in (spark.read.parquet(f"{path}/{n}") for n in ("recipes", "manifest", "head")))
+    parts = sorted(r["part"] for r in manifest.collect())
+    assert len(parts) > 2
+    for lost in (parts[-1:], parts[:1], parts[1:2], parts[1:], parts):
+        keep = f"part not in ({', '.join(map(str, lost))})"
+        for table, name in ((recipes, "recipes"), (manifest, "manifest")):
+            table.where(keep).write.mode("overwrite").parquet(f"{path}/{name}")
+        for read in (ts.read_store, ts.read_checksums):
+            with pytest.raises(Exception, match="doesn't fit the head|where the one before it ends"):
+                read(spark, path).collect()
+    recipes.write.mode("overwrite").parquet(f"{path}/recipes")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    assert ts.read_checksums(spark, path).count() == recipes.count()
+    head.limit(0).write.mode("overwrite").parquet(f"{path}/head")
+    with pytest.raises(Exception, match="doesn't fit the head"):
+        ts.read_checksums(spark, path).collect()
+
+
 def test_lost_recipes_are_found(spark, tmp_path):
     path = f"{tmp_path}/s"
     ts.write_store(frame(spark, rows(20)), PATH, path)
