@@ -97,18 +97,22 @@ _SPELLED = {
 _AT = r"(?:at|arroba|arobase|klammeraffe)"
 _DOT = r"(?:dot|punkt|punto|point)"
 _digit_word = "(?:" + "|".join(sorted(_SPELLED, key=len, reverse=True)) + ")"
-#: Runs of at least four spelled digits, with what may stand between and before them.
-_RUN = re.compile(rf"(?i)(?<!\w)(?:plus[\x20-]++)?{_digit_word}(?:[\x20,-]++(?:{_DOT}[\x20,-]++)?{_digit_word}){{3,}}(?!\w)")
-_RUN_PART = re.compile(r"(?i)plus|" + _DOT + "|" + _digit_word)
+_figure = f"(?:{_digit_word}|[0-9]++)"
+#: Runs of at least four spelled digits or figures, with what may stand between and before them.
+_RUN = re.compile(rf"(?i)\b(?=\w)(?:plus[\s-]++)?{_figure}(?:[\s,-]++(?:{_DOT}[\s,-]++)?{_figure}){{3,}}(?!\w)")
+_RUN_PART = re.compile(r"(?i)plus|" + _DOT + "|" + _digit_word + "|[0-9]+")
+#: Signs written as character references.
+_REFERENCE = re.compile(r"(?i)&(?:#(?:0*([0-9]{1,3})|x0*([0-9a-f]{1,2}));|(commat|period|plus);)")
 _BRACKETED = re.compile(rf"(?i)[\[({{<]\s*+({_AT}|{_DOT}|@|\.|a)\s*+[\])}}>]")
-#: An address in words: name at host dot domain; host and domain may use real dots too.
-_IN_WORDS = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+((?:\s++|_){_AT}(?:\s++|_)|\s*+@\s*+)[A-Za-z0-9-]+(?:(?:\s++|_){_DOT}(?:\s++|_)[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+(?!\w)")
-_WORDS_PART = re.compile(rf"(?i)(?:\s+|_)(?:({_AT})|{_DOT})(?:\s+|_)|\s*(@)\s*")
+#: An address in words: name (of five parts at most) at host dot domain; host and domain may use real dots too.
+_IN_WORDS = re.compile(rf"(?i)(?<![\w.%+-])[A-Za-z0-9._%+-]+(?:(?:\s++|_){_DOT}(?:\s++|_)[A-Za-z0-9._%+-]+){{0,4}}((?:\s++|_){_AT}(?:\s++|_)|\s*+@\s*+)[A-Za-z0-9-]+(?:(?:\s++|_){_DOT}(?:\s++|_)[A-Za-z0-9-]+|\s++\.\s++[A-Za-z0-9-]+|\.[A-Za-z0-9-]+)+(?!\w)")
+_WORDS_PART = re.compile(rf"(?i)(?:\s+|_)(?:({_AT})|{_DOT})(?:\s+|_)|\s*(@)\s*|\s+\.\s+")
 _SPACED_NUMBERS = re.compile(rf"(?i)(?<![\w.])[0-9]{{1,3}}(?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}(?![\w.])")
 _SPACED_DOT = re.compile(rf"(?i)\s+{_DOT}\s+")
 #: What _plain_letters looks at: all but Latin letters and those punctuation marks that no normal form makes ASCII signs of.
-_OTHER_SCRIPT = re.compile("[^\x00-ɏ‐-‣‧‰-⁞]|\xad")
-_INVISIBLE = frozenset("\xad​‌‍⁠﻿")
+_OTHER_SCRIPT = re.compile(r"[^\x00-\u024f\u2016-\u2023\u2027\u2030-\u205e]|[\xa0\xad\xb2\xb3\xb9]")
+#: Format characters: marks of direction, joiners, soft hyphens and the like.
+_INVISIBLE = frozenset(c for c in map(chr, [*range(0xD800), *range(0xE000, 0x10000)]) if unicodedata.category(c) == "Cf")
 #: Each match of _BRACKETED, _IN_WORDS and _SPACED_NUMBERS holds a match of this or an "@".
 _MAY_HIDE = re.compile(rf"(?i)[\[({{<]\s*(?:{_AT}|{_DOT}|\.|a)\s*[\])}}>]|[\s_](?:{_AT}|{_DOT})[\s_]")
 
@@ -123,10 +127,11 @@ def _columnar(pattern: str) -> str:
 _PLAIN = r"@|[0-9]\.[0-9]+\.[0-9]+\.[0-9]|(?:[0-9][ -]?){13}[0-9]|\+[0-9][ ().0-9-]+[0-9]"
 _HIDDEN = "|".join(
     [
-        r"[^\x00-\x{24f}\x{2010}-\x{2023}\x{2027}\x{2030}-\x{205e}]|\x{ad}",  # as _OTHER_SCRIPT
-        _columnar(rf"{_digit_word}(?:[ ,-]+(?:{_DOT}[ ,-]+)?{_digit_word}){{3}}"),  # _RUN
+        r"[^\x00-\x{24f}\x{2016}-\x{2023}\x{2027}\x{2030}-\x{205e}]|[\x{a0}\x{ad}\x{b2}\x{b3}\x{b9}]",  # as _OTHER_SCRIPT
+        r"(?i)&(?:#|commat;|period;|plus;)",  # _REFERENCE
+        _columnar(rf"(?:{_digit_word}|[0-9])(?:(?:\s|[,-])+(?:{_DOT}(?:\s|[,-])+)?(?:{_digit_word}|[0-9]+)){{3}}"),  # _RUN
         _columnar(rf"[\[({{<]\s*(?:{_AT}|{_DOT}|@|\.|a)\s*[\])}}>]"),  # _BRACKETED
-        _columnar(rf"[A-Za-z0-9._%+-](?:(?:\s+|_){_AT}(?:\s+|_)|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+|_){_DOT}(?:\s+|_)|\.)[A-Za-z0-9-]"),  # _IN_WORDS
+        _columnar(rf"[A-Za-z0-9._%+-](?:(?:\s+|_){_AT}(?:\s+|_)|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+|_){_DOT}(?:\s+|_)|\s*\.\s*)[A-Za-z0-9-]"),  # _IN_WORDS
         _columnar(rf"[0-9](?:\s+{_DOT}\s+[0-9]{{1,3}}){{3}}"),  # _SPACED_NUMBERS
     ]
 )
@@ -164,28 +169,47 @@ class _View:
 
 
 def _plain_letters(text: str) -> list[tuple[int, int, str]]:
-    """Look-alikes as the letters they look like, compatibility forms as what they stand for; invisible characters go."""
+    """Look-alikes as the letters they look like, digits, blanks and dashes of all kinds as those of ASCII, compatibility forms as what they stand for; format characters go."""
     edits = []
     for m in _OTHER_SCRIPT.finditer(text):
         c = m[0]
+        sort = unicodedata.category(c)
         if c in _INVISIBLE:
             edits.append((m.start(), m.end(), ""))
             continue
-        digit = unicodedata.decimal(c, None)
-        plain = str(digit) if digit is not None else _LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
-        if plain != c and plain.isascii() and plain.strip():
+        digit = unicodedata.digit(c, None)
+        if digit is not None:
+            plain = str(digit)
+        elif sort in ("Zs", "Pd") or c == "\u2212":
+            plain = " " if sort == "Zs" else "-"
+        else:
+            plain = _LOOK_ALIKES.get(c) or unicodedata.normalize("NFKC", c)
+        if plain != c and plain.isascii() and (plain.strip() or sort == "Zs"):
             edits.append((m.start(), m.end(), plain))
     return edits
 
 
+def _references(text: str) -> list[tuple[int, int, str]]:
+    """Character references to printable ASCII."""
+    edits = []
+    for m in _REFERENCE.finditer(text):
+        sign = {"commat": "@", "period": ".", "plus": "+"}[m[3].lower()] if m[3] else chr(int(m[1]) if m[1] else int(m[2], 16))
+        if "\x20" <= sign <= "\x7e":
+            edits.append((*m.span(), sign))
+    return edits
+
+
 def _digits(text: str) -> list[tuple[int, int, str]]:
+    """Runs that hold a spelled digit, without what parts them."""
     edits = []
     for run in _RUN.finditer(text):
         found = list(_RUN_PART.finditer(text, *run.span()))
+        if not any(m[0].lower() in _SPELLED for m in found):
+            continue
         for k, m in enumerate(found):
             word = m[0].lower()
             to = found[k + 1].start() if k + 1 < len(found) else m.end()
-            edits.append((m.start(), to, "+" if word == "plus" else _SPELLED.get(word, ".")))
+            edits.append((m.start(), to, "+" if word == "plus" else _SPELLED.get(word, word if word.isdigit() else ".")))
     return edits
 
 
@@ -220,6 +244,8 @@ def disguised_spans(text: str, plain: list[tuple[str, int, int]]) -> list[tuple[
     view = _View(text)
     if not text.isascii() and _OTHER_SCRIPT.search(text):
         view.rewrite(_plain_letters(view.text))
+    if "&" in text:
+        view.rewrite(_references(view.text))
     view.rewrite(_digits(view.text))
     if "@" in view.text or _MAY_HIDE.search(view.text):
         view.rewrite(_signs(view.text))

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import fresh, held_out, slices, utf8
+from barloom.llm.common import cut, fresh, held_out, slices, utf8
 from barloom.llm.quality import one_per_label
 from barloom.llm.textscan import heads, words
 
 #: Bytes of the beginnings that are hashed beside the word.
-HEADS = (6, 8)
+HEADS = (4, 6)
 #: Rows for words and as many for each length of beginnings; the last row stands for the end of a text.
 BUCKETS = 1 << 14
 END = BUCKETS * (1 + len(HEADS))
@@ -29,6 +29,10 @@ END = BUCKETS * (1 + len(HEADS))
 DIM, WIDTHS, FILTERS = 16, (1, 2, 3), 6
 #: Labelled rows that are learnt from at most: those of the smallest hashes of doc_id. Scoring covers all rows.
 TRAIN_ROWS = 10_000
+#: Bytes of their words, six a word, that come to the driver at most; a text that doesn't fit any more is left out whole.
+TRAIN_BYTES = 256 << 20
+#: The score at which the best F1 of rows that were not learnt from lies, whatever their language.
+FLAG = 0.7
 PART_BYTES = 1 << 18
 _SIGNS = np.zeros(256, bool)
 _SIGNS[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -180,11 +184,12 @@ def calibrate(scores: np.ndarray, y: np.ndarray, lang: np.ndarray, least: int =
     return out
 
 
-def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[Network, dict[str | None, float]]:
-    """A network and thresholds from labels (doc_id, toxic) whose crc32(doc_id) mod 3 is not 1; at most train_rows texts come to the driver, as table rows of their words (six bytes a word).
+def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> tuple[Network, dict[str | None, float]]:
+    """A network and thresholds from labels (doc_id, toxic) whose crc32(doc_id) mod 3 is not 1; at most train_rows texts come to the driver, as table rows of their words (six bytes a word), train_bytes in all.
 
-    A fifth of these, apart from those learnt from, sets the thresholds. lang only picks the threshold, never the score. A
-    doc_id that repeats counts once, with its greatest text.
+    A fifth of these, apart from those learnt from, sets the thresholds; the network's offset is moved so that FLAG is the
+    one for all languages together. lang only picks the threshold, never the score. A doc_id that repeats counts once,
+    with its greatest text.
     """
     known = labels.where(~held_out(F.col("doc_id"), 3, 1) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     picked = known.select("doc_id", F.col("toxic").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(train_rows)
@@ -198,7 +203,15 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
                 packed = [got[a:b].astype("<u2").tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(packed, pa.binary())], ["doc_id", "lang", "label", "words"])
 
-    data = rows.mapInArrow(hashed, "doc_id long, lang string, label int, words binary").toPandas()
+    data = cut(rows.mapInArrow(hashed, "doc_id long, lang string, label int, words binary"))
+    sizes = data.select("doc_id", F.octet_length("words").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    room, out = train_bytes, set()
+    for r in sizes:  # train_rows at most
+        if r["size"] > room:
+            out.add(r["doc_id"])
+        else:
+            room -= r["size"]
+    data = (data.where(~F.col("doc_id").isin(out)) if out else data).toPandas()
     data["size"] = [len(w) for w in data["words"]]
     data = data.sort_values(["doc_id", "size", "label"], kind="stable")
     texts = [np.frombuffer(w, "<u2").reshape(-1, 1 + len(HEADS)) for w in data["words"]]
@@ -207,7 +220,10 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     net = train([t for t, c in zip(texts, check) if not c], y[~check])
     kept = [t for t, c in zip(texts, check) if c]
     scores = np.concatenate([net.scores(t, np.array([0, len(t)])) for t in kept]) if kept else np.empty(0)
-    return net, calibrate(scores, y[check], lang[check])
+    least = np.clip(calibrate(scores, y[check], lang[check])[None], 1e-6, 1 - 1e-6)
+    net.offset += float(np.log(FLAG / (1 - FLAG)) - np.log(least / (1 - least)))
+    moved = np.concatenate([net.scores(t, np.array([0, len(t)])) for t in kept]) if kept else np.empty(0)
+    return net, calibrate(moved, y[check], lang[check])
 
 
 def score_toxicity(docs: DataFrame, net: Network, thresholds: dict[str | None, float], text_col: str = "text", lang_col: str = "lang", score_col: str = "score", flag_col: str = "flagged") -> DataFrame:

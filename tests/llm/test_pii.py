@@ -1,5 +1,6 @@
 """PII spans against the plain patterns, and disguised ones."""
 
+import hashlib
 import random
 import re
 import time
@@ -8,6 +9,7 @@ import pytest
 
 from barloom.llm import pii
 from barloom.llm.pii import disguised_spans, find_pii, plain_spans, redact_pii, redacted
+from barloom.llm.queries import op8_pii
 from tests.llm.cases import DOCS, empty, frame, rows
 
 PATTERNS = {
@@ -104,6 +106,50 @@ def test_each_disguise_alone(hit):
     assert [text[a:b] for _, a, b in disguised_spans(text, plain_spans(text))] == [hit]
 
 
+@pytest.mark.parametrize(
+    "kind,hit",
+    [
+        ("card", "4111\u00a01111\u00a01111\u00a01111"),
+        ("card", "4111\u202f1111\u20071111\u00a01111"),
+        ("card", "4111\u20111111\u20111111\u20111111"),
+        ("card", "4111\u20131111\u20141111\u22121111"),
+        ("phone", "+1\u2011509\u2011555\u20116973"),
+        ("card", "4\u00b9\u00b9\u00b9 1111 1111 1111"),
+        ("phone", "+\u00b9 509 555 69\u00b2\u00b3"),
+        ("email", "jane\u200e@exa\u202amp\u202cle.com"),
+        ("phone", "plus four nine 1 seven 2 three 4 five 6 seven"),
+        ("phone", "plus 49 one seven 2 three 45 six seven"),
+        ("phone", "plus four nine\none seven two three\nfour five six seven"),
+        ("email", "jane&#64;example&#46;com"),
+        ("email", "jane&#x40;example&period;com"),
+        ("email", "jane @ example . com"),
+        ("email", "john dot doe at example dot com"),
+    ],
+)
+def test_more_disguises(kind, hit):
+    text = f"X: {hit} ; end"
+    assert [(k, text[a:b]) for k, a, b in disguised_spans(text, plain_spans(text))] == [(kind, hit)]
+    assert [(s[0], text[s[1] : s[2]], s[3]) for _, _, spans in pii.all_spans(pii.pa.array([text])) for s in spans] == [(kind, hit, False)]
+
+
+@pytest.mark.parametrize("text", ["1 2 3 4 5 6 7 8 9 10 11 12 13", "R&D at A&#38;B", "mail @ noon. Then", "no\u00a0break and \u2013 dashes \u2014 alone", "2\u00b2 and 3\u00b3", "un deux trois"])
+def test_no_more_than_these(text):
+    assert disguised_spans(text, plain_spans(text)) == []
+
+
+def test_query(spark, tmp_path):
+    data = rows(30) + [(900, "a@b.co jane &#64; x and 1.2.3.4, jane&#64;example&#46;com", "en", "s", 5), (901, "plus four nine one seven two three four five six seven", "en", "s", 6), (901, "a@b.co", "en", "s", 6)]
+    frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"], r["spans"]) for r in op8_pii(spark, str(tmp_path)).collect()), key=str)
+    want = []
+    for i, t, *_ in data:
+        base = brute(t or "")
+        every = sorted([*base, *disguised_spans(t or "", base)], key=lambda s: (s[1], pii.KINDS.index(s[0])))
+        text = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want.append((i, *(sum(s[0] == k for s in every) for k in pii.KINDS), hashlib.sha256(text(base).encode()).hexdigest(), text(every)))
+    assert got == sorted(want, key=str)
+
+
 def test_gate_holds_nothing_back(monkeypatch):
     r = random.Random(8)
     parts = ["at", "AT", "dot", "punto", "klammeraffe", "arroba", "a", ".", "@", "[", "]", "(", ")", "{", "}", "<", ">", " ", " ", "\n", "\t", "_", "max", "web", "de", "10", "7", "x.y", "․"]
@@ -157,6 +203,10 @@ def test_planted_disguises_are_found():
         body = "4" + digits(14)
         return next(body + c for c in "0123456789" if luhn(body + c))
 
+    def card_after(front):
+        body = front + digits(13)
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
     kinds = {
         "brackets": ("email", lambda: f"{name()}.{name()} [at] {name()} (dot) com"),
         "words": ("email", lambda: f"{name()}.{name()} at {name()} dot example dot org"),
@@ -168,6 +218,14 @@ def test_planted_disguises_are_found():
         "spelled phone": ("phone", lambda: "plus " + " ".join(spelled[c] for c in digits(11))),
         "bracketed ip": ("ip", lambda: f"{r.randint(1, 255)}[.]{r.randint(0, 255)}[.]{r.randint(0, 255)}[.]{r.randint(1, 255)}"),
         "ip in words": ("ip", lambda: " dot ".join(str(r.randint(0, 255)) for _ in range(4))),
+        "blanks and dashes": ("card", lambda: re.sub("(?<=.)(?=(?:.{4})+$)", lambda _: r.choice("\u00a0\u202f\u2011\u2013"), card())),
+        "superscripts": ("card", lambda: "4\u00b9" + card_after("41")[2:]),
+        "direction": ("email", lambda: f"{name()}\u200e@{name()}\u202c.com"),
+        "figures and words": ("phone", lambda: "plus " + " ".join(spelled[c] if k % 3 == 0 else c for k, c in enumerate(digits(11)))),
+        "line breaks": ("phone", lambda: "plus\n" + "\n".join(spelled[c] for c in digits(11))),
+        "references": ("email", lambda: f"{name()}&#64;{name()}&#46;org"),
+        "dotted name": ("email", lambda: f"{name()} dot {name()} at {name()} dot com"),
+        "spaced signs": ("email", lambda: f"{name()} @ {name()} . com"),
     }
     for what, (kind, make) in kinds.items():
         hits = 0
