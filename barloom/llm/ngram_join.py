@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import cut, fresh, slices, utf8
 from barloom.llm.components import components
-from barloom.llm.prefix_tree import linked, may_link, prefix_size, sketch, spare
+from barloom.llm.prefix_tree import Groups, linked, may_link, prefix_size, sketch, spare
 from barloom.llm.textscan import shingle_sets
 
 #: Bytes of text whose hashes are worked out at once.
@@ -41,7 +41,7 @@ PART_BYTES = 1 << 20
 COMMON_KEPT = 200_000
 #: A shingle counts as common from so many texts in one part on.
 COMMON_FROM = 4
-#: Sets of one head whose sketches are compared; more go on without.
+#: Sets of one head whose sketches are compared, in one task; heads of more go on without, which loses no link.
 SIFTED_SETS = 4096
 #: Members, over all its sets, of a block that one task holds at once.
 BLOCK_MEMBERS = 1_500_000
@@ -138,40 +138,34 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
     # Pairs below a class are compared there, so a group needs a set of its class.
     heads = postings.groupBy("shingle", "size").agg(F.min("number").alias("first"), F.max("number").alias("last"), F.max("own").alias("top")).where("first < last and top = size").select("shingle", "size", "first")
     members = cut(postings.join(heads, ["shingle", "size"]).select(F.xxhash64("first", "size").alias("head"), "number").distinct())
-    sketched = members.join(sets.select("number", "n_shingles", "sketch"), "number").select("head", "number", "n_shingles", "sketch").repartition("head").sortWithinPartitions("head", "number")
+    # A head's sets meet in one task to be sifted if it has few; those of the others go on from where they are.
+    sizes = members.groupBy("head").agg(F.count("*").alias("m"), F.min("number").alias("least"))
+    counted = members.join(sizes, "head")
+    few, many = counted.where(F.col("m") <= SIFTED_SETS), counted.where(F.col("m") > SIFTED_SETS)
+    sketched = few.join(sets.select("number", "n_shingles", "sketch"), "number").select("head", "number", "n_shingles", "sketch").repartition("head").sortWithinPartitions("head", "number")
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Parts of each head's sets that sketches allow links in; groups too large to hold go on whole."""
+        """Parts of each head's sets that sketches allow links in."""
         rows: list[tuple[int, int, int, bytes]] = []
-        large = None
-
-        def out(found: list[tuple[int, int, int, int, bool]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ([], [], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["under", "part", "number", "n_shingles", "is_head"])
 
         def done() -> pa.RecordBatch:
             part = may_link([r[3] for r in rows], [r[2] for r in rows], percent)
             several = {p for p, k in Counter(part).items() if k > 1}
-            return out([(r[0], rows[p][1], r[1], r[2], i == p) for i, (r, p) in enumerate(zip(rows, part)) if p in several])
+            found = [(r[0], rows[p][1], r[1], r[2], i == p) for i, (r, p) in enumerate(zip(rows, part)) if p in several]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else ([], [], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], ["under", "part", "number", "n_shingles", "is_head"])
 
         for batch in batches:
-            passed = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if row[0] == large:
-                    passed.append((row[0], 0, row[1], row[2], False))
-                    continue
                 if rows and rows[0][0] != row[0]:
                     yield done()
                     rows = []
                 rows.append(row)
-                if len(rows) > SIFTED_SETS:
-                    large = row[0]
-                    passed += [(r[0], 0, r[1], r[2], i == 0) for i, r in enumerate(rows)]
-                    rows = []
-            yield out(passed)
         if rows:
             yield done()
 
-    sized = cut(sketched.mapInArrow(sift, "under long, part long, number long, n_shingles long, is_head boolean").withColumn("head", F.xxhash64("under", "part")))
+    sifted = sketched.mapInArrow(sift, "under long, part long, number long, n_shingles long, is_head boolean")
+    passed = many.join(sets.select("number", "n_shingles"), "number").select(F.col("head").alias("under"), F.lit(0).cast("long").alias("part"), "number", "n_shingles", (F.col("number") == F.col("least")).alias("is_head"))
+    sized = cut(sifted.unionByName(passed).withColumn("head", F.xxhash64("under", "part")))
     blocks = sized.groupBy("head").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("total")).where("m > 1").select("head", F.ceil(F.col("total") / block_members).alias("blocks"))
     wanted = sized.join(blocks, "head").select("number", "head", "is_head", "blocks")
     tasks = wanted.groupBy("number").agg(F.collect_list(F.struct("head", "is_head", "blocks")).alias("tasks"))
@@ -193,19 +187,14 @@ def _grouped(docs: DataFrame, width: int, percent: int, id_col: str, text_col: s
         def done() -> pa.RecordBatch:
             names = [h[0] for h in held]
             pairs = linked([h[1] for h in held], [h[2] for h in held], percent, lambda x: _place(x, common.value)) if len(held) > 1 else []
-            groups = set()
+            groups: list[int] = []
             if key is not None and key[2] > 1:  # what the head doesn't reach within its block goes on to the others
-                reach = {0}
-                grown = True
-                while grown:
-                    grown = False
-                    for i, j in pairs:
-                        if (i in reach) != (j in reach):
-                            reach |= {i, j}
-                            grown = True
-                groups = {names[i] for i in range(len(names)) if i not in reach}
+                reach = Groups(len(names))
+                for i, j in pairs:
+                    reach.join(i, j)
+                groups = sorted({names[i] for i in range(len(names)) if reach.root(i) != reach.root(0)})
             return pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i, _ in pairs] + list(groups), pa.int64()), pa.array([names[j] for _, j in pairs] + [None] * len(groups), pa.int64()), pa.array([None] * len(pairs) + [key[0]] * len(groups), pa.int64())],
+                [pa.array([names[i] for i, _ in pairs] + groups, pa.int64()), pa.array([names[j] for _, j in pairs] + [None] * len(groups), pa.int64()), pa.array([None] * len(pairs) + [key[0]] * len(groups), pa.int64())],
                 ["u", "v", "open_under"],
             )
 
