@@ -50,7 +50,7 @@ def m2_compact_statuses(spark, d):
     # A provider of its own for each symbol, so that no file holds two.
     store.write_rows(store.with_partitions(hourly(spark, d), "crypto", "1h", "events").withColumn("provider", F.col("symbol")), path, 20)
     wanted = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("U"), "c_custkey").alias("symbol"))
-    done = store.status_counts(store.compact(spark, path, symbols=wanted.unionByName(store.list_symbols(store.files(spark, path)))))
+    done = store.status_counts(store.compact(spark, path, symbols=wanted))
     return done.select("status", "n", F.coalesce((F.col("segments_after") < F.col("segments_before")) | (F.col("status") == "ok"), F.lit(True)).alias("fewer"))
 
 
@@ -61,7 +61,7 @@ def m2_compact_symbols(spark, d):
     """Only wanted symbols are rewritten; what a copy doesn't bring through whole stays as it was."""
     path = _stored(spark, d, 30)
     wanted = store.list_symbols(store.files(spark, path)).where("symbol <> 'view'").unionByName(spark.createDataFrame([("NONE",)], "symbol string"))
-    report = store.compact(spark, path, 1_000_000, symbols=wanted, copy=lambda rows: rows.where("symbol <> 'click' or hour(ts) <> 5"))
+    report = store.compact(spark, path, 1_000_000, symbols=wanted, only=True, copy=lambda rows: rows.where("symbol <> 'click' or hour(ts) <> 5"))
     after = store.load(spark, path).groupBy("symbol", "month").agg(F.count("*").alias("rows"), F.round(F.sum("close"), 6).alias("closes"))
     return report.join(after, ["symbol", "month"], "left").select("symbol", "month", "status", F.coalesce("rows", F.lit(0)).alias("rows"), "closes")
 

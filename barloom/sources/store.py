@@ -388,18 +388,18 @@ def _content(rows: DataFrame, prefix: str) -> DataFrame:
     return rows.groupBy(*PARTITIONS, "symbol").agg(F.count("*").alias(f"{prefix}_rows"), F.sum(each.cast("decimal(38,0)")).alias(f"{prefix}_sum"))
 
 
-def compact(spark: SparkSession, path: str, target_rows: int = 1_000_000, dry_run: bool = False, symbols: DataFrame | None = None, copy: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def compact(spark: SparkSession, path: str, target_rows: int = 1_000_000, dry_run: bool = False, symbols: DataFrame | None = None, only: bool = False, copy: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
     """Bring symbols that lie in more files than their rows need into as few; (partition columns, symbol, status, segments_before, segments_after).
 
     Of a folder only the fragmented symbols are dealt anew, each into a file for every target_rows of its rows; the rows
     of others stay together as they were. status: ok, would_defrag (dry run), defragmented, or failed: what `copy` makes
-    of a symbol's rows isn't the same rows, so the symbol stays as it was. With symbols given, only those are looked at,
-    and those without bars have a row of status missing. The folders change by one commit; what was written is counted
+    of a symbol's rows isn't the same rows, so the symbol stays as it was. With symbols given, those without
+    bars have a row of status missing, and with `only` no others are looked at. The folders change by one commit; what was written is counted
     once more before it, and a folder that doesn't hold what it held is no part of it.
     """
     base, on = head(spark, path), [*PARTITIONS, "symbol"]
     listed = files(spark, path)
-    looked = listed if symbols is None else listed.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
+    looked = listed.join(symbols.select("symbol").distinct(), "symbol", "left_semi") if only else listed
     before = materialised(_fragments(looked, target_rows).withColumn("fragmented", F.col("segments") > F.col("needed")))
     todo = before.where("fragmented").select(*on, "needed")
     out = before.withColumns({"status": F.when(~F.col("fragmented"), "ok").otherwise("would_defrag"), "segments_after": F.col("segments")})
