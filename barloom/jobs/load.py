@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,23 +41,27 @@ def _ordered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ingest_seq", F.unix_micros("ts"))
 
 
+#: What raw rows are held against before they are rolled up; of rows that repeat a time the first counts.
+_AS_LANDED = ("not_increasing", "null_volume", "price_order", "partial_prices")
+
+
 def on_grid(raw: DataFrame, grid: DataFrame, resolution: str, even: bool = False, keep: Callable[[DataFrame], DataFrame] = materialised) -> tuple[DataFrame, DataFrame]:
-    """Raw bars rolled up, checked, snapped and padded on a grid; and the issues, of which those of severity error kept their symbols out.
+    """Raw bars rolled up, snapped and padded on a grid, and the issues, of which those of severity error kept their symbols out.
 
     Checked are raw rows as they came, the spacing once bars have the target's length, and what is to be stored. Rows
-    that repeat a time are no issue, the first counts. Two tables of bars are kept, rolled up and padded, and the issues of
-    each check, which are few. even: whether the grid's times are all a bar apart, as they are on a continuous one.
+    that repeat a time are no issue, the first counts. A symbol's issues end with the first of these checks that finds an
+    error. Two tables of bars are kept, rolled up and padded; all checks are one job over them, whose issues, which are
+    few, are the third. even: whether the grid's times are all a bar apart, as they are on a continuous one.
     """
     length = micros(resolution)
-    found = keep(issues(raw, 0, "raw").where("category not in ('duplicate_ts', 'bad_spacing')"))
-    good, _ = quarantine(keep_first(raw), found)
-    rolled = keep(rollup_if_finer(good, length))
-    close = keep(issues(_ordered(rolled), length, "raw").where("category = 'bad_spacing'"))
-    rolled, _ = quarantine(rolled, close)
+    rolled = keep(rollup_if_finer(keep_first(raw), length))
     snapped = snap_daily(_ordered(rolled), grid) if resolution == "1d" else snap(_ordered(rolled), grid, length, length if even else None)
     padded = keep(reindex(snapped, grid.join(rolled.select("symbol").distinct(), "symbol", "left_semi")))
-    stored = keep(issues(_ordered(padded), length, "storage"))
-    return quarantine(padded, stored)[0], found.unionByName(close).unionByName(stored)
+    checks = (issues(raw, 0, "raw", _AS_LANDED), issues(_ordered(rolled), length, "raw", ("bad_spacing",)), issues(_ordered(padded), length, "storage"))
+    each = keep(reduce(DataFrame.unionByName, [found.withColumn("_check", F.lit(n)) for n, found in enumerate(checks)]))
+    ended = each.where("severity = 'error'").groupBy("symbol").agg(F.min("_check").alias("_ended"))
+    found = each.join(ended, "symbol", "left").where("_ended is null or _check <= _ended").drop("_check", "_ended")
+    return quarantine(padded, each)[0], found
 
 
 def grid_for(requests: DataFrame, resolution: str, sessions: DataFrame | None = None) -> DataFrame:

@@ -62,14 +62,17 @@ def _checks(stage: str) -> list[tuple[str, str, Column]]:
     return out
 
 
-def issues(bars: DataFrame, length: int, stage: str) -> DataFrame:
-    """(symbol, severity, category, n_bars, first_ts) of all checks of a stage (raw, storage or audit) that any bar fails; no bars, no issues."""
+def issues(bars: DataFrame, length: int, stage: str, only: tuple[str, ...] | None = None) -> DataFrame:
+    """(symbol, severity, category, n_bars, first_ts) of all checks of a stage (raw, storage or audit) that any bar fails; no bars, no issues.
+
+    only: the categories that are asked for; what the others need isn't worked out.
+    """
     if "volume" not in bars.columns:
         return bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.min("ts").alias("first_ts")).select("symbol", F.lit("error").alias("severity"), F.lit("no_volume_column").alias("category"), "n_bars", "first_ts")
     missing = [f for f in FIELDS if f not in bars.columns]
     if missing and stage == "storage":
         raise ValueError(f"columns are missing: {missing}")
-    checks = _checks(stage)
+    checks = [c for c in _checks(stage) if only is None or c[0] in only]
     sums = []
     for name, _, failed in checks:
         failed = F.coalesce(failed, F.lit(False))

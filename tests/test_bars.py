@@ -245,6 +245,8 @@ def test_issues(spark):
     assert found(spark, spoil(high=50.0, low=200.0)) == {("price_order", "error"): 1}
     assert found(spark, spoil(low=-1.0)) == {("negative_price", "warning"): 1}
     assert found(spark, spoil(volume=0.0, open=None, high=None, low=None, close=None)) == {}
+    short = raw(spark, linear(step=30) + spoil(volume=None))
+    assert [r["category"] for r in validate.issues(short, MINUTE, "raw", ("bad_spacing",)).collect()] == ["bad_spacing"]
     assert validate.issues(raw(spark, linear()).drop("volume"), MINUTE, "raw").first()["category"] == "no_volume_column"
     with pytest.raises(ValueError):
         validate.issues(raw(spark, linear()).drop("open"), MINUTE, "storage")

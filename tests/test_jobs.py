@@ -12,7 +12,7 @@ from barloom import registry
 from barloom.functions import calendars
 from barloom.jobs.audit import audit_library
 from barloom.jobs.get_data import get_data
-from barloom.jobs.load import load, load_batch, load_issues, loads
+from barloom.jobs.load import grid_for, load, load_batch, load_issues, loads, on_grid
 from barloom.jobs.normalise import normalise_library
 from barloom.operators import gaps
 from barloom.schema import BARS, MINUTE, RAW
@@ -93,6 +93,26 @@ def test_load_keeps_issues_and_fills_known_symbols(spark, tmp_path):
     assert loads(spark, path).count() == 2 and {r["note"] for r in loads(spark, path).collect()} == {"n", None}
 
 
+def test_issues_end_with_the_first_check_that_fails(spark):
+    rows = {symbol: linear(10, step=300, symbol=symbol) for symbol in "ABC"}
+    for symbol in "BC":  # a traded bar without its open
+        rows[symbol][4] = (*rows[symbol][4][:2], None, *rows[symbol][4][3:])
+    early = rows["C"][2]
+    rows["C"].append((early[0], early[1] + timedelta(minutes=2), *early[2:7], 99))
+    rows["C"] = [(*r[:7], n) for n, r in enumerate(sorted(rows["C"], key=lambda r: r[1]))]
+    first, last = rows["A"][0][1], rows["A"][-1][1]
+    asked = window(spark, first, last, "A").unionByName(window(spark, first, last, "B")).unionByName(window(spark, first, last, "C"))
+    made, found = on_grid(raw(spark, sum(rows.values(), [])), grid_for(asked, "5m"), "5m", True)
+    assert {r["symbol"] for r in made.collect()} == {"A"} and made.count() == 10
+    # B's open is found wanting again before it is stored; C has ended with its spacing by then.
+    assert values(found, "symbol", "category", "severity", "n_bars") == [
+        ("B", "partial_prices", "warning", 1),
+        ("B", "traded_without_prices", "error", 1),
+        ("C", "bad_spacing", "error", 2),
+        ("C", "partial_prices", "warning", 1),
+    ]
+
+
 def test_updates_at_once_and_broken_ones(spark, tmp_path):
     path, key = f"{tmp_path}/s", ("crypto", "1m", "x")
     january, march = datetime(2024, 1, 2), datetime(2024, 3, 2)
