@@ -57,7 +57,7 @@ def on_grid(raw: DataFrame, grid: DataFrame, resolution: str, even: bool = False
     rolled = keep(rollup_if_finer(keep_first(raw), length))
     snapped = snap_daily(_ordered(rolled), grid) if resolution == "1d" else snap(_ordered(rolled), grid, length, length if even else None)
     padded = keep(reindex(snapped, grid.join(rolled.select("symbol").distinct(), "symbol", "left_semi")))
-    checks = (issues(raw, 0, "raw", _AS_LANDED), issues(_ordered(rolled), length, "raw", ("bad_spacing",)), issues(_ordered(padded), length, "storage"))
+    checks = (issues(raw, 0, "raw", _AS_LANDED), issues(_ordered(rolled), length, "raw", ("bad_spacing",)), issues(_ordered(padded), length, "storage", in_time=True))
     each = keep(reduce(DataFrame.unionByName, [found.withColumn("_check", F.lit(n)) for n, found in enumerate(checks)]))
     ended = each.where("severity = 'error'").groupBy("symbol").agg(F.min("_check").alias("_ended"))
     found = each.join(ended, "symbol", "left").where("_ended is null or _check <= _ended").drop("_check", "_ended")
@@ -95,7 +95,7 @@ def load(landed: DataFrame, gaps: DataFrame, path: str, asset: str, resolution:
     windows = gaps.select("symbol", F.col("gap_start").alias("start_ts"), F.col("gap_end").alias("end_ts"))
     with scratch_tables(spark) as keep:
         grid = grid_for(windows, resolution, sessions)
-        wanted = wanted_rows(landed, gaps, resolution, sessions)
+        wanted = keep(wanted_rows(landed, gaps, resolution, sessions))
         made, found = on_grid(wanted, grid, resolution, sessions is None, keep)
         bars = made.select("symbol", "ts", *FIELDS).unionByName(null_grids(grid, wanted, spans(spark, path, asset, resolution, provider)))
         # One row per symbol: what is loaded, and whether it covers its grid.

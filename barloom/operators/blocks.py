@@ -34,33 +34,35 @@ def arrival(rows: DataFrame, seq: str = "ingest_seq") -> Column:
 def with_before(rows: DataFrame, order: str, values: dict[str, Column], block: Column, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """rows with each value as it was in the row before, in order within keys; null in the first. Rows of equal order are taken in any order.
 
-    Rows are shuffled by keys and block; of each block one row, its last, goes through its keys' blocks.
+    Rows are shuffled once, by keys and block; of each block one row, its last, goes through its keys' blocks and comes
+    back as the row before the next block's first.
     """
-    on = [*keys, BLOCK]
-    here = rows.withColumns({BLOCK: block, "_now": F.struct(*[v.alias(n) for n, v in values.items()])})
-    last = here.groupBy(*on).agg(F.max_by("_now", order).alias("_last"))
-    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*keys).orderBy(BLOCK))).drop("_last")
-    before = F.coalesce(F.lag("_now").over(Window.partitionBy(*on).orderBy(order)), F.col("_carried"))
-    out = _brought(here, carried, on).withColumn("_before", before)
-    return out.withColumns({n: F.col(f"_before.{n}") for n in values}).drop(BLOCK, "_now", "_carried", "_before")
+    on, now = [*keys, BLOCK], {f"_now_{n}": v for n, v in values.items()}
+    here = rows.withColumns({BLOCK: block, **now})
+    # One aggregate a value, as states of fixed size need no sort; all see the same rows in the same order.
+    last = here.groupBy(*on).agg(*[F.max_by(n, order).alias(n) for n in now])
+    across = Window.partitionBy(*keys).orderBy(BLOCK)
+    carried = last.select(*on, *[F.lag(n).over(across).alias(n) for n in now])
+    inside = Window.partitionBy(*on).orderBy("_real", order)
+    out = _after(here, carried).withColumns({f"_before_{n}": F.lag(f"_now_{n}").over(inside) for n in values})
+    return out.where("_real").withColumns({n: F.col(f"_before_{n}") for n in values}).drop(BLOCK, "_real", *now, *[f"_before_{n}" for n in values])
 
 
-def _brought(rows: DataFrame, carried: DataFrame, on: list[str]) -> DataFrame:
-    """Each row with what is carried to its block; keys may be null."""
-    right = carried.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(on)], *[c for c in carried.columns if c not in on])
-    hit = [F.col(c).eqNullSafe(F.col(f"_r{i}")) for i, c in enumerate(on)]
-    return rows.join(right, hit, "left").drop(*[f"_r{i}" for i in range(len(on))])
+def _after(rows: DataFrame, carried: DataFrame) -> DataFrame:
+    """rows (_real) and before each block's the row that is carried to it; no join, so keys may be null."""
+    return rows.withColumn("_real", F.lit(True)).unionByName(carried.withColumn("_real", F.lit(False)), allowMissingColumns=True)
 
 
 def filled(rows: DataFrame, order: str, value: str, into: str, block: Column, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """rows with the last value that was there, that of the row itself included; null before the first one."""
     on = [*keys, BLOCK]
-    here = rows.withColumn(BLOCK, block)
-    last = here.groupBy(*on).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_last"))
+    here = rows.withColumns({BLOCK: block, "_value": F.col(value)})
+    last = here.groupBy(*on).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(order))).alias("_value"))
     before = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = last.withColumn("_carried", F.last("_last", ignorenulls=True).over(before)).drop("_last")
-    so_far = Window.partitionBy(*on).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return _brought(here, carried, on).withColumn(into, F.coalesce(F.last(value, ignorenulls=True).over(so_far), F.col("_carried"))).drop(BLOCK, "_carried")
+    carried = last.select(*on, F.last("_value", ignorenulls=True).over(before).alias("_value"))
+    so_far = Window.partitionBy(*on).orderBy("_real", order).rowsBetween(Window.unboundedPreceding, 0)
+    out = _after(here, carried).withColumn("_filled", F.last("_value", ignorenulls=True).over(so_far))
+    return out.where("_real").withColumn(into, F.col("_filled")).drop(BLOCK, "_real", "_value", "_filled")
 
 
 def with_halo(rows: DataFrame, order: str, value: str, n: int, block: Column, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

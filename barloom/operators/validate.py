@@ -31,15 +31,17 @@ def _out_of_order() -> Column:
     return _priced() & ~inside
 
 
-def marked(bars: DataFrame, length: int) -> DataFrame:
+def marked(bars: DataFrame, length: int, in_time: bool = False) -> DataFrame:
     """bars (with ingest_seq) and what each breaks against the bar that came before it: duplicate, backward, short.
 
-    The order of arrival is cut into blocks, of which each gets the last time of the one before.
+    The order of arrival is cut into blocks, of which each gets the last time of the one before. in_time: whether
+    ingest_seq rises with ts, so that a bar that repeats a time comes right after it and no second shuffle looks for it.
     """
-    same = Window.partitionBy("symbol", "ts").orderBy("ingest_seq")
     out = with_before(bars, "ingest_seq", {"_was": F.col("ts")}, arrival(bars))
+    same = Window.partitionBy("symbol", "ts").orderBy("ingest_seq")
+    duplicate = F.coalesce(F.col("ts") == F.col("_was"), F.lit(False)) if in_time else F.row_number().over(same) > 1
     gap = F.unix_micros("ts") - F.unix_micros("_was")
-    return out.withColumns({"duplicate": F.row_number().over(same) > 1, "backward": F.coalesce(F.col("ts") < F.col("_was"), F.lit(False)), "short": F.coalesce(gap < length, F.lit(False))}).drop("_was")
+    return out.withColumns({"duplicate": duplicate, "backward": F.coalesce(F.col("ts") < F.col("_was"), F.lit(False)), "short": F.coalesce(gap < length, F.lit(False))}).drop("_was")
 
 
 #: Category, severity and condition of each kind of check.
@@ -62,10 +64,10 @@ def _checks(stage: str) -> list[tuple[str, str, Column]]:
     return out
 
 
-def issues(bars: DataFrame, length: int, stage: str, only: tuple[str, ...] | None = None) -> DataFrame:
+def issues(bars: DataFrame, length: int, stage: str, only: tuple[str, ...] | None = None, in_time: bool = False) -> DataFrame:
     """(symbol, severity, category, n_bars, first_ts) of all checks of a stage (raw, storage or audit) that any bar fails; no bars, no issues.
 
-    only: the categories that are asked for; what the others need isn't worked out.
+    only: the categories that are asked for; what the others need isn't worked out. in_time: as for marked().
     """
     if "volume" not in bars.columns:
         return bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.min("ts").alias("first_ts")).select("symbol", F.lit("error").alias("severity"), F.lit("no_volume_column").alias("category"), "n_bars", "first_ts")
@@ -77,7 +79,7 @@ def issues(bars: DataFrame, length: int, stage: str, only: tuple[str, ...] | Non
     for name, _, failed in checks:
         failed = F.coalesce(failed, F.lit(False))
         sums += [F.count_if(failed).alias(f"n_{name}"), F.min(F.when(failed, F.col("ts"))).alias(f"t_{name}")]
-    wide = marked(bars, length).groupBy("symbol").agg(*sums)
+    wide = marked(bars, length, in_time).groupBy("symbol").agg(*sums)
     rows = F.array(*[F.struct(F.lit(s).alias("severity"), F.lit(n).alias("category"), F.col(f"n_{n}").alias("n_bars"), F.col(f"t_{n}").alias("first_ts")) for n, s, _ in checks])
     return wide.select("symbol", F.explode(rows).alias("i")).select("symbol", "i.*").where("n_bars > 0")
 
