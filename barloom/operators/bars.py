@@ -78,7 +78,8 @@ def snap(bars: DataFrame, grid: DataFrame, length: int, width: int | None = None
     else:
         wide_bars, wide_grid = (df.withColumn("width", F.lit(float(width))) for df in (bars, grid))
     bucket = lambda by: F.floor(F.unix_micros("ts") / F.col("width") + by).alias("bucket")
-    near = wide_grid.select("symbol", F.col("ts").alias("grid_ts"), bucket(0))
+    # A grid is exploded from a few windows, whose size is all the optimiser sees: without the hint it would be broadcast.
+    near = wide_grid.select("symbol", F.col("ts").alias("grid_ts"), bucket(0)).hint("merge")
     # A bar whose symbol has no grid looks nowhere and keeps its time.
     looks = F.explode_outer(F.when(F.col("width").isNotNull(), F.array(bucket(-1), bucket(0), bucket(1)))).alias("bucket")
     keyed = wide_bars.select("symbol", "ts", *FIELDS, "ingest_seq", "width", looks)
