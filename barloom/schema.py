@@ -55,7 +55,8 @@ def by_day(rows: DataFrame, ranges: DataFrame, how: str) -> DataFrame:
     day = F.to_date("start_ts"), F.to_date("end_ts")
     days = ranges.where("start_ts <= end_ts").select("symbol", "start_ts", "end_ts", F.explode(F.sequence(*day)).alias("day"))
     hit = (rows["symbol"] == days["symbol"]) & (F.to_date(rows["ts"]) == days["day"]) & (rows["ts"] >= days["start_ts"]) & (rows["ts"] <= days["end_ts"])
-    return rows.join(days, hit, how)
+    # The optimiser takes days for as small as the ranges they are cut from: without the hint they would be broadcast.
+    return rows.join(days.hint("merge"), hit, how)
 
 
 def library_name(asset: Column | str, resolution: Column | str, provider: Column | str) -> Column:
