@@ -28,7 +28,7 @@ def broadcast_rows(spark, run) -> int:
     return most
 
 
-@pytest.mark.parametrize("name", ["n5_normalise_library", "job_load", "job_load_issues", "s8_stored_provenance"])
+@pytest.mark.parametrize("name", ["n5_normalise_library", "job_load", "job_load_issues", "s8_stored_provenance", "job_load_again"])
 def test_no_grid_is_broadcast(spark, name):
     rows = broadcast_rows(spark, lambda: registry.queries()[name](spark, D).collect())
     # The bars themselves are some tens of kB here; their grid has eleven times as many rows.
