@@ -5,26 +5,29 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.blocks import BLOCK, filled, month, with_before, with_halo
 from barloom.schema import PRICES
 
 
-def moving_averages(bars: DataFrame, sizes: tuple[int, ...] = (20, 50)) -> DataFrame:
-    """Mean of the last n closes that are there, null until there are n; a symbol is worked off in months, each with the closes before it."""
-    out = with_halo(bars.where("close is not null"), "ts", "close", max(sizes) - 1, month())
+def moving_averages(bars: DataFrame, sizes: tuple[int, ...] = (20, 50), block: Column | None = None) -> DataFrame:
+    """Mean of the last n closes that are there, null until there are n; a symbol is worked off in blocks (months, if none are given), each with the closes before it.
+
+    A block should hold many more rows than the largest size, which is what is repeated for it: span() for known bar lengths.
+    """
+    out = with_halo(bars.where("close is not null"), "ts", "close", max(sizes) - 1, month() if block is None else block)
     for n in sizes:
         w = Window.partitionBy("symbol", BLOCK).orderBy("ts").rowsBetween(1 - n, 0)
         out = out.withColumn(f"sma{n}", F.when(F.count("close").over(w) == n, F.avg("close").over(w)))
     return out.where("not _halo").drop("_halo", BLOCK)
 
 
-def crossover(averaged: DataFrame, fast: str = "sma20", slow: str = "sma50") -> DataFrame:
+def crossover(averaged: DataFrame, fast: str = "sma20", slow: str = "sma50", block: Column | None = None) -> DataFrame:
     """position: 1 where fast is above slow, -1 below, else 0; signal: its change since the bar before."""
     position = F.when(F.col(fast) > F.col(slow), 1).when(F.col(fast) < F.col(slow), -1).otherwise(0)
-    out = with_before(averaged.withColumn("position", position), "ts", {"_was": F.col("position")}, month())
+    out = with_before(averaged.withColumn("position", position), "ts", {"_was": F.col("position")}, month() if block is None else block)
     return out.withColumn("signal", F.coalesce(F.col("position") - F.col("_was"), F.lit(0))).drop("_was")
 
 

@@ -1,6 +1,6 @@
 """Work that follows rows in order, cut into blocks, so that no symbol's rows all meet in one task.
 
-A block is a month of a symbol, or a range of its rows' arrival numbers. What a block has to know of those before it (its
+A block is a month of a symbol, a range of so many bar lengths, or one of its rows' arrival numbers. What a block has to know of those before it (its
 last row, its last value, its last few rows) is one small row per block; these go through a symbol in order, and each
 block gets what it needs back.
 """
@@ -18,6 +18,11 @@ def month(ts: str = "ts") -> Column:
     return F.trunc(ts, "month")
 
 
+def span(length: int, ts: str = "ts", most: int = 16_384) -> Column:
+    """A block of so many bar lengths, for bars on a grid of that length: at most so many rows. A month of daily bars holds a few rows only, fewer than are carried to it."""
+    return F.floor(F.unix_micros(ts) / F.lit(length * most))
+
+
 def arrival(rows: DataFrame, seq: str = "ingest_seq") -> Column:
     """A block of an order of arrival, never falling as the order rises.
 

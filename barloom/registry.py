@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions import calendars, normalize
-from barloom.operators import analytics, bars, gaps, profile, validate
+from barloom.operators import analytics, bars, blocks, gaps, profile, validate
 from barloom.schema import BARS, FIELDS, RESOLUTIONS, calendar_of, library_name, provider_intervals
 from barloom.sources import store
 
@@ -595,12 +595,12 @@ _SMA = f"""{D1}, a AS (SELECT symbol, ts, close, CASE WHEN count(*) OVER w20 = 2
 
 @query(f"WITH {_SMA} SELECT symbol, ts, round(sma20, 6) AS sma20, round(sma50, 6) AS sma50 FROM a")
 def w1_moving_averages(spark, d):
-    return ntz(analytics.moving_averages(daily(spark, d)).select("symbol", "ts", F.round("sma20", 6).alias("sma20"), F.round("sma50", 6).alias("sma50")))
+    return ntz(analytics.moving_averages(daily(spark, d), block=blocks.span(DAY)).select("symbol", "ts", F.round("sma20", 6).alias("sma20"), F.round("sma50", 6).alias("sma50")))
 
 
 @query(f"WITH {_SMA}, p AS (SELECT *, CASE WHEN sma20 > sma50 THEN 1 WHEN sma20 < sma50 THEN -1 ELSE 0 END AS position FROM a) SELECT symbol, ts, position, coalesce(position - lag(position) OVER (PARTITION BY symbol ORDER BY ts), 0) AS signal FROM p")
 def w2_crossover(spark, d):
-    return ntz(analytics.crossover(analytics.moving_averages(daily(spark, d))).select("symbol", "ts", "position", "signal"))
+    return ntz(analytics.crossover(analytics.moving_averages(daily(spark, d), block=blocks.span(DAY)), block=blocks.span(DAY)).select("symbol", "ts", "position", "signal"))
 
 
 @query(f"WITH {D1}, r AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM d) SELECT symbol, round(avg(ret), 9) AS mean_return, round(stddev_samp(ret), 9) AS std_return FROM r GROUP BY symbol")

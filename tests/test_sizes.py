@@ -1,8 +1,13 @@
 """What is made beside the input grows no faster than the input."""
 
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
-from barloom.operators import gaps
+from barloom import registry
+from barloom.operators import analytics, blocks, gaps
+
+D = "/root/testdata/sf0.001"
 
 
 def test_ledger_lines_are_handed_on_together():
@@ -20,3 +25,26 @@ def test_ledger_lines_are_handed_on_together():
     lines = pd.concat(frames)
     assert list(lines["symbol"]) == list(asked["symbol"]) and all(len(d) == n for d, n in zip(lines["data"], lines["rows"]))
     assert list(lines["status"]) == ["failed" if s == "U3" else "fetched" for s in asked["symbol"]] and lines["rows"].sum() == 200 + 23 * 2
+
+
+@pytest.mark.parametrize("name", ["w1_moving_averages"])
+def test_few_closes_are_repeated(spark, monkeypatch, name):
+    made = []
+
+    def halo(*args):
+        made.append(blocks.with_halo(*args))
+        return made[-1]
+
+    monkeypatch.setattr(analytics, "with_halo", halo)
+    registry.queries()[name](spark, D)
+    n = made[0].groupBy("_halo").count().collect()
+    assert sum(r["count"] for r in n if r["_halo"]) <= sum(r["count"] for r in n if not r["_halo"]) / 10
+
+
+def test_spans_give_what_months_give(spark):
+    """Some spans are cut within the bars; closes before the cut count."""
+    b = registry.daily(spark, D)
+    months, cut = (analytics.crossover(analytics.moving_averages(b, block=k), block=k) for k in (None, blocks.span(registry.DAY, most=500)))
+    as_set = lambda df: {(r["symbol"], r["ts"], r["sma20"] and round(r["sma20"], 6), r["sma50"] and round(r["sma50"], 6), r["position"], r["signal"]) for r in df.collect()}
+    assert b.groupBy("symbol").agg(F.count_distinct(blocks.span(registry.DAY, most=500)).alias("n")).agg(F.max("n")).first()[0] > 1
+    assert as_set(months) == as_set(cut)
