@@ -31,13 +31,13 @@ def crossover(averaged: DataFrame, fast: str = "sma20", slow: str = "sma50", blo
     return out.withColumn("signal", F.coalesce(F.col("position") - F.col("_was"), F.lit(0))).drop("_was")
 
 
-def returns(bars: DataFrame) -> DataFrame:
-    out = with_before(bars.where("close is not null"), "ts", {"_was": F.col("close")}, month())
+def returns(bars: DataFrame, block: Column | None = None) -> DataFrame:
+    out = with_before(bars.where("close is not null"), "ts", {"_was": F.col("close")}, month() if block is None else block)
     return out.withColumn("ret", F.col("close") / F.col("_was") - 1).drop("_was")
 
 
-def return_stats(bars: DataFrame) -> DataFrame:
-    return returns(bars).groupBy("symbol").agg(F.avg("ret").alias("mean_return"), F.stddev_samp("ret").alias("std_return"))
+def return_stats(bars: DataFrame, block: Column | None = None) -> DataFrame:
+    return returns(bars, block).groupBy("symbol").agg(F.avg("ret").alias("mean_return"), F.stddev_samp("ret").alias("std_return"))
 
 
 def forward_fill(bars: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ("symbol",)) -> DataFrame:

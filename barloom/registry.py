@@ -605,7 +605,7 @@ def w2_crossover(spark, d):
 
 @query(f"WITH {D1}, r AS (SELECT symbol, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM d) SELECT symbol, round(avg(ret), 9) AS mean_return, round(stddev_samp(ret), 9) AS std_return FROM r GROUP BY symbol")
 def w3_return_stats(spark, d):
-    return analytics.return_stats(daily(spark, d)).select("symbol", F.round("mean_return", 9).alias("mean_return"), F.round("std_return", 9).alias("std_return"))
+    return analytics.return_stats(daily(spark, d), blocks.span(DAY)).select("symbol", F.round("mean_return", 9).alias("mean_return"), F.round("std_return", 9).alias("std_return"))
 
 
 @query(f"WITH {H1U}, {GRID}, f AS (SELECT g.symbol, g.ts, open, high, low, close, volume, last_value(close IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.ts) AS lc FROM g LEFT JOIN h ON g.symbol = h.symbol AND g.ts = h.ts) SELECT symbol, ts, coalesce(open, lc) AS open, coalesce(high, lc) AS high, coalesce(low, lc) AS low, coalesce(close, lc) AS close, coalesce(volume, 0) AS volume FROM f")

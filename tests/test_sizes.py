@@ -27,7 +27,7 @@ def test_ledger_lines_are_handed_on_together():
     assert list(lines["status"]) == ["failed" if s == "U3" else "fetched" for s in asked["symbol"]] and lines["rows"].sum() == 200 + 23 * 2
 
 
-@pytest.mark.parametrize("name", ["w1_moving_averages"])
+@pytest.mark.parametrize("name", ["w1_moving_averages", "w2_crossover"])
 def test_few_closes_are_repeated(spark, monkeypatch, name):
     made = []
 
