@@ -134,6 +134,12 @@ def stitch(bars: DataFrame, renames: DataFrame) -> DataFrame:
     return both.withColumn("_n", best).where("_n = 1").drop("_n", "_own")
 
 
+def of_tickers(bars: DataFrame, renames: DataFrame) -> DataFrame:
+    """Bars, or ticks, of the tickers, old and new, that renames name, which are few: stitch() changes no others, so its report needs no others."""
+    named = renames.select(F.explode(F.array("canonical", "alias")).alias("symbol")).distinct()
+    return bars.join(F.broadcast(named), "symbol", "left_semi")
+
+
 def stitch_report(before: DataFrame, after: DataFrame, renames: DataFrame) -> DataFrame:
     """(symbol, bars_before, null_before, bars_after, null_after, fixed) per canonical ticker of renames: bars without trades before and after stitch()."""
     named = renames.select(F.col("canonical").alias("symbol")).distinct()

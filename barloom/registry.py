@@ -369,7 +369,8 @@ def a11_rename_stitch(spark, d):
     SELECT 'U2' AS symbol, n AS bars_before, z AS null_before, (SELECT count(*) FROM after) AS bars_after, (SELECT count(*) FROM after WHERE volume = 0) AS null_after, z - (SELECT count(*) FROM after WHERE volume = 0) AS fixed FROM b""")
 def a11_rename_report(spark, d):
     renames = spark.createDataFrame([("U2", "U1", datetime(2024, 1, 5), datetime(2024, 1, 20))], "canonical string, alias string, valid_from timestamp, valid_to timestamp")
-    before, old = padded(spark, d), hourly(spark, d, "user")
+    old = bars.ticks_to_bars(bars.of_tickers(ticks(spark, d, "user"), renames), HOUR)
+    before = bars.reindex(old, calendars.continuous_grid(windows(old), HOUR))
     both = before.where("symbol <> 'U1'").unionByName(old.where("symbol = 'U1'"))
     return bars.stitch_report(before, bars.stitch(both, renames), renames)
 

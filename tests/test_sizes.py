@@ -48,3 +48,17 @@ def test_spans_give_what_months_give(spark):
     as_set = lambda df: {(r["symbol"], r["ts"], r["sma20"] and round(r["sma20"], 6), r["sma50"] and round(r["sma50"], 6), r["position"], r["signal"]) for r in df.collect()}
     assert b.groupBy("symbol").agg(F.count_distinct(blocks.span(registry.DAY, most=500)).alias("n")).agg(F.max("n")).first()[0] > 1
     assert as_set(months) == as_set(cut)
+
+
+def test_rename_report_orders_named_tickers_only(spark):
+    """Ticks of other tickers are left where they are read: of 1,000 ticks none but theirs is shuffled."""
+    out = registry.queries()["a11_rename_report"](spark, D)
+    out.collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    last = store.executionsList().apply(store.executionsList().size() - 1).executionId()
+    values, nodes = store.executionMetrics(last), store.planGraph(last).allNodes()
+    metrics = [node.metrics() for node in (nodes.apply(k) for k in range(nodes.size())) if node.name() == "Exchange"]
+    ids = [m.apply(k).accumulatorId() for m in metrics for k in range(m.size()) if m.apply(k).name() == "shuffle records written"]
+    written = [int(values.get(i).get().replace(",", "")) for i in ids if values.get(i).isDefined()]
+    assert written and max(written) <= 2 * 720  # the hours of two tickers
