@@ -97,15 +97,18 @@ def audit(bars: DataFrame, grid: DataFrame, length: int) -> DataFrame:
     return issues(bars, length, "audit").unionByName(grid_issues(bars, grid))
 
 
-def audit_report(bars: DataFrame, grid: DataFrame, length: int) -> DataFrame:
+def audit_report(bars: DataFrame, grid: DataFrame, length: int, in_time: bool = False) -> DataFrame:
     """(symbol, expected, found, issues, missing_bars, is_clean) per symbol of bars or grid: how many bars there should be and are, and what audit() finds.
 
-    A symbol with neither bars nor grid times doesn't appear; it is clean by nature.
+    A symbol with neither bars nor grid times doesn't appear; it is clean by nature. Both are counted by time once, for
+    how many there are and for what is missing or extra alike. in_time: as for marked().
     """
-    both = bars.select("symbol", F.lit(1).alias("b"), F.lit(0).alias("g")).unionByName(grid.select("symbol", F.lit(0).alias("b"), F.lit(1).alias("g")))
-    counts = both.groupBy("symbol").agg(F.sum("g").alias("expected"), F.sum("b").alias("found"))
-    n = audit(bars, grid, length).groupBy("symbol").agg(F.count("*").alias("issues"), F.coalesce(F.sum(F.when(F.col("category") == "missing_bars", F.col("n_bars"))), F.lit(0)).alias("missing_bars"))
-    return counts.join(n, "symbol", "left").fillna(0, ["issues", "missing_bars"]).withColumn("is_clean", F.col("issues") == 0)
+    both = bars.select("symbol", "ts", F.lit(1).alias("b"), F.lit(0).alias("g")).unionByName(grid.select("symbol", "ts", F.lit(0).alias("b"), F.lit(1).alias("g")))
+    each = both.groupBy("symbol", "ts").agg(F.sum("b").alias("b"), F.sum("g").alias("g"))
+    counts = each.groupBy("symbol").agg(F.sum("g").alias("expected"), F.sum("b").alias("found"), F.count_if(F.col("b") == 0).alias("missing_bars"), F.count_if(F.col("g") == 0).alias("_extra"))
+    own = issues(bars, length, "audit", in_time=in_time).groupBy("symbol").agg(F.count("*").alias("issues"))
+    n = F.coalesce("issues", F.lit(0)) + (F.col("missing_bars") > 0).cast("long") + (F.col("_extra") > 0).cast("long")
+    return counts.join(own, "symbol", "left").select("symbol", "expected", "found", n.alias("issues"), "missing_bars").withColumn("is_clean", F.col("issues") == 0)
 
 
 def by_category(found: DataFrame) -> DataFrame:

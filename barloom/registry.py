@@ -486,7 +486,7 @@ def v15_report(spark, d):
 @query(f"WITH {H1U}, {PADDED} SELECT symbol, count(*) AS expected, count(*) AS found, 0 AS issues, 0 AS missing_bars, true AS is_clean FROM p GROUP BY symbol")
 def v16_clean_symbols(spark, d):
     p = padded(spark, d)
-    return validate.audit_report(p.withColumn("ingest_seq", F.unix_micros("ts")), calendars.continuous_grid(windows(p), HOUR), HOUR)
+    return validate.audit_report(p.withColumn("ingest_seq", F.unix_micros("ts")), calendars.continuous_grid(windows(p), HOUR), HOUR, in_time=True)
 
 
 @query(f"WITH {H1U} SELECT symbol, 'error' AS severity, 'no_volume_column' AS category, count(*) AS n_bars, min(ts) AS first_ts FROM h GROUP BY symbol")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import registry
-from barloom.operators import analytics, blocks, gaps
+from barloom.operators import analytics, blocks, gaps, validate
 
 D = "/root/testdata/sf0.001"
 
@@ -62,3 +62,14 @@ def test_rename_report_orders_named_tickers_only(spark):
     ids = [m.apply(k).accumulatorId() for m in metrics for k in range(m.size()) if m.apply(k).name() == "shuffle records written"]
     written = [int(values.get(i).get().replace(",", "")) for i in ids if values.get(i).isDefined()]
     assert written and max(written) <= 2 * 720  # the hours of two tickers
+
+
+def test_audit_report_by_order_of_arrival(spark):
+    p = registry.padded(spark, D).withColumn("ingest_seq", F.unix_micros("ts"))
+    grid = registry.calendars.continuous_grid(registry.windows(p), registry.HOUR)
+    plan = lambda df: df._jdf.queryExecution().sparkPlan().toString()
+    made = plan(validate.audit_report(p, grid, registry.HOUR, in_time=True))
+    # The order of arrival shows what repeats a time, so no second shuffle looks for it.
+    assert "row_number" not in made
+    both = {tuple(r) for r in validate.audit_report(p, grid, registry.HOUR).collect()}
+    assert both == {tuple(r) for r in validate.audit_report(p, grid, registry.HOUR, in_time=True).collect()}
