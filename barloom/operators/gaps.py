@@ -136,9 +136,7 @@ def fetch_gaps(gaps: DataFrame, fetch: Callable, schema: str, path: str, at_once
     have = _ledger(spark, path, out)
     todo = wanted if have is None else wanted.join(have.where("status = 'fetched'"), ["symbol", "gap_start", "gap_end"], "left_anti")
 
-    def run(frames):
-        return _fetched(frames, fetch, kind.names, out.names, tries, first_wait, most_wait, apart, again)
-
+    run = _fetched(fetch, kind.names, out.names, tries, first_wait, most_wait, apart, again)
     todo.repartition(at_once, "symbol", "gap_start").mapInPandas(run, out).write.mode("append").parquet(path)
     # Of several calls' lines the one that has rows counts.
     lines = _ledger(spark, path, out).join(wanted, ["symbol", "gap_start", "gap_end"], "left_semi")
@@ -146,36 +144,40 @@ def fetch_gaps(gaps: DataFrame, fetch: Callable, schema: str, path: str, at_once
     return lines.drop("data").withColumn("_n", best).where("_n = 1").drop("_n")
 
 
-def _fetched(frames: Iterator, fetch: Callable, fields: list[str], columns: list[str], tries: int, first_wait: float, most_wait: float, apart: float, again: tuple[type[BaseException], ...], at_a_time: int = AT_A_TIME) -> Iterator:
-    """Frames of ledger lines for frames of gaps, many lines a frame, as a frame of its own for each gap takes longer than its call here."""
-    import time
-
-    import pandas as pd
-
-    last, lines, held = 0.0, [], 0
-    for frame in frames:
-        for gap in frame.itertuples(index=False):
-            got, error, attempt = None, None, 0
-            for attempt in range(1, tries + 1):
-                time.sleep(max(0.0, last + apart - time.monotonic()))
-                last = time.monotonic()
-                try:
-                    got, error = fetch(gap.symbol, gap.gap_start, gap.gap_end), None
-                    break
-                except Exception as e:
-                    error = f"{type(e).__name__}: {e}"
-                    if not isinstance(e, again):
+def _fetched(fetch: Callable, fields: list[str], columns: list[str], tries: int, first_wait: float, most_wait: float, apart: float, again: tuple[type[BaseException], ...], at_a_time: int = AT_A_TIME) -> Callable:
+    """A function from frames of gaps to frames of ledger lines, many lines a frame, as a frame of its own for each gap takes longer than its call here."""
+
+    def run(frames: Iterator) -> Iterator:
+        import time
+
+        import pandas as pd
+
+        last, lines, held = 0.0, [], 0
+        for frame in frames:
+            for gap in frame.itertuples(index=False):
+                got, error, attempt = None, None, 0
+                for attempt in range(1, tries + 1):
+                    time.sleep(max(0.0, last + apart - time.monotonic()))
+                    last = time.monotonic()
+                    try:
+                        got, error = fetch(gap.symbol, gap.gap_start, gap.gap_end), None
                         break
-                    if attempt < tries:
-                        time.sleep(min(first_wait * 2 ** (attempt - 1), most_wait))
-            data = got[fields].to_dict("records") if got is not None else []
-            lines.append((gap.symbol, gap.gap_start, gap.gap_end, "failed" if error else "fetched", len(data), attempt, error, data))
-            held += len(data)
-            if len(lines) >= at_a_time or held >= 10 * at_a_time:
-                yield pd.DataFrame(lines, columns=columns)
-                lines, held = [], 0
-    if lines:
-        yield pd.DataFrame(lines, columns=columns)
+                    except Exception as e:
+                        error = f"{type(e).__name__}: {e}"
+                        if not isinstance(e, again):
+                            break
+                        if attempt < tries:
+                            time.sleep(min(first_wait * 2 ** (attempt - 1), most_wait))
+                data = got[fields].to_dict("records") if got is not None else []
+                lines.append((gap.symbol, gap.gap_start, gap.gap_end, "failed" if error else "fetched", len(data), attempt, error, data))
+                held += len(data)
+                if len(lines) >= at_a_time or held >= 10 * at_a_time:
+                    yield pd.DataFrame(lines, columns=columns)
+                    lines, held = [], 0
+        if lines:
+            yield pd.DataFrame(lines, columns=columns)
+
+    return run
 
 
 def _ledger(spark, path: str, schema: StructType) -> DataFrame | None:

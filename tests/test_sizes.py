@@ -20,7 +20,7 @@ def test_ledger_lines_are_handed_on_together():
         return pd.DataFrame({"close": [1.0] * (200 if symbol == "U4" else 2)})
 
     columns = ["symbol", "gap_start", "gap_end", "status", "rows", "tries", "error", "data"]
-    frames = list(gaps._fetched(iter([asked[:7], asked[7:]]), fetch, ["close"], columns, 4, 0.0, 0.0, 0.0, (TimeoutError,), at_a_time=10))
+    frames = list(gaps._fetched(fetch, ["close"], columns, 4, 0.0, 0.0, 0.0, (TimeoutError,), at_a_time=10)(iter([asked[:7], asked[7:]])))
     assert [len(f) for f in frames] == [5, 10, 10]
     lines = pd.concat(frames)
     assert list(lines["symbol"]) == list(asked["symbol"]) and all(len(d) == n for d, n in zip(lines["data"], lines["rows"]))
