@@ -58,7 +58,8 @@ def session_gaps(bars: DataFrame, requests: DataFrame, sessions: DataFrame) -> D
 
 def _gaps(chunks: DataFrame, covers: DataFrame, requests: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     stored = covers.select("symbol").distinct() if stored is None else stored
-    missing = chunks.join(stored, "symbol", "left_semi").join(covers, ["symbol", "chunk_start"], "left_anti")
+    # Covered chunks are as many as stored bars, which look small as files: without the hint they would be broadcast.
+    missing = chunks.join(stored, "symbol", "left_semi").join(covers.hint("merge"), ["symbol", "chunk_start"], "left_anti")
     merged = islands(missing.select("symbol", F.col("chunk_start").alias("gap_start"), F.col("chunk_end").alias("gap_end")), "gap_start", "gap_end", month("gap_start"))
     whole = requests.join(stored, "symbol", "left_anti").select("symbol", F.col("start_ts").alias("gap_start"), F.col("end_ts").alias("gap_end"))
     return merged.unionByName(whole)
