@@ -44,7 +44,8 @@ def median_spacing(bars: DataFrame) -> DataFrame:
 def rollup_if_finer(bars: DataFrame, length: int) -> DataFrame:
     """Each symbol is rolled up only if the median of its spacings is below the length; other symbols' bars stay as they are. One shuffle for both."""
     finer = median_spacing(bars).select("symbol", F.coalesce(F.col("spacing") < length, F.lit(False)).alias("finer"))
-    flagged = bars.join(finer, "symbol").withColumns({"bar": F.when(F.col("finer"), floor_to(F.col("ts"), length)).otherwise(F.col("ts")), "row": F.when(~F.col("finer"), F.monotonically_increasing_id())})
+    # Of a left join only the right side, a row a symbol, can be broadcast; of an inner one it may be the bars, which look small as files.
+    flagged = bars.where("symbol is not null").join(finer, "symbol", "left").withColumn("finer", F.coalesce("finer", F.lit(False))).withColumns({"bar": F.when(F.col("finer"), floor_to(F.col("ts"), length)).otherwise(F.col("ts")), "row": F.when(~F.col("finer"), F.monotonically_increasing_id())})
     first, last = _first_last("open", ["ts"])[0], _first_last("close", ["ts"])[1]
     volume = F.when(F.col("finer"), F.coalesce(F.sum("volume"), F.lit(0.0))).otherwise(F.sum("volume"))
     out = flagged.groupBy("symbol", "bar", "finer", "row").agg(first.alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), last.alias("close"), volume.alias("volume"))
@@ -93,7 +94,8 @@ def snap(bars: DataFrame, grid: DataFrame, length: int, width: int | None = None
 
 def reindex(bars: DataFrame, grid: DataFrame) -> DataFrame:
     """A bar at each grid time: missing ones have volume 0 and no prices, those off the grid fall away."""
-    return grid.join(bars.select("symbol", "ts", *FIELDS), ["symbol", "ts"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
+    # Bars may look small as files (few columns that are not null): without the hint they would be broadcast.
+    return grid.join(bars.select("symbol", "ts", *FIELDS).hint("merge"), ["symbol", "ts"], "left").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
 def boundary_mismatches(bars: DataFrame, grid: DataFrame) -> DataFrame:

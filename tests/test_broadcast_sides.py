@@ -20,6 +20,11 @@ def symbols(spark) -> int:
     return registry.hourly(spark, D, "user").select("symbol").distinct().count()
 
 
+@pytest.mark.parametrize("name", ["job_load_issues", "n5_normalise_library"])
+def test_neither_bars_nor_grids_can_be_broadcast(spark, everything_small, name):
+    assert broadcast_rows(spark, lambda: registry.queries()[name](spark, D).collect()) <= max(symbols(spark), store.BUCKETS)
+
+
 def test_covered_chunks_can_not_be_broadcast(spark, everything_small):
     h = store.materialised(registry.hourly(spark, D, "user"))
     want = store.materialised(registry.windows(h))
