@@ -63,7 +63,8 @@ def _taken(rows: DataFrame) -> DataFrame:
 def snap_daily(bars: DataFrame, grid: DataFrame) -> DataFrame:
     """Daily bars at the last grid time of their UTC date; other dates keep their own time."""
     days = grid.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.max("ts").alias("target"))
-    return _taken(bars.withColumn("day", F.to_date("ts")).join(days, ["symbol", "day"], "left").drop("day"))
+    # As in snap(): days of a grid look as small as the windows they come from.
+    return _taken(bars.withColumn("day", F.to_date("ts")).join(days.hint("merge"), ["symbol", "day"], "left").drop("day"))
 
 
 def snap(bars: DataFrame, grid: DataFrame, length: int, width: int | None = None) -> DataFrame:
@@ -75,7 +76,9 @@ def snap(bars: DataFrame, grid: DataFrame, length: int, width: int | None = None
     """
     if width is None:
         widths = median_spacing(grid).select("symbol", F.coalesce("spacing", F.lit(float(length))).alias("width"))
-        wide_bars, wide_grid = bars.join(widths, "symbol", "left"), grid.join(widths, "symbol")
+        # A left join, and a width that is never null, so that the grid can't become the side that is broadcast.
+        own = F.coalesce("width", F.lit(float(length)))
+        wide_bars, wide_grid = bars.join(widths, "symbol", "left"), grid.join(widths, "symbol", "left").withColumn("width", own)
     else:
         wide_bars, wide_grid = (df.withColumn("width", F.lit(float(width))) for df in (bars, grid))
     bucket = lambda by: F.floor(F.unix_micros("ts") / F.col("width") + by).alias("bucket")

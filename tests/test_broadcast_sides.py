@@ -2,8 +2,11 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from barloom import registry
-from barloom.operators import gaps
+from barloom.functions import calendars
+from barloom.operators import bars, gaps
 from barloom.sources import store
 from tests.test_broadcasts import D, broadcast_rows
 
@@ -20,7 +23,7 @@ def symbols(spark) -> int:
     return registry.hourly(spark, D, "user").select("symbol").distinct().count()
 
 
-@pytest.mark.parametrize("name", ["job_load_issues", "n5_normalise_library"])
+@pytest.mark.parametrize("name", ["job_load_issues", "s8_stored_provenance", "job_load_again", "n5_normalise_library"])
 def test_neither_bars_nor_grids_can_be_broadcast(spark, everything_small, name):
     assert broadcast_rows(spark, lambda: registry.queries()[name](spark, D).collect()) <= max(symbols(spark), store.BUCKETS)
 
@@ -33,3 +36,10 @@ def test_covered_chunks_can_not_be_broadcast(spark, everything_small):
     life = spark.createDataFrame([], "symbol string, ipo_date timestamp, delist_date timestamp")
     run = lambda: gaps.plan(store.read(spark, path), want, life).collect()
     assert broadcast_rows(spark, run) <= max(symbols(spark), store.BUCKETS)
+
+
+def test_grids_of_snaps_can_not_be_broadcast(spark, everything_small):
+    h = store.materialised(registry.hourly(spark, D, "user").withColumn("ingest_seq", F.unix_micros("ts")))
+    grid = calendars.continuous_grid(registry.windows(h), registry.HOUR)
+    for run in (lambda: bars.snap(h, grid, registry.HOUR), lambda: bars.snap_daily(h, grid)):
+        assert broadcast_rows(spark, lambda: run().collect()) <= store.BUCKETS
