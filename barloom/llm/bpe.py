@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import SPACE_CHARS, fresh, slices, utf8
-from barloom.llm.pieces import distinct, spread
+from barloom.llm.pieces import distinct, lengths, spread
 
 #: Fixed: the pattern by which byte-level BPE of this kind cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -256,7 +256,18 @@ class Vocabulary:
             return np.concatenate(out), np.array(size)
         return self._encode_plain(column)
 
+    def count_column(self, column: pa.Array) -> np.ndarray:
+        """The number of ids of each text; null counts as empty."""
+        column = pc.fill_null(column, "")
+        if any(pc.any(pc.match_substring(column, s)).as_py() for s in self.special):
+            return np.diff(self.encode_column(column)[1])
+        return np.diff(lengths(*self._looked_up(column)))
+
     def _encode_plain(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        return spread(*self._looked_up(column))
+
+    def _looked_up(self, column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of the distinct pieces, which piece comes where, and where each text's pieces begin."""
         raw, ends = utf8(column)
         first = cut_places(raw, ends)
         names, numbers = distinct(raw, np.append(first, len(raw)))
@@ -266,7 +277,7 @@ class Vocabulary:
         new = self.learn([p for p, ids in zip(names, each) if ids is None])
         if new:
             each = [new[p] if ids is None else ids for p, ids in zip(names, each)]
-        return spread(each, numbers, np.searchsorted(first, ends))
+        return each, numbers, np.searchsorted(first, ends)
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as 32-bit integers end to end."""
@@ -316,6 +327,23 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text)).mapInArrow(run, schema)
 
 
+def count(docs: DataFrame, path: str, text_col: str = "text", count_col: str = "n_tokens") -> DataFrame:
+    """docs with the number of ids that encode() gives for each text, the text column dropped; no ids are put together or leave the worker."""
+    rest = [c for c in docs.columns if c not in (text_col, count_col)]
+    schema = docs.select(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("long").alias(count_col)).schema
+    text = fresh(docs.drop(text_col), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            for part in slices(batch, text, PART_BYTES):
+                n = vocab.count_column(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n.astype(np.int64))], [*rest, count_col])
+                pa.default_memory_pool().release_unused()
+
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias(text)).mapInArrow(run, schema)
+
+
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """tokens with a column of the text that the ids stand for, special tokens included; null ids give an empty text, unknown ids none."""
     rest = [c for c in tokens.columns if c != text_col]

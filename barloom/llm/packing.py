@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.bpe import encode
+from barloom.llm.bpe import count, encode
 from barloom.llm.common import cut
 from barloom.llm.exact_dedup import normalised
 
@@ -98,11 +98,19 @@ def documents_as_items(docs: DataFrame, tokenizer: str, end_id: int) -> DataFram
 
     Null and empty texts are the end mark alone and one cluster. Every row gives a row; other columns are ignored.
     """
-    rows = docs.select("doc_id", "source", F.md5(normalised(F.col("text").cast("string"))).alias("cluster"), "text")
-    tokens = encode(rows, tokenizer).withColumn("ids", F.array_append("ids", F.lit(end_id)))
+    tokens = encode(_clustered(docs), tokenizer).withColumn("ids", F.array_append("ids", F.lit(end_id)))
     return tokens.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "source", "cluster")
 
 
+def documents_as_lengths(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """documents_as_items() without the ids, for places alone: (doc_id, n_tokens, source, cluster), the end mark counted."""
+    return count(_clustered(docs), tokenizer).select("doc_id", (F.col("n_tokens") + 1).alias("n_tokens"), "source", "cluster")
+
+
+def _clustered(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "source", F.md5(normalised(F.col("text").cast("string"))).alias("cluster"), "text")
+
+
 def sequences(items: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(shard, bin, n_tokens, doc_ids, pieces, starts, ids): a row per sequence, for items as of documents_as_items.
 

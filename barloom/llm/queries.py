@@ -78,9 +78,9 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, piece, n_tokens, shard, bin, start): the place of each piece of each document, its lengths in tokens of the byte-level BPE."""
     import public_tokenizers
 
-    from barloom.llm.packing import documents_as_items, pack
+    from barloom.llm.packing import documents_as_lengths, pack
 
-    return pack(documents_as_items(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), END_OF_TEXT))
+    return pack(documents_as_lengths(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op6_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
