@@ -7,7 +7,8 @@ import numpy as np
 import pyarrow as pa
 
 from barloom.llm.common import table, utf8
-from barloom.llm.toxicity import END, FILTERS, HEADS, WIDTHS, Network, calibrate, learn, score_toxicity, train, word_rows
+from barloom.llm import toxicity
+from barloom.llm.toxicity import END, FILTERS, HEADS, WIDTHS, Network, Weights, beginning, calibrate, counts, hashed, labelled, learn, padded, score_toxicity, train, word_rows
 from barloom.llm.queries import op4_toxicity_cnn
 from tests.llm.cases import empty, frame, rows
 
@@ -119,3 +120,69 @@ def test_edges(spark):
     out = score_toxicity(frame(spark), net, least)
     assert out.count() == len(rows()) and {r["score"] for r in out.collect()} == {0.5}
     assert score_toxicity(empty(spark), random_network(), {None: 0.5, "en": 0.2}).collect() == []
+
+
+def test_every_labelled_row_counts(spark):
+    """More labelled rows than the 10,000 that were learnt from once; the toxic ones are those of the largest hashes of doc_id, so that no such sample held one."""
+    ids = [i for i in range(22_000) if zlib.crc32(str(i).encode()) % 3 != 1]
+    order = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("i", "xxhash64(i) AS h").orderBy("h").collect()]
+    bad = set(order[-2_000:])
+    assert len(order) > 12_500
+    docs = spark.createDataFrame([(i, f"plain words {i % 7} " + ("nasty" if i in bad else "kind"), "xx" if i in bad else "en") for i in ids], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 0, int(i in bad)) for i in ids], "doc_id long, quality int, toxic int")
+    net, least = learn(docs, labels)
+    nasty, kind = (net.scores(*word_rows(*utf8(pa.array([f"plain words 3 {w}"]))))[0] for w in ("nasty", "kind"))
+    assert kind < 0.7 <= nasty
+    assert "xx" in least  # a language of later rows has a threshold of its own
+
+
+def test_labelled_rows_are_whole(spark):
+    """All rows with a label, once, with their greatest text; the map of ids only spares rows without."""
+    docs = spark.createDataFrame([(i % 900, f"text {i}" if i % 11 else None, None if i % 5 else "en") for i in range(1_000)] + [(None, "x", "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 0, None if i % 10 == 3 else i % 2) for i in range(400, 1_200)] + [(450, 0, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    texts, label = {}, {}
+    for r in docs.collect():
+        texts.setdefault(r["doc_id"], []).append((r["text"] is not None, r["text"] or "", r["lang"] is not None, r["lang"] or ""))
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["toxic"] is not None:
+            label[r["doc_id"]] = max(r["toxic"], label.get(r["doc_id"], 0))
+    want = {i: (max(texts[i])[1] if max(texts[i])[0] else None, y) for i, y in label.items() if i in texts and zlib.crc32(str(i).encode()) % 3 != 1}
+    got = labelled(docs, labels).collect()
+    assert len(got) == len(want) and {r["doc_id"]: (r["text"], r["label"]) for r in got} == want
+
+
+def test_tasks_that_learn_go_by_rows(spark):
+    """However many partitions a shuffle makes, each task hands on networks, so there must be few."""
+    rows = spark.createDataFrame([(i, "en", 0, "a b c") for i in range(300)], "doc_id long, lang string, label int, text string").repartition(40)
+    data = hashed(rows)
+    assert data.rdd.getNumPartitions() == 1 and data.count() == 300
+
+
+def test_tasks_share_their_moves(spark, monkeypatch):
+    """Networks learnt by several tasks tell labels apart as one task's do, and are the same from run to run."""
+    monkeypatch.setattr(toxicity, "TASK_ROWS", 150)
+    monkeypatch.setattr(toxicity, "PART_ROWS", 50)
+    r = random.Random(4)
+    plain = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(300)]
+    data = [(i, " ".join([*(r.choice(plain) for _ in range(r.randint(3, 40))), *(["nasty"] if i % 4 == 0 else [])]), "en") for i in range(1_500)]
+    docs, labels = spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3), spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(1_500)], "doc_id long, quality int, toxic int")
+    assert hashed(labelled(docs, labels)).rdd.getNumPartitions() > 1
+    (net, least), (again, _) = learn(docs, labels), learn(docs, labels)
+    assert np.array_equal(net.table, again.table) and abs(least[None] - 0.7) < 0.01
+    got = net.scores(*word_rows(*utf8(pa.array([t for _, t, _ in data]))))
+    assert ((got >= 0.7) == (np.arange(1_500) % 4 == 0)).mean() > 0.97
+
+
+def test_windows_of_long_texts(monkeypatch):
+    """Greatest answers and their places don't depend on how many places are looked at together."""
+    r = np.random.default_rng(2)
+    texts = [r.integers(0, END, (n, 1 + len(HEADS))).astype(np.uint16) for n in (0, 1, 50, 3, 7)]
+    y = np.array([0, 1, 0, 1, 0], np.float32)
+    w = beginning(*counts(texts, y), 5, 2)
+    lengths = np.array([len(t) for t in texts])
+    seq, starts = padded(np.concatenate(texts), np.concatenate([[0], np.cumsum(lengths)]))
+    whole = Weights.pool(w, seq, starts, np.maximum(lengths, 1))
+    monkeypatch.setattr(toxicity, "WINDOW", 6)
+    parts = Weights.pool(w, seq, starts, np.maximum(lengths, 1))
+    assert np.allclose(whole[0], parts[0], atol=1e-5) and np.isfinite(whole[0]).all()
+    assert (whole[1] == parts[1]).mean() > 0.95  # equal but for rounding
